@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from cellframe.llm import decontaminate, minhash, secrets, sentencepieces, toxicity
+from cellframe.llm import decontaminate, licenses, minhash, secrets, sentencepieces, simple8b, toxicity
 from cellframe.llm._text import read
 
 
+def op2_simple8b_token_ids(spark, sf_dir):
+    return simple8b.encode(read(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark, sf_dir):
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -26,6 +34,6 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op5_toxicity, op6_secret_scan, op7_minhash_near_dedup, op9_sentencepiece, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_simple8b_token_ids, op3_license_scan, op5_toxicity, op6_secret_scan, op7_minhash_near_dedup, op9_sentencepiece, op10_decontamination)}
 
 SQL: dict[str, str] = {}

@@ -175,7 +175,7 @@ def vocabulary(path: str) -> Vocabulary:
 class Encoder:
     """Encodes columns of texts; remembers the segments that it has met, up to ``most``."""
 
-    def __init__(self, vocab: Vocabulary, most: int = 200_000):
+    def __init__(self, vocab: Vocabulary, most: int = 600_000):
         self.vocab, self.most = vocab, most
         self._clear()
 
@@ -234,6 +234,12 @@ class Encoder:
         return ids, np.bincount(text, count, n).astype(np.int64)
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process: what it has met stays known."""
+    return Encoder(vocabulary(path))
+
+
 def decode(vocab: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> list[str]:
     """Texts of id sequences: their pieces' bytes, less the blank that encoding put in front."""
     length = vocab.raw_length[ids]
@@ -259,7 +265,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def make():
         vocab = vocabulary(path)
-        encoder = Encoder(vocab)
+        encoder = shared_encoder(path)
 
         def one(part: pa.RecordBatch) -> pa.RecordBatch:
             text = part.column("text")
