@@ -120,13 +120,13 @@ class Scanner:
         self.words.add_word(TAG, (len(TAG), None))
         self.words.make_automaton()
         # a text without any of these has neither a tag nor a phrase
-        self.hint = re.compile(r"licen[sc]e|spdx|permission is hereby|redistribution and use|public domain|cc[ \-]by|cc0|creative commons|all rights")
+        self.hint = re.compile(r"licen[sc]e|spdx|permission\s+is|redistribution\s+and|public\s+domain|cc[\s\-]+by|cc0|creative\s+commons|all\s+rights")
 
     def find(self, text: str) -> tuple[list[str], list[str], str]:
         lower = text.lower()
         if len(lower) != len(text):
             lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        if not self.hint.search(" ".join(lower.split()) if "  " in lower or "\n" in lower and "rights" in lower else lower.replace("\n", " ")):
+        if not self.hint.search(lower):
             return [], [], "none"
         # blanks and line breaks become one blank each, with the place each character came from
         places = [m.span() for m in re.finditer(r"\s+|\S+", lower)]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from cellframe.llm import decontaminate, licenses, minhash, secrets, sentencepieces, simple8b, toxicity
+from cellframe.llm import chat, decontaminate, licenses, minhash, pii, quality, secrets, sentencepieces, simple8b, toxicity
 from cellframe.llm._text import read
 
 
+def op1_chat_formatting(spark, sf_dir):
+    return chat.format_conversations(read(spark, sf_dir, "conversations"))
+
+
 def op2_simple8b_token_ids(spark, sf_dir):
     return simple8b.encode(read(spark, sf_dir, "documents"))
 
@@ -14,6 +18,10 @@ def op3_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark, sf_dir):
+    return pii.scan(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark, sf_dir):
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -26,6 +34,10 @@ def op7_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_quality_lines(spark, sf_dir):
+    return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_sentencepiece(spark, sf_dir):
     return sentencepieces.encode(read(spark, sf_dir, "documents"))
 
@@ -34,6 +46,9 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simple8b_token_ids, op3_license_scan, op5_toxicity, op6_secret_scan, op7_minhash_near_dedup, op9_sentencepiece, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_chat_formatting, op2_simple8b_token_ids, op3_license_scan, op4_pii, op5_toxicity, op6_secret_scan, op7_minhash_near_dedup, op8_quality_lines, op9_sentencepiece, op10_decontamination)
+}
 
 SQL: dict[str, str] = {}
