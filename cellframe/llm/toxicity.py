@@ -5,7 +5,7 @@ documents; sentences of theirs that name a group of people are rewritten with an
 a neutral word, and the squared change of the score is penalised. So a group's name alone can't
 carry weight, and neutral mentions of a group aren't taken for abuse.
 
-Features are kept that occur far more often in one class than chance allows (a likelihood ratio test
+Features are kept that occur far more often in toxic texts than chance allows (a likelihood ratio test
 over the labelled sample). The fit uses at most ``max_labelled`` labelled documents, chosen by a hash of
 their id; everything else covers all rows.
 
@@ -102,23 +102,35 @@ def fit(texts: list[str], toxic: list[int], counterfactual: float = COUNTERFACTU
     y = np.asarray(toxic, float)
     if not len(y) or not 0 < y.sum() < len(y):
         return None
-    docs, hashes = [], []
-    for a in range(0, len(texts), 400):
-        d, h = presence(pa.array(texts[a : a + 400], pa.string()), prefixes)
-        docs.append((d + a).astype(np.int32))
-        hashes.append(h)
-    d, h = np.concatenate(docs), np.concatenate(hashes)
-    names, counts = np.unique(h, return_counts=True)
-    in_toxic = np.bincount(np.searchsorted(names, h[y[d] > 0]), minlength=len(names)).astype(float)
-    in_clean = counts - in_toxic
+    def parts(which: np.ndarray):
+        for a in range(0, len(which), 400):
+            d, h = presence(pa.array([texts[i] for i in which[a : a + 400]], pa.string()), prefixes)
+            yield which[a : a + 400][d], h
+
     nt, nc = y.sum(), len(y) - y.sum()
+    # what is too rare in toxic texts to pass the test, even if absent from the others, is left out at once
+    names, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for _, h in parts(np.flatnonzero(y > 0)):
+        names, inverse = np.unique(np.concatenate([names, h]), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate([counts, np.ones(len(h), np.int64)]), len(names)).astype(np.int64)
+    some = _g2(counts.astype(float), np.zeros(len(counts)), nt, nc) >= LEAST_G2
+    likely, in_toxic = HashSet(names[some]), counts[some].astype(float)
+    if not len(likely.values):
+        return None
+    rows, cols = [], []
+    for d, h in parts(np.arange(len(y))):
+        at, k = likely.find(h)
+        rows.append(d[at])
+        cols.append(k)
+    row, col = np.concatenate(rows), np.concatenate(cols)
+    in_clean = np.bincount(col[y[row] == 0], minlength=len(in_toxic)).astype(float)
     lift = ((in_toxic + 0.5) / (nt + 1)) / ((in_clean + 0.5) / (nc + 1))
-    keep = (_g2(in_toxic, in_clean, nt, nc) >= LEAST_G2) & ((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT))
-    chosen = HashSet(names[keep])
+    keep = (_g2(in_toxic, in_clean, nt, nc) >= LEAST_G2) & (lift >= LEAST_LIFT)
+    chosen = HashSet(likely.values[keep])
     if not len(chosen.values):
         return None
-    at, col = chosen.find(h)
-    row = d[at]
+    ok = keep[col]
+    row, col = row[ok], (np.cumsum(keep) - 1)[col[ok]]
 
     # differences that swapping makes, over the sentences of labelled documents that name a group
     terms = re.compile(r"(?i)\b(?:" + "|".join(sorted({t for g in IDENTITY for t in g}, key=len, reverse=True)) + r")\b")
@@ -133,12 +145,12 @@ def fit(texts: list[str], toxic: list[int], counterfactual: float = COUNTERFACTU
     crow = ccol = np.zeros(0, np.int64)
     csign = np.zeros(0)
     if before:
-        parts = []
+        sides = []
         for side, sign in ((before, 1.0), (after, -1.0)):
             pd_, ph = presence(pa.array(side, pa.string()), prefixes)
             i, c = chosen.find(ph)
-            parts.append((pd_[i], c, np.full(len(i), sign)))
-        crow, ccol, csign = (np.concatenate(x) for x in zip(*parts, strict=True))
+            sides.append((pd_[i], c, np.full(len(i), sign)))
+        crow, ccol, csign = (np.concatenate(x) for x in zip(*sides, strict=True))
 
     n, f = len(y), len(chosen.values)
     balance = np.where(y > 0, n / (2 * nt), n / (2 * nc))
@@ -184,8 +196,8 @@ def score(model: Model | None, column: pa.Array, prefixes: tuple[int, ...] = PRE
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **how) -> Model | None:
     named = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).dropna()
     some = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = picked(docs, id_col, text_col).dropna().join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
-    return fit(rows["text"].tolist(), rows["toxic"].clip(0, 1).tolist(), **how)
+    rows = picked(docs, id_col, text_col).dropna().join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"], ignore_index=True)
+    return fit(rows.pop("text").tolist(), rows["toxic"].clip(0, 1).tolist(), **how)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: float | None = None, model: Model | None = None, **how) -> DataFrame:
