@@ -15,6 +15,7 @@ Decoding returns the text exactly, but for U+2581, which stands for a blank in t
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from cellframe.llm._text import flat, map_slices, picked, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.int32).max
 _MARK = "▁"
 _SPREAD, _MASK64 = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
@@ -68,8 +69,8 @@ class Vocabulary:
                 if (a := symbols.get(p[:k])) is not None and (b := symbols.get(p[k:])) is not None:
                     pairs[a * self.base + b] = (levels[scores[i]], i)
         self.pair = np.array(sorted(pairs), np.int64)
-        self.rank = np.array([pairs[k][0] for k in self.pair.tolist()], np.int64)
-        self.into = np.array([pairs[k][1] for k in self.pair.tolist()], np.int64)
+        self.rank = np.array([pairs[k][0] for k in self.pair.tolist()], np.int32)
+        self.into = np.array([pairs[k][1] for k in self.pair.tolist()], np.int32)
         # open addressing: a pair is at the first slots from its hash on, an empty slot ends the search
         self.slots = np.full(1 << 19, -1, np.int32)
         for k, key in enumerate(self.pair.tolist()):
@@ -81,75 +82,84 @@ class Vocabulary:
         for s in scores.values():
             shared[levels[s]] += 1
         self.tied = np.array(shared) > 1
-        self.of_code = np.full(max(self.letters) + 1, -1, np.int64)
+        self.of_code = np.full(max(self.letters) + 1, -1, np.int32)
         self.of_code[list(self.letters)] = list(self.letters.values())
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left * self.base + right
+        """Rank of each pair of symbols, and the piece that it makes."""
+        key = left.astype(np.int64) * self.base + right
         key[(left < 0) | (right < 0)] = -1
         at = ((key.astype(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(45)).astype(np.int64)
-        k = self.slots[at].astype(np.int64)
-        rank = np.full(len(key), _NONE)
+        k = self.slots[at]
+        rank = np.full(len(key), _NONE, np.int32)
+        into = np.zeros(len(key), np.int32)
         todo = np.flatnonzero(k >= 0)
         while len(todo):
-            ok = self.pair[k[todo]] == key[todo]
-            rank[todo[ok]] = self.rank[k[todo[ok]]]
+            kt = k[todo]
+            ok = self.pair[kt] == key[todo]
+            rank[todo[ok]] = self.rank[kt[ok]]
+            into[todo[ok]] = self.into[kt[ok]]
             todo = todo[~ok]
             at[todo] = (at[todo] + 1) & ((1 << 19) - 1)
             k[todo] = self.slots[at[todo]]
             todo = todo[k[todo] >= 0]
-        return rank, k
+        return rank, into
 
-    def encode_segments(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all segments one after another, and the number of each segment's ids."""
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        seg = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        sym = np.where(codes < len(self.of_code), self.of_code[np.minimum(codes, len(self.of_code) - 1)], -1)
+    def encode_segments(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments one after another, and the number of each segment's ids.
+
+        ``codes``: code points of all segments; ``lengths``: how many each has, one at least.
+        """
+        n = len(lengths)
+        seg = np.repeat(np.arange(n, dtype=np.int32), lengths)
+        codes = codes.astype(np.int32)
+        sym = np.where(codes < len(self.of_code), self.of_code[np.minimum(codes, len(self.of_code) - 1)], np.int32(-1))
         sym = np.where(sym >= 0, sym, -1 - codes)  # below 0: a code point that no piece has
         done_sym, done_seg = [], []
-        place = np.arange(len(sym))
+        place = np.arange(len(sym), dtype=np.int32)
         done_place = []
-        while len(sym) > 1:
-            near = seg[1:] == seg[:-1]
-            rank, at = self._pairs(sym[:-1], sym[1:])
-            rank[~near] = _NONE
-            first = np.flatnonzero(np.r_[True, ~near])
-            least = np.minimum.reduceat(np.append(rank, _NONE), first)
-            count = np.diff(np.r_[first, len(sym)])
+        # rank[i] and into[i] are of the pair i, i + 1
+        rank, into = self._pairs(sym, np.append(sym[1:], -1))
+        rank[:-1][seg[1:] != seg[:-1]] = _NONE
+        while len(sym):
+            first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+            least = np.minimum.reduceat(rank, first)
+            count = np.diff(np.append(first, len(sym)))
             # segments without a pair are finished and leave the arrays
-            over = np.repeat(least == _NONE, count)
-            if over.any():
+            if (least == _NONE).any():
+                go = np.repeat(least != _NONE, count)
+                over = ~go
                 done_sym.append(sym[over])
                 done_seg.append(seg[over])
                 done_place.append(place[over])
-                go = ~over
-                sym, seg, place = sym[go], seg[go], place[go]
+                sym, seg, place, rank, into = sym[go], seg[go], place[go], rank[go], into[go]
+                count, least = count[least != _NONE], least[least != _NONE]
                 if not len(sym):
                     break
-                continue_rank = np.append(rank, _NONE)[go]
-                continue_at = np.append(at, 0)[go]
-                count, least = count[least != _NONE], least[least != _NONE]
-                rank, at = continue_rank[:-1], continue_at[:-1]
-            low = np.repeat(least, count)
-            hit = np.append(rank, _NONE) == low
+            run = np.flatnonzero(rank == np.repeat(least, count))
             # of touching occurrences of one pair every other merges, from the left
-            run = np.flatnonzero(hit)
             step = np.r_[True, np.diff(run) > 1]
             begin = np.maximum.accumulate(np.where(step, np.arange(len(run)), 0))
             chosen = (np.arange(len(run)) - begin) % 2 == 0
-            tied = self.tied[low[run]]
+            tied = self.tied[rank[run]]
             if tied.any():
                 lead = np.r_[True, seg[run][1:] != seg[run][:-1]]
                 chosen = np.where(tied, lead, chosen)
             run = run[chosen]
-            sym[run] = self.into[at[run]]
+            sym[run] = into[run]
+            # the pair that the second half began belongs to the new symbol; both its neighbours' pairs are new
             keep = np.ones(len(sym), bool)
             keep[run + 1] = False
-            sym, seg, place = sym[keep], seg[keep], place[keep]
-        done_sym.append(sym)
-        done_seg.append(seg)
-        done_place.append(place)
-        sym, seg, place = np.concatenate(done_sym), np.concatenate(done_seg), np.concatenate(done_place)
+            sym, seg, place, rank, into = sym[keep], seg[keep], place[keep], rank[keep], into[keep]
+            at = run - np.arange(len(run))
+            touched = np.zeros(len(sym), bool)
+            touched[at] = True
+            touched[at[at > 0] - 1] = True
+            near = np.flatnonzero(touched)
+            follow = np.minimum(near + 1, len(sym) - 1)
+            rank[near], into[near] = self._pairs(sym[near], sym[follow])
+            rank[near[(seg[follow] != seg[near]) | (follow == near)]] = _NONE
+        sym, seg, place = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (done_sym, done_seg, done_place))
         order = np.argsort(place, kind="stable")
         sym, seg = sym[order], seg[order]
         # symbols that aren't pieces become bytes
@@ -164,7 +174,7 @@ class Vocabulary:
             new = np.repeat(sym, times)
             new[np.repeat(np.isin(np.arange(len(sym)), odd), times)] = np.concatenate(spelled)
             sym = new
-        return sym.astype(np.int32), np.bincount(seg, minlength=len(texts))
+        return sym.astype(np.int32), np.bincount(seg, minlength=n)
 
 
 @lru_cache(maxsize=4)
@@ -187,7 +197,13 @@ class Encoder:
         self.count = np.zeros(1 << 16, np.int64)
 
     def _learn(self, segments: list[bytes]) -> None:
-        ids, count = self.vocab.encode_segments([s.decode("utf-8", "replace").replace(" ", _MARK) for s in segments])
+        raw = b"".join(segments)
+        # a segment is cut at blanks and line breaks only, so that all of them decode as one text
+        codes = np.frombuffer(raw.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+        heads = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+        ends = np.cumsum([len(s) for s in segments])
+        lengths = np.diff(np.cumsum(heads)[ends - 1], prepend=0)
+        ids, count = self.vocab.encode_segments(np.where(codes == 32, ord(_MARK), codes), lengths)
         n, k = self.filled + len(ids), len(self.known)
         while n > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -221,10 +237,12 @@ class Encoder:
         names = words.dictionary.to_pylist()
         if len(self.known) + len(names) > self.most:
             self._clear()
-        new = [w for w in names if w not in self.known]
-        if new:
-            self._learn(new)
-        code = np.array([self.known[w] for w in names], np.int64)[words.indices.to_numpy(zero_copy_only=False)]
+        number = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = len(self.known) + np.arange(len(new))
+            self._learn([names[i] for i in new.tolist()])
+        code = number[words.indices.to_numpy(zero_copy_only=False)]
         text = np.repeat(np.arange(n), np.diff(np.searchsorted(at, offsets)))
         ok = full[text]
         code, text = code[ok], text[ok]
@@ -279,7 +297,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
         return one
 
-    return map_slices(picked(docs, id_col, text_col), make, "text", "doc_id long, ids array<int>, n_ids long, exact boolean")
+    return map_slices(picked(docs, id_col, text_col), make, "text", "doc_id long, ids array<int>, n_ids long, exact boolean", 4 << 20)
 
 
 def decode_ids(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:

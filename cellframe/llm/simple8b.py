@@ -28,14 +28,40 @@ COUNT = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.in
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 
 
+_SMALL = np.zeros(1 << 16, np.uint8)
+for _k in range(16):
+    _SMALL[1 << _k : 2 << _k] = _k + 1
+
+
 def bit_length(x: np.ndarray) -> np.ndarray:
+    if not len(x) or x.max() < 1 << 16:
+        return _SMALL[x.astype(np.int64)]
     x = x.astype(np.uint64)
-    out = np.zeros(len(x), np.int64)
-    for k in (32, 16, 8, 4, 2, 1):
-        big = x >= np.uint64(1 << k)
-        out[big] += k
-        x = np.where(big, x >> np.uint64(k), x)
-    return out + (x > 0)
+    out = np.zeros(len(x), np.uint8)
+    for k in (48, 32, 16, 0):
+        part = x >> np.uint64(k)
+        new = (out == 0) & (part > 0)
+        out[new] = _SMALL[part[new].astype(np.int64)] + np.uint8(k)
+    return out
+
+
+def widest(need: np.ndarray, block: int) -> np.ndarray:
+    """Selector to begin with at each place of each block (rows of bit lengths, 0 after the end).
+
+    The greatest bit length of the next n ids comes from those of shorter stretches, for all places at once.
+    """
+    room = np.zeros((len(need), block + 120), np.uint8)
+    room[:, : need.shape[1]] = need
+    most = {1: room}
+    for n, (a, b) in {2: (1, 1), 3: (2, 2), 4: (2, 2), 5: (4, 4), 6: (4, 4), 7: (4, 4), 8: (4, 4), 10: (5, 5), 12: (6, 6), 15: (8, 8), 20: (10, 10), 30: (15, 15), 60: (30, 30), 120: (60, 60)}.items():
+        m = most[a].copy()
+        shift = n - b
+        np.maximum(m[:, :-shift], most[b][:, shift:], out=m[:, :-shift])
+        most[n] = m
+    best = np.zeros((len(need), block), np.uint8)
+    for s in range(15, 0, -1):
+        np.copyto(best, np.uint8(s), where=most[int(COUNT[s])][:, :block] <= BITS[s])
+    return best
 
 
 def pack(ids: np.ndarray, counts: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,22 +79,12 @@ def pack(ids: np.ndarray, counts: np.ndarray, block: int = BLOCK) -> tuple[np.nd
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), np.zeros(len(counts), np.int64), z, blocks, np.zeros(0, np.uint64)
-    need = bit_length(ids)
-    block_end = np.repeat(end, end - begin)
-    here = np.arange(n)
-    left = block_end - here
-    best = np.zeros(n, np.int64)  # the escape, unless something fits
-    todo = here
-    for s in range(1, 16):
-        if not len(todo):
-            break
-        bad = np.flatnonzero(need > BITS[s])
-        if len(bad) == n:
-            continue
-        stop = np.append(bad, n)[np.searchsorted(bad, todo)]
-        fits = stop - todo >= np.minimum(COUNT[s], left[todo])
-        best[todo[fits]] = s
-        todo = todo[~fits]
+    size = end - begin
+    row = np.repeat(np.arange(len(owner)), size)
+    flat = row * block + np.arange(n) - np.repeat(begin, size)
+    need = np.zeros(len(owner) * block, np.uint8)
+    need[flat] = bit_length(ids)
+    best = widest(need.reshape(-1, block), block).ravel()[flat].astype(np.int64)
     at, first = begin.copy(), []
     live = np.arange(len(begin))
     rounds = []
@@ -155,7 +171,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
         return one
 
-    return map_slices(picked(docs, id_col, text_col), make, "text", "doc_id long, n_ids long, payload binary, offsets array<int>, escapes array<long>")
+    return map_slices(picked(docs, id_col, text_col), make, "text", "doc_id long, n_ids long, payload binary, offsets array<int>, escapes array<long>", 4 << 20)
 
 
 def encode_ids(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", block: int = BLOCK) -> DataFrame:
