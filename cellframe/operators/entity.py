@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.functions.scalar import confidence, person_id
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the session's shared checkpoint folder, lineage cut; a temporary folder only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or Path(tempfile.mkdtemp(prefix="ckpt")).as_uri())
-    return df.checkpoint(eager=True)
+from cellframe.session import checkpointed
 
 
 def node(kind: str, c: str):

@@ -11,8 +11,20 @@ BINDING_OPEN_END = "2999-12-31 23:59:59"
 GENERATED_PERSON_OPEN_END = "2261-12-31 23:59:59"
 
 
+_SIMPLE = {"string": T.StringType(), "smallint": T.ShortType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType()}
+
+
+def _type(text: str) -> T.DataType:
+    if text.startswith("array<"):
+        return T.ArrayType(_type(text[6:-1]))
+    if text.startswith("struct<"):
+        return T.StructType([T.StructField(n, _type(t)) for n, t in (f.split(":") for f in text[7:-1].split(","))])
+    return _SIMPLE[text]
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from ``name type, name type``; needs no session, unlike Spark's own parser."""
+    return T.StructType([T.StructField(*(n, _type(t))) for n, t in (f.split(" ") for f in text.split(", "))])
 
 
 EVENT = _schema("event_timestamp string, imsi string, imei string, msisdn string, location struct<mcc:string,mnc:string,lac:bigint,cell:bigint>, event bigint, event_name string, event_count bigint")

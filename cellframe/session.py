@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -22,3 +25,14 @@ def build_session(app: str = "cellframe", master: str | None = None, **conf: str
     for k, v in (DEFAULTS | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's shared checkpoint folder (``spark.checkpoint.dir``), its lineage cut.
+
+    A temporary folder serves only where none is set, as in tests on one machine.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or Path(tempfile.mkdtemp(prefix="ckpt")).as_uri())
+    return df.checkpoint(eager=True)
