@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def signature(columns: Sequence[str]) -> Column:
-    """SHA-256 of the compared columns, null apart from any text."""
-    return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]), {"ignoreNullFields": "false"}), 256)
-
-
 def latest(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row for each key, the greatest by ``order``."""
     rest = [c for c in df.columns if c not in key]
@@ -25,14 +20,17 @@ def merge(history: DataFrame, snapshot: DataFrame, key: Sequence[str], compare:
     """
     open_ = F.col(end).isNull() | (F.col(end) == open_end)
     closed, active = history.where(~open_), history.where(open_)
-    a = active.withColumn("__sig", signature(compare)).select(*[F.col(c).alias(c if c in key else f"__old_{c}") for c in [*active.columns, "__sig"]])
-    b = snapshot.select(*key, *compare).withColumn("__sig", signature(compare)).select(*[F.col(c).alias(c if c in key else f"__new_{c}") for c in [*key, *compare, "__sig"]])
-    j = a.join(b, list(key), "full_outer")
-    gone = F.col("__new___sig").isNull()
-    same = F.coalesce(F.col("__old___sig") == F.col("__new___sig"), F.lit(False))
-    had = F.col("__old___sig").isNotNull()
-    until = F.greatest(F.col(f"__old_{start}"), effective - F.make_dt_interval(secs=F.lit(0.000001)))
     rest = [c for c in history.columns if c not in key]
-    old = j.where(had).select(*key, *[(F.when(same, F.col(f"__old_{c}")).otherwise(until) if c == end else F.col(f"__old_{c}")).alias(c) for c in rest])
-    new = j.where(~gone & ~same).select(*key, *[(effective if c == start else open_end if c == end else F.col(f"__new_{c}") if c in compare else F.lit(None)).cast(history.schema[c].dataType).alias(c) for c in rest])
-    return closed.unionByName(old.select(*closed.columns)).unionByName(new.select(*closed.columns))
+    old = active.select(*key, F.lit(True).alias("__old"), *[F.col(c).alias(f"__old_{c}") for c in rest])
+    new = snapshot.select(*key, F.lit(True).alias("__new"), *[F.col(c).cast(history.schema[c].dataType).alias(f"__new_{c}") for c in compare])
+    j = old.join(new, list(key), "full_outer")
+    had, has = F.coalesce("__old", F.lit(False)), F.coalesce("__new", F.lit(False))
+    same = had & has & F.struct(*[f"__old_{c}" for c in compare]).eqNullSafe(F.struct(*[f"__new_{c}" for c in compare]))
+    until = F.greatest(F.col(f"__old_{start}"), effective - F.make_dt_interval(secs=F.lit(0.000001)))
+    kind = {c: history.schema[c].dataType for c in rest}
+    kept = F.struct(*[(F.when(same, F.col(f"__old_{c}")).otherwise(until).cast(kind[c]) if c == end else F.col(f"__old_{c}")).alias(c) for c in rest])
+    begun = F.struct(*[(effective if c == start else open_end if c == end else F.col(f"__new_{c}") if c in compare else F.lit(None)).cast(kind[c]).alias(c) for c in rest])
+    # both versions of a key come out of the joined row itself. As rows of an array they are also opaque to the optimiser, which would
+    # otherwise rewrite a comparison of many columns once for every subset of the renamed ones
+    versions = F.filter(F.array(F.when(had, kept), F.when(has & ~same, begun)), lambda v: v.isNotNull())
+    return closed.unionByName(j.select(*key, F.explode(versions).alias("v")).select(*key, "v.*").select(*closed.columns))

@@ -14,18 +14,23 @@ DAY = date(2024, 1, 10)
 
 
 @pytest.fixture(scope="module")
-def world(spark):
-    raw = generate.cells(spark, 300).cache()
-    people = generate.subscribers(spark, 200).cache()
-    marts = {k: generate.mart(spark, people, raw, k, DAY).cache() for k in events.CODES}
+def world(spark, tmp_path_factory):
+    """Each table is written and read again before the next is built from it, as the plans are run."""
+    root = tmp_path_factory.mktemp("world")
+
+    def stored(df, name):
+        df.coalesce(2).write.parquet(f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
+
+    raw, people = stored(generate.cells(spark, 300, noise=0.2), "raw"), stored(generate.subscribers(spark, 200), "people")
+    marts = {k: stored(generate.mart(spark, people, raw, k, DAY), k) for k in events.CODES}
     clean, errors = cells.prepare(raw)
     zones = spark.createDataFrame([(1, "z", 3, "POLYGON((30 50,45 50,45 60,30 60,30 50))")], "code int, name string, timezone int, geometry string")
-    snapshot = cells.build_snapshot(clean, zones)
-    history = cells.merge_snapshot(schemas.empty(spark, schemas.BS), snapshot, F.lit("2024-01-01").cast("timestamp_ntz")).cache()
-    ev = events.build_events(marts, DAY).cache()
-    geo = events.build_geo_all(ev, history, DAY).cache()
-    imei, imsi = (bindings.upsert_day(None, geo, k, DAY).cache() for k in ("imei", "imsi"))
-    return {"raw": raw, "people": people, "marts": marts, "errors": errors, "zones": zones, "bs": history, "events": ev, "geo": geo, "imei": imei, "imsi": imsi}
+    bs = stored(cells.merge_snapshot(schemas.empty(spark, schemas.BS), cells.build_snapshot(clean, zones), F.lit("2024-01-01").cast("timestamp_ntz")), "bs")
+    ev = stored(events.build_events(marts, DAY), "events")
+    geo = stored(events.build_geo_all(ev, bs, DAY), "geo")
+    imei, imsi = (stored(bindings.upsert_day(None, geo, k, DAY), f"b_{k}") for k in ("imei", "imsi"))
+    return {"raw": raw, "people": people, "marts": marts, "errors": errors, "zones": zones, "bs": bs, "events": ev, "geo": geo, "imei": imei, "imsi": imsi, "stored": stored}
 
 
 def statuses(df):
@@ -79,7 +84,8 @@ def test_bindings(world):
 
 
 def test_stays(world, spark):
-    out = events.build_geo_intervals(world["geo"], world["imsi"], world["imei"], world["bs"], world["zones"], DAY).cache()
+    out = events.build_geo_intervals(world["geo"], world["imsi"], world["imei"], world["bs"], world["zones"], DAY)
+    out = world["stored"](out, "stays")
     assert out.count() > 0 and out.where("imsi is null or imei is null").count() == 0
     s = statuses(suites.fct_geo_intervals(out))
     assert "failed" not in s.values() and s["timezone"] == "ok"
@@ -98,7 +104,8 @@ def test_stay_of_one_bucket(spark):
 
 def test_persons(world, spark):
     month = date(2024, 1, 1)
-    out = persons.build_persons(world["people"], month, world["imsi"], world["imei"], codes={"RU": "643", "UZ": "860"}).cache()
+    out = persons.build_persons(world["people"], month, world["imsi"], world["imei"], codes={"RU": "643", "UZ": "860"})
+    out = world["stored"](out, "persons")
     s = statuses(suites.fct_person(out, spark.createDataFrame([("643",), ("860",)], "numeric_code string")))
     assert "failed" not in s.values(), s
     again = persons.build_persons(world["people"], month, world["imsi"], world["imei"], previous=out.withColumn("person_id", F.concat(F.lit("prs_"), F.substring(F.sha2("person_id", 256), 1, 24))))
