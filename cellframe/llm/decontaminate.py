@@ -1,11 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Runs of ``n`` words of the test items are looked for in every document. An item's seeds are those of
-its runs that occur in fewest documents, up to its ``quantile``-th document frequency (frequencies are counted
-over all documents, so an item always has seeds, however often it was copied). Around each seed found,
-words of document and item are aligned locally: a match is worth 1, a mismatch or a gap costs 1.
-A document holds a copy of an item if the score reaches ``share`` of the item's words, or ``enough``
-words.
+Runs of ``n`` words of the test items are looked for in every document and their document frequencies counted
+over all documents. Of an item's runs that occur at all, its seeds are those in at most a ``rare`` share of the documents, and
+those up to the ``quantile``-th frequency of the item (so an item has seeds however often it was copied). Around each seed found,
+words of document and item are aligned locally: a match is worth 2, a mismatch or a gap costs 1.
+A document holds a copy of an item if the score reaches that of ``share`` of the item's words, or of ``enough``
+words, and in any case of ``least`` words (four fifths of a shorter item's), which no chance likeness does.
 
 Test items are broadcast in groups whose text is ``GROUP_BYTES`` at most; more items make more groups, each with
 its own scan, with the same result.
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from cellframe.llm._text import HashSet, Words, map_slices, ngrams, picked
 
-N, QUANTILE, SHARE, ENOUGH, GROUP_BYTES = 3, 0.5, 0.5, 50, 16 << 20
+N, QUANTILE, RARE, SHARE, ENOUGH, LEAST, GROUP_BYTES = 3, 0.5, 1e-3, 0.35, 50, 8, 16 << 20
+MATCH = 2
 
 
 @dataclass
@@ -55,11 +56,12 @@ def prepare(rows: list[tuple[int, str]], n: int = N) -> Items:
     return Items([i for i, _ in rows], words, names, owner, np.searchsorted(owner[:, 0], np.arange(len(names) + 1)))
 
 
-def seeds_of(items: Items, frequency: np.ndarray, quantile: float = QUANTILE) -> np.ndarray:
-    """Marks the owner rows that are seeds."""
-    seed = np.zeros(len(items.owner), bool)
+def seeds_of(items: Items, frequency: np.ndarray, rows: int, quantile: float = QUANTILE, rare: float = RARE) -> np.ndarray:
+    """Marks the owner rows that are seeds. Runs that no document has don't count: in an edited copy they are what was edited."""
     f = frequency[items.owner[:, 0]]
-    order = np.lexsort((f, items.owner[:, 1]))
+    seed = (f > 0) & (f <= rare * rows)
+    present = np.flatnonzero(f > 0)
+    order = present[np.lexsort((f[present], items.owner[present, 1]))]
     cut = np.flatnonzero(np.diff(items.owner[order, 1])) + 1
     for part in np.split(order, cut):
         if len(part):
@@ -89,7 +91,7 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
         for i in range(la):
             same = (y == x[:, i : i + 1]) & oky & okx[:, i : i + 1]
             now = np.zeros_like(before)
-            np.maximum(before[:, :-1] + np.where(same, 1, -1), before[:, 1:] - 1, out=now[:, 1:])
+            np.maximum(before[:, :-1] + np.where(same, MATCH, -1), before[:, 1:] - 1, out=now[:, 1:])
             np.maximum(now, 0, out=now)
             now += ramp
             np.maximum.accumulate(now, axis=1, out=now)
@@ -104,6 +106,12 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return score, end
 
 
+def needed(length: np.ndarray, share: float = SHARE, enough: int = ENOUGH, least: int = LEAST) -> np.ndarray:
+    """Score from which an alignment with an item of so many words counts as a copy."""
+    length = np.asarray(length, float)
+    return MATCH * np.maximum(np.minimum(least, 0.8 * length), np.minimum(share * length, enough))
+
+
 def matches(items: Items, seed: np.ndarray, column: pa.Array, n: int = N, share: float = SHARE, enough: int = ENOUGH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text index, item index, score and last word's position of each copy found, the best for each text and item."""
     w = Words(column)
@@ -136,7 +144,7 @@ def matches(items: Items, seed: np.ndarray, column: pa.Array, n: int = N, share:
     doc, item, low = doc[first], item[first], low[first]
     score, end = align([items.words[i] for i in item], [h[a:b] for a, b in zip(low, high, strict=True)])
     length = np.array([len(items.words[i]) for i in item])
-    ok = score >= np.minimum(share * length, enough)
+    ok = score >= needed(length, share, enough)
     doc, item, score, end = doc[ok], item[ok], score[ok], (low + end - 1 - w.first[doc])[ok]
     order = np.lexsort((end, -score, item, doc))
     doc, item, score, end = doc[order], item[order], score[order], end[order]
@@ -159,16 +167,17 @@ def _groups(benchmark: DataFrame, id_col: str, text_col: str, most: int):
         yield rows
 
 
-def frequencies(docs: DataFrame, items: Items, n: int = N) -> np.ndarray:
-    """In how many rows of ``docs`` each of the items' runs occurs."""
+def frequencies(docs: DataFrame, items: Items, n: int = N) -> tuple[np.ndarray, int]:
+    """In how many rows of ``docs`` each of the items' runs occurs, and the number of rows that have a text."""
     shared = docs.sparkSession.sparkContext.broadcast(items.gram)
 
     def run(batches):
         from cellframe.llm._text import sliced
 
-        grams, counts = HashSet(shared.value), np.zeros(len(shared.value), np.int64)
+        grams, counts, rows = HashSet(shared.value), np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
             for part in sliced(batch, "text"):
+                rows += part.num_rows
                 w = Words(part.column("text"))
                 g, at = ngrams(w.hashes(), w.first, n)
                 hit, k = grams.find(g)
@@ -176,18 +185,19 @@ def frequencies(docs: DataFrame, items: Items, n: int = N) -> np.ndarray:
                 pair = np.unique(doc * len(counts) + k)
                 counts += np.bincount(pair % len(counts), minlength=len(counts)) if len(pair) else 0
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], rows))], ["gram", "n"])
 
     found = docs.select("text").where("text is not null").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    gram, count = found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
     out = np.zeros(len(items.gram), np.int64)
-    out[found["gram"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return out
+    out[gram[gram >= 0]] = count[gram >= 0]
+    return out, int(count[gram < 0].sum())
 
 
 def _prepared(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, n: int, quantile: float, group_bytes: int):
     for rows in _groups(benchmark, item_col, item_text_col, group_bytes):
         items = prepare(rows, n)
-        yield items, seeds_of(items, frequencies(docs, items, n), quantile)
+        yield items, seeds_of(items, *frequencies(docs, items, n), quantile)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, quantile: float = QUANTILE, share: float = SHARE, enough: int = ENOUGH, group_bytes: int = GROUP_BYTES) -> DataFrame:

@@ -455,7 +455,7 @@ def local(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
         for j in range(len(b)):
-            h[i + 1][j + 1] = max(0, h[i][j] + (1 if a[i] == b[j] else -1), h[i][j + 1] - 1, h[i + 1][j] - 1)
+            h[i + 1][j + 1] = max(0, h[i][j] + (2 if a[i] == b[j] else -1), h[i][j + 1] - 1, h[i + 1][j] - 1)
     return max(map(max, h))
 
 
@@ -476,7 +476,7 @@ def test_decontamination_against_brute_force(spark):
             w[r.randrange(len(w))] = r.choice(VOCAB)
         docs[i] = (i, docs[i][1] + "\n" + " ".join(w[: len(w) if i % 5 else len(w) // 3]) + " " + prose(30, r))
     norm = lambda t: t.lower().replace(".", " ").split()
-    brute = {(d, i) for d, t in docs for i, x in items if local(norm(x), norm(t)) >= min(0.5 * len(norm(x)), 50)}
+    brute = {(d, i) for d, t in docs for i, x in items if local(norm(x), norm(t)) >= decontaminate.needed(len(norm(x)))}
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(df, bench).collect()}
     assert got <= brute and len(got) >= 0.95 * len(brute) and len(brute) > 30
