@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cellframe.llm._text import Words, checkpointed, map_slices, mix, ngrams, picked
 
-SHINGLE, BANDS, ROWS, THRESHOLD, BLOCK, SEED = 3, 32, 4, 0.6, 4096, 7
+SHINGLE, BANDS, ROWS, THRESHOLD, BLOCK, SEED = 3, 64, 4, 0.55, 4096, 7
 
 
 def _coefficients(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
