@@ -8,8 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _numbered(df: DataFrame, name: str = "__row") -> DataFrame:
-    return df.withColumn(name, F.monotonically_increasing_id())
+def _counted(df: DataFrame) -> DataFrame:
+    """Distinct rows and ``__n``, how often each occurs: a row's content is its key.
+
+    Generated row numbers would change when a lost partition is computed again in another order; contents don't.
+    """
+    return df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+
+
+def _repeated(df: DataFrame) -> DataFrame:
+    return df.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n")))).drop("__i", "__n")
 
 
 def version_join(events: DataFrame, versions: DataFrame, key: Sequence[str], ts: str, start: str, end: str, nearest: bool = True, row_key: Sequence[str] | None = None, tie: Sequence[str] = ()) -> DataFrame:
@@ -17,10 +25,10 @@ def version_join(events: DataFrame, versions: DataFrame, key: Sequence[str], ts:
     distance in time, the later of two. Events whose key has no version go; so do, without ``nearest``, those that none was active for.
 
     One equi-join on the key and one grouped arg-min; a null end is open. ``row_key`` names columns that identify an event;
-    without it, rows are numbered.
+    without it the whole row does, and equal rows are joined once.
     """
-    ids = list(row_key) if row_key else ["__row"]
-    left = events if row_key else _numbered(events)
+    left = events if row_key else _counted(events)
+    ids = list(row_key) if row_key else left.columns
     extra = [c for c in versions.columns if c not in key]
     joined = left.join(versions, list(key))
     t = F.col(ts)
@@ -32,7 +40,7 @@ def version_join(events: DataFrame, versions: DataFrame, key: Sequence[str], ts:
         joined = joined.where(active)
     best = joined.groupBy(*ids).agg(F.min_by(F.struct(*[F.col(c) for c in joined.columns if c not in ids]), rank).alias("__best"))
     out = best.select(*ids, "__best.*").select(*[c for c in left.columns if c not in key], *key, *extra)
-    return out.drop("__row") if not row_key else out
+    return out if row_key else _repeated(out)
 
 
 def fill_from_intervals(df: DataFrame, bindings: DataFrame, key: str, value: str, ts: str, start: str = "valid_from", end: str = "valid_to", row_key: Sequence[str] | None = None) -> DataFrame:
@@ -42,12 +50,14 @@ def fill_from_intervals(df: DataFrame, bindings: DataFrame, key: str, value: str
     """
     lacking = F.col(value).isNull() & F.col(key).isNotNull()
     whole = df.where(~lacking)
-    part = df.where(lacking) if row_key else _numbered(df.where(lacking))
-    ids = list(row_key) if row_key else ["__row"]
+    part = df.where(lacking) if row_key else _counted(df.where(lacking))
     b = bindings.select(F.col(key).alias("__key"), F.col(value).alias("__value"), F.col(start).alias("__start"), F.col(end).alias("__end")).where("__value is not null")
-    hit = part.select(*ids, key, ts).join(b, (F.col(key) == F.col("__key")) & (F.col("__start") <= F.col(ts)) & (F.col(ts) <= F.col("__end")))
-    best = hit.groupBy(*ids).agg(F.max_by("__value", F.struct("__start", "__value")).alias("__fill"))
-    filled = part.join(best, ids, "left").withColumn(value, F.col("__fill").cast(df.schema[value].dataType))
+    ids = list(row_key) if row_key else part.columns
+    rest = [c for c in part.columns if c not in ids]
+    held = (F.col(key) == F.col("__key")) & (F.col("__start") <= F.col(ts)) & (F.col(ts) <= F.col("__end"))
+    best = F.max_by("__value", F.struct("__start", "__value")).alias("__fill")
+    filled = part.join(b, held, "left").groupBy(*ids).agg(best, *[F.any_value(c).alias(c) for c in rest]).withColumn(value, F.col("__fill").cast(df.schema[value].dataType))
+    filled = filled if row_key else _repeated(filled)
     return whole.unionByName(filled.select(*df.columns))
 
 
@@ -96,10 +106,9 @@ def missing_references(child: DataFrame, child_col: str, parent: DataFrame, pare
 
 def first_contained(df: DataFrame, text: str, tokens: DataFrame, token: str = "token", result: str = "result", priority: str = "priority") -> DataFrame:
     """The result of the token of least priority that occurs in the text; null if none does. ``tokens`` is a small dimension."""
-    rows = _numbered(df)
-    hit = rows.select("__row", text).join(F.broadcast(tokens), F.contains(F.lower(F.col(text)), F.lower(F.col(token))))
-    best = hit.groupBy("__row").agg(F.min_by(result, priority).alias(result))
-    return rows.join(best, "__row", "left").drop("__row")
+    hit = df.select(text).distinct().join(F.broadcast(tokens), F.contains(F.lower(F.col(text)), F.lower(F.col(token))))
+    best = hit.groupBy(F.col(text).alias("__text")).agg(F.min_by(result, priority).alias(result))
+    return df.join(best, F.col(text) == F.col("__text"), "left").drop("__text")
 
 
 def nearest_k(points: DataFrame, others: DataFrame, k: int, size: float, id_col: str = "id", x: str = "lon", y: str = "lat") -> DataFrame:

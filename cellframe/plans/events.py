@@ -12,6 +12,7 @@ from cellframe.functions import scalar as S
 from cellframe.operators import impute, joins, stay
 from cellframe.operators.geo import first_covering
 from cellframe.operators.islands import collapse_runs, first_known, mark_islands
+from cellframe.session import checkpointed
 
 CODES = {"cdr": 10001, "sms": 10002, "gprs": 10003, "location": 10004}
 PARTY = {"cdr": "CallingNumber", "gprs": "CallingNumber", "sms": "Calling", "location": "Served"}
@@ -144,7 +145,7 @@ def build_geo_intervals(geo: DataFrame, imsi_bindings: DataFrame, imei_bindings:
 
     ``fan_out`` gives an outdoor event each version of its cell, as the original's join does; the default is one point for each cell.
     """
-    rows = geo.withColumn("__id", F.monotonically_increasing_id())
+    rows = geo
     for b, c in ((imsi_bindings, "imsi"), (imei_bindings, "imei")):
         held = b.select(F.col("msisdn").try_cast("bigint").alias("msisdn"), F.col(c).try_cast("bigint").alias(c), "valid_from", "valid_to")
         rows = joins.fill_from_intervals(rows, held, "msisdn", c, "start_time_utc")
@@ -156,7 +157,8 @@ def build_geo_intervals(geo: DataFrame, imsi_bindings: DataFrame, imei_bindings:
         one = place.groupBy("cgi").agg(F.max_by(F.struct("lat", "lon", "timezone"), F.struct("date_on", "lat", "lon")).alias("r")).select("cgi", "r.*")
         points = (place if fan_out else one).select("cgi", "lat", "lon")
         zone_of_cell = one.select(F.col("cgi").cast("string").alias("__cgi"), F.col("timezone").alias("__tz"))
-    out = stay.build_stays(rows.drop("__id"), points, F.lit(day)).withColumn("__row", F.monotonically_increasing_id())
+    # written before it is joined with what is computed from it: row numbers, and sums of doubles, may differ at another evaluation
+    out = checkpointed(stay.build_stays(rows, points, F.lit(day)).withColumn("__row", F.monotonically_increasing_id()))
     if zones is not None:
         out = first_covering(out, zones.select("code", "timezone", "geometry"), "__row", "sub_lon", "sub_lat", "code", "geometry").drop("code")
     else:
