@@ -182,10 +182,19 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _spread(start: np.ndarray, count: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Indexes ``start[i], start[i] + 1, ...``, ``count[i]`` of them for each i; ``total`` is the running sum of the counts."""
+    n = int(total[-1]) if len(total) else 0
+    kind = np.int32 if n < 1 << 31 and (not len(start) or int(start.max()) + n < 1 << 31) else np.int64
+    out = np.repeat((start - (total - count)).astype(kind), count)
+    out += np.arange(n, dtype=kind)
+    return out
+
+
 class Encoder:
     """Encodes columns of texts; remembers the segments that it has met, up to ``most``."""
 
-    def __init__(self, vocab: Vocabulary, most: int = 600_000):
+    def __init__(self, vocab: Vocabulary, most: int = 400_000):
         self.vocab, self.most = vocab, most
         self._clear()
 
@@ -248,7 +257,7 @@ class Encoder:
         code, text = code[ok], text[ok]
         count = self.count[code]
         total = np.cumsum(count)
-        ids = self.ids[np.arange(total[-1] if len(total) else 0) + np.repeat(self.start[code] - (total - count), count)]
+        ids = self.ids[_spread(self.start[code], count, total)]
         return ids, np.bincount(text, count, n).astype(np.int64)
 
 
@@ -262,7 +271,7 @@ def decode(vocab: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> list[str]:
     """Texts of id sequences: their pieces' bytes, less the blank that encoding put in front."""
     length = vocab.raw_length[ids]
     total = np.cumsum(length)
-    raw = vocab.raw_bytes[np.arange(total[-1] if len(total) else 0) + np.repeat(vocab.raw_start[ids] - (total - length), length)].tobytes()
+    raw = vocab.raw_bytes[_spread(vocab.raw_start[ids], length, total)].tobytes()
     ends = np.concatenate([[0], total])[np.cumsum(counts)]
     out, a = [], 0
     for b in ends.tolist():
@@ -297,7 +306,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
         return one
 
-    return map_slices(picked(docs, id_col, text_col), make, "text", "doc_id long, ids array<int>, n_ids long, exact boolean", 4 << 20)
+    return map_slices(picked(docs, id_col, text_col), make, "text", "doc_id long, ids array<int>, n_ids long, exact boolean", 2 << 20)
 
 
 def decode_ids(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str | None = None) -> DataFrame:

@@ -171,7 +171,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
         return one
 
-    return map_slices(picked(docs, id_col, text_col), make, "text", "doc_id long, n_ids long, payload binary, offsets array<int>, escapes array<long>", 4 << 20)
+    return map_slices(picked(docs, id_col, text_col), make, "text", "doc_id long, n_ids long, payload binary, offsets array<int>, escapes array<long>", 2 << 20)
 
 
 def encode_ids(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", block: int = BLOCK) -> DataFrame:
