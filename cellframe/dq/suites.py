@@ -17,7 +17,7 @@ from cellframe.functions import scalar as S
 from cellframe.operators import geo, intervals, joins, profile
 
 RESULT = "check_name string, status string, metrics map<string,string>"
-GEO_TYPES = ("cdr", "sms", "gprs", "location")
+GEO_TYPES = tuple("cdr sms gprs location".split())
 
 
 class Suite:
@@ -160,7 +160,7 @@ def src_bs(df: DataFrame) -> DataFrame:
     coords = x.between(-180, 180) & y.between(-90, 90)
     codes = lac.isNotNull() & cell.isNotNull() & (lac >= 0) & (lac < 1e5) & (cell >= 0) & (cell < 1e6)
     ordered = off.isNull() | (off >= on)
-    s = Suite(df, ["mcc", "mnc", "lac", "cell", "date_on", "date_off", "coord_x", "coord_y", "bs_type", "generation"]).nulls().distinct(["mcc", "mnc", "bs_type", "generation"])
+    s = Suite(df, "mcc mnc lac cell date_on date_off coord_x coord_y bs_type generation".split()).nulls().distinct(["mcc", "mnc", "bs_type", "generation"])
     s.rate("stg_contract.lac_cell", codes, 0.995, 0.999).rate("stg_contract.coords", coords, 0.995, 0.999).rate("stg_contract.temporal_order", ordered, 0.99, 0.995).rate("stg_contract.generation_present", ~_empty("generation"), 0.99, 0.995)
     s.rate("contract.mcc_rf", _number("mcc") == 250, 0.99, 0.999).rate("contract.mnc_valid", _number("mnc").between(0, 99), 0.99, 0.999).rate("contract.lac_cell_non_negative", (lac >= 0) & (cell >= 0), 0.995, 0.999).none("contract.date_off_present", off.isNull(), "failed")
     s.rate("contract.coords_present", x.isNotNull() & y.isNotNull(), 0.995, 0.999).rate("contract.generation_vocab", F.upper(F.trim("generation")).isin("2G", "3G", "4G"), 0.95, 0.99)
@@ -175,7 +175,7 @@ def src_bs(df: DataFrame) -> DataFrame:
             s.rate(f"contract.frequency_list.{c}", S.number_list(c), 0.98, 0.995, ~_empty(c))
     if s.has("border"):
         s.none("contract.border_boolean", S.boolean_text("border") == "<other>")
-    s.unique("key_integrity", ["mcc", "mnc", "lac", "cell", "date_on"], "warning").values("bs_type", "bs_type").values("generation", "generation")
+    s.unique("key_integrity", "mcc mnc lac cell date_on".split(), "warning").values("bs_type", "bs_type").values("generation", "generation")
     sites = profile.nested_count_quantiles(df.where(coords), ["coord_x", "coord_y"])
     s.add(as_results(sites.select(F.lit("contract.cells_per_coordinate").alias("check_name"), F.lit("info").alias("status"), "*"), "p50", "p95", "max"))
     months = profile.value_counts(df.select(F.date_format(on, "yyyy-MM").alias("m")), "m", 60)
@@ -189,17 +189,17 @@ def src_person(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     a, b = (F.col(c).try_cast("timestamp_ntz") for c in ("actually_from", "actually_to"))
     age = F.datediff(as_of, F.col("birth_day").try_cast("date")) / 365.25
     name = ~_empty("last_name") & ~_empty("first_name")
-    s = Suite(df, ["identity_type", "operator_Id", "isdn", "imsi", "imei", "iccid", "client_type", "actually_from", "actually_to", "birth_day", "first_name", "second_name", "last_name", "document"]).nulls().distinct(["operator_Id", "isdn", "imsi"])
+    s = Suite(df, "identity_type operator_Id isdn imsi imei iccid client_type actually_from actually_to birth_day first_name second_name last_name document".split()).nulls().distinct(["operator_Id", "isdn", "imsi"])
     for c in ("isdn", "imsi", "imei"):
         s.rate(f"identity.{c}_filled", ~_empty(c), 0.90, 0.98, gsm)
     s.rate("non_gsm_isdn_leak", _empty("isdn"), 0.0, 0.99, ~gsm).rate("isdn_format", _like("isdn", r"^7\d{10}$"), 0.95, 0.99, ~_empty("isdn")).rate("imsi_length", _like("imsi", r"^\d{15}$"), 0.95, 0.99, ~_empty("imsi")).rate("imei_length", _like("imei", r"^\d{15}$"), 0.95, 0.99, ~_empty("imei"))
-    s.rate("iccid_length", _like("iccid", r"^\d{18,20}$"), 0.90, 0.98, ~_empty("iccid")).rate("passport", _like("document", r"^\d{4} \d{6}$"), 0.90, 0.98, physical & ~_empty("document")).rate("age_range", age.between(14, 110), 0.90, 0.98, physical & F.col("birth_day").isNotNull())
+    s.rate("iccid_length", _like("iccid", r"^\d{18,20}$"), 0.90, 0.98, ~_empty("iccid")).rate("passport", _like("document", r"^\d\d\d\d \d{6}$"), 0.90, 0.98, physical & ~_empty("document")).rate("age_range", age.between(14, 110), 0.90, 0.98, physical & F.col("birth_day").isNotNull())
     s.rate("fio_physical", name, 0.95, 0.98, physical).rate("fio_corporate_absent", ~name, 0.0, 0.95, ~physical).rate("stg_contract.interval_order", b.isNull() | (b >= a), 0.995, 0.999).rate("stg_contract.fio_present", name, 0.95, 0.98, physical)
     for c in ("isdn", "imsi", "imei"):
         s.rate(f"stg_contract.{c}_present", ~_empty(c), 0.99, 0.995, physical)
     if s.has("service_list"):
         s.rate("service_list", F.forall(S.service_entries("service_list"), lambda x: x.rlike(r"^[^;]+;")), 0.90, 0.98, ~_empty("service_list"))
-    s.unique("operator_isdn_key", ["operator_Id", "isdn", "actually_from"], "warning").unique("four_key", ["operator_Id", "isdn", "imsi", "actually_from"], "warning").values("operator", "operator_Id")
+    s.unique("operator_isdn_key", ["operator_Id", "isdn", "actually_from"], "warning").unique("four_key", "operator_Id isdn imsi actually_from".split(), "warning").values("operator", "operator_Id")
     cross = profile.cross_tab(df, "identity_type", "client_type")
     return s.add(cross.select(F.concat_ws(".", F.lit("cross"), F.coalesce(F.col("identity_type").cast("string"), F.lit("<NA>")), F.coalesce(F.col("client_type").cast("string"), F.lit("<NA>"))).alias("check_name"), F.lit("info").alias("status"), F.create_map(F.lit("n"), F.col("n").cast("string"), F.lit("pct"), F.col("pct").cast("string")).alias("metrics"))).results()
 
@@ -274,11 +274,11 @@ def fct_bs(df: DataFrame, vocabulary: Sequence[str] = ("m", "i", "x", "f", "o"))
 
 def stg_geo_all(df: DataFrame) -> DataFrame:
     s = Suite(df, schemas.GEO_EVENT.fieldNames()).distinct(["msisdn", "imsi", "imei", "cgi"])
-    for c in ("msisdn", "start_time_utc", "cgi", "lat", "lon"):
+    for c in "msisdn start_time_utc cgi lat lon".split():
         s.none(f"required.{c}", F.col(c).isNull(), "failed")
     s.none("coords", ~F.coalesce(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180), F.lit(False))).none("time_order", F.col("end_time_utc") < F.col("start_time_utc"), "failed").none("event_count", F.col("event_count") < 1, "failed")
     s.none("type_vocab", ~F.coalesce(F.col("source_event_type").isin(*GEO_TYPES), F.lit(False)), "failed").none("utc_offset", ~F.coalesce(F.col("utc_offset").between(-12, 14), F.lit(False))).none("bs_type_vocab", ~F.coalesce(F.col("bs_type").isin("m", "i", "x", "f", "o"), F.lit(False)))
-    return s.values("type", "source_event_type").unique("duplicates", ["msisdn", "start_time_utc", "source_event_type", "cgi"], "warning").results()
+    return s.values("type", "source_event_type").unique("duplicates", "msisdn start_time_utc source_event_type cgi".split(), "warning").results()
 
 
 def _invariants(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -312,18 +312,18 @@ def fct_geo_intervals(df: DataFrame) -> DataFrame:
     for c in ("msisdn", "start_time_utc", "end_time_utc", "cgi_list", "time_key"):
         s.none(f"required.{c}", F.col(c).isNull(), "failed")
     s.none("order", F.col("end_time_utc") < F.col("start_time_utc"), "failed").none("coords", ~F.coalesce(F.col("sub_lat").between(-90, 90) & F.col("sub_lon").between(-180, 180), F.lit(False))).none("bs_type_vocab", ~F.coalesce(F.col("bs_type").isin("m", "i", "x", "f", "o"), F.lit(False)))
-    s.none("timezone", ~F.coalesce(F.col("timezone").between(-12, 14), F.lit(False))).none("cgi_list_empty", F.coalesce(F.size("cgi_list"), F.lit(0)) < 1, "failed").unique("duplicates", ["msisdn", "imsi", "imei", "start_time_utc", "end_time_utc", "bs_type"], "warning")
+    s.none("timezone", ~F.coalesce(F.col("timezone").between(-12, 14), F.lit(False))).none("cgi_list_empty", F.coalesce(F.size("cgi_list"), F.lit(0)) < 1, "failed").unique("duplicates", "msisdn imsi imei start_time_utc end_time_utc bs_type".split(), "warning")
     sized = Suite(df.withColumn("n_cells", F.size("cgi_list")), ()).values("cgi_list_length", "n_cells")
     return s.add(sized.more[0]).results()
 
 
 def fct_person(df: DataFrame, oksm: DataFrame | None = None) -> DataFrame:
     s = Suite(df, schemas.PERSON.fieldNames())
-    for c in ("report_date", "person_id", "msisdn", "imsi", "imei", "operator_id"):
+    for c in "report_date person_id msisdn imsi imei operator_id".split():
         s.none(f"critical_null.{c}", F.col(c).isNull(), "failed")
     for c in ("gender", "age", "citizenship"):
         s.none(f"demographic_null.{c}", F.col(c).isNull())
-    s.unique("person_id_unique", ["person_id"], "failed").none("person_id_format", ~_like("person_id", "^prs_[0-9a-f]{24}$"), "failed").none("gender_domain", ~F.coalesce(F.col("gender").isin("M", "F", "U"), F.lit(False)), "failed").none("age_domain", ~_like("age", r"^(U|\d{1,2}|1[01]\d|120)$"), "failed")
+    s.unique("person_id_unique", ["person_id"], "failed").none("person_id_format", ~_like("person_id", r"^prs_[\da-f]{24}$"), "failed").none("gender_domain", ~F.coalesce(F.col("gender").isin("M", "F", "U"), F.lit(False)), "failed").none("age_domain", ~_like("age", r"^(U|\d{1,2}|1[01]\d|120)$"), "failed")
     s.none("citizenship_domain", ~_like("citizenship", r"^(U|\d{3})$"), "failed").none("confidence_domain", ~F.coalesce(F.col("person_confidence").isin("high", "medium", "low"), F.lit(False)), "failed").none("sim_count_domain", ~F.coalesce(F.col("sim_count") >= 1, F.lit(False)), "failed")
     s.rate("low_confidence", F.col("person_confidence") != "low", 0.0, 0.70).none("id_digits", ~_like("msisdn", r"^\d{7,15}$") | ~_like("imsi", r"^\d{14,15}$") | ~_like("imei", r"^\d{14,16}$"))
     one = df.agg(F.countDistinct("report_date").alias("dates"))

@@ -194,9 +194,9 @@ def _lookup(c: Column, table: dict[str, float], other: float) -> Column:
     return out.otherwise(other)
 
 
-POWER = {"m": 22.0, "i": 6.0, "f": 1.5, "x": 16.0, "o": 42.0}
-HEIGHT = {"m": 18.0, "i": 7.0, "f": 4.5, "x": 20.0, "o": 35.0}
-RADIATION = {"a": 1.08, "b": 1.0, "c": 0.94, "d": 0.86, "s": 0.92}
+POWER = dict(zip("mifxo", (22.0, 6.0, 1.5, 16.0, 42.0), strict=True))
+HEIGHT = dict(zip("mifxo", (18.0, 7.0, 4.5, 20.0, 35.0), strict=True))
+RADIATION = dict(zip("abcds", (1.08, 1.0, 0.94, 0.86, 0.92), strict=True))
 
 
 def first_letter(c) -> Column:
@@ -287,7 +287,7 @@ def _ends(c: Column, *tails: str) -> Column:
 def gender(first, second) -> Column:
     """From the endings of patronymic and first name."""
     n, p = F.lower(text_or_empty(first)), F.lower(text_or_empty(second))
-    return F.when(_ends(p, "вна", "ична", "кызы", "оглыкызы"), "F").when(_ends(p, "вич", "оглы"), "M").when(_ends(n, "а", "я"), "F").when(n != "", "M").otherwise("U")
+    return F.when(_ends(p, "кызы", "вна", "ична"), "F").when(_ends(p, "вич", "оглы"), "M").when(_ends(n, "а", "я"), "F").when(n != "", "M").otherwise("U")
 
 
 def confidence(keys) -> Column:
@@ -337,7 +337,7 @@ def is_m2m(equipment, kinds=tuple(sorted(M2M_EQUIPMENT))) -> Column:
 
 def boolean_text(c) -> Column:
     t = F.lower(F.trim(col(c).cast("string")))
-    return F.when(t.isin("true", "1", "t", "yes", "y"), "true").when(t.isin("false", "0", "f", "no", "n"), "false").when(t.isNull() | (t == ""), None).otherwise("<other>")
+    return F.when(t.isin(*"1 t true y yes".split()), "true").when(t.isin(*"0 f false n no".split()), "false").when(t.isNull() | (t == ""), None).otherwise("<other>")
 
 
 def number_label(c) -> Column:

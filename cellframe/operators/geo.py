@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cellframe.functions.scalar import KM_PER_DEGREE, col
 
-_POINT = r"(-?\d+(?:\.\d+)?(?:[eE][+\-]?\d+)?)\s+(-?\d+(?:\.\d+)?(?:[eE][+\-]?\d+)?)"
+_POINT = r"(-?[\d.]+(?:[eE][+\-]?\d+)?)\s+(-?[\d.]+(?:[eE][+\-]?\d+)?)"
 
 
 def edges(wkt) -> Column:
@@ -190,7 +190,7 @@ def voronoi_cells(x: np.ndarray, y: np.ndarray, reach: np.ndarray, steps: int =
     reach = np.maximum(120.0, reach)
     size = 2 * float(reach.max()) if len(reach) else 1.0
     gx, gy = np.floor(x / size).astype(int), np.floor(y / size).astype(int)
-    grid: dict[tuple[int, int], list[int]] = {}
+    grid: dict = {}
     for i, k in enumerate(zip(gx.tolist(), gy.tolist(), strict=True)):
         grid.setdefault(k, []).append(i)
     turn = 2 * math.pi * np.arange(steps) / steps
@@ -211,7 +211,7 @@ def voronoi_cells(x: np.ndarray, y: np.ndarray, reach: np.ndarray, steps: int =
 def spread_duplicates(x: np.ndarray, y: np.ndarray, keys: list[str], step: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
     """Sites at one place moved apart by a step each, in the order of their keys: the same at every run."""
     x, y = x.astype(float).copy(), y.astype(float).copy()
-    at: dict[tuple[int, int], list[int]] = {}
+    at: dict = {}
     for i in range(len(x)):
         at.setdefault((round(x[i] * 1e6), round(y[i] * 1e6)), []).append(i)
     for same in at.values():

@@ -59,7 +59,7 @@ def build_stays(events: DataFrame, centroids: DataFrame | None, report_date: Col
     neighbours merge, as they do in the original; ``keep_unidentified`` keeps them out of the merging instead.
     """
     who = ["msisdn", "imsi", "imei"]
-    e = events.withColumn("end_time_utc", F.coalesce("end_time_utc", "start_time_utc")).dropna(subset=["msisdn", "start_time_utc", "cgi", "lat", "lon"])
+    e = events.withColumn("end_time_utc", F.coalesce("end_time_utc", "start_time_utc")).dropna(subset="msisdn cgi start_time_utc lat lon".split())
     e = e.withColumn("event_count", F.greatest(F.coalesce("event_count", F.lit(1)), F.lit(1))).withColumn("bs_type", F.substring(F.lower("bs_type"), 1, 1)).withColumn("bucket", floor_to("start_time_utc"))
     e = e.withColumns({c: F.coalesce(c, F.lit("")) for c in ("oktmo_code_1", "oktmo_code_2")})
     place = [*who, "bucket", "start_time_utc", "end_time_utc", "cgi", "lat", "lon", "bs_type"]

@@ -10,16 +10,16 @@ from cellframe.functions import scalar as S
 from cellframe.operators import geo, scd
 from cellframe.session import checkpointed
 
-NUMERIC = ("mcc", "mnc", "lac", "cell", "coord_x", "coord_y", "azimuth", "sector_angle", "power", "height", "amplification", "tilt", "el_tilt", "mech_tilt", "frequency")
+NUMERIC = tuple("mcc mnc lac cell coord_x coord_y azimuth sector_angle frequency power height amplification tilt el_tilt mech_tilt".split())
 TEXT = ("bs_type", "generation", "address", "subject", "location", "description", "rad_class")
 TIMES = ("date_on", "date_off")
 #: Accepted range of radio fields; values outside are moved to the border.
-RANGES = {"power": (0.0, 150.0), "height": (-50.0, 240.0), "amplification": (-25.0, 80.0), "tilt": (-120.0, 120.0), "el_tilt": (-120.0, 120.0), "mech_tilt": (-120.0, 120.0)}
+RANGES = dict(power=(0.0, 150.0), height=(-50.0, 240.0), amplification=(-25.0, 80.0)) | dict.fromkeys("tilt el_tilt mech_tilt".split(), (-120.0, 120.0))
 
 
 def row_key() -> Column:
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    return F.concat(F.lit("cgi="), F.concat_ws("_", *[part(c) for c in ("mcc", "mnc", "lac", "cell")]), F.lit(" date_on="), part("date_on"), F.lit(" date_off="), part("date_off"))
+    return F.concat(F.lit("cgi="), F.concat_ws("_", *[part(c) for c in NUMERIC[:4]]), F.lit(" date_on="), part("date_on"), F.lit(" date_off="), part("date_off"))
 
 
 def prepare(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,11 +47,11 @@ def prepare(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def build_snapshot(prepared: DataFrame, zones: DataFrame | None = None, territories: DataFrame | None = None) -> DataFrame:
     """One row for each cell with its time zone, territory, sector, reach and best-server area."""
-    w = prepared.dropna(subset=["mcc", "mnc", "lac", "cell"])
+    w = prepared.dropna(subset=list(NUMERIC[:4]))
     w = w.withColumns({"mcc": F.col("mcc").cast("smallint"), "mnc": F.col("mnc").cast("smallint"), "lac": F.col("lac").cast("int"), "cell_id": F.col("cell").cast("bigint"), "lon": F.bround("coord_x", 5), "lat": F.bround("coord_y", 5)})
     w = w.withColumns({"telecomstandard": S.generation("generation"), "bs_type": S.site_type("bs_type", "location", "description"), "azimuth": S.azimuth("azimuth"), "sector_angle": S.sector_angle("sector_angle"), "frequency": F.col("frequency").cast("int")})
     w = scd.latest(w, list(schemas.BS_KEYS), ["date_on", "date_off", "lat", "lon"])
-    w = w.withColumn("sector_radius", S.sector_radius_km("bs_type")).withColumn("geohash", S.geohash("lat", "lon")).withColumn("__id", S.cgi("mcc", "mnc", "lac", "cell_id"))
+    w = w.withColumn("sector_radius", S.sector_radius_km("bs_type")).withColumn("geohash", S.geohash("lat", "lon")).withColumn("__id", S.cgi(*schemas.BS_KEYS))
     if zones is not None:
         w = geo.first_covering(w, zones.select("code", "timezone", "geometry"), "__id", "lon", "lat", "code", "geometry").drop("code")
     else:

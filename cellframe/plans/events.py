@@ -14,8 +14,8 @@ from cellframe.operators.geo import first_covering
 from cellframe.operators.islands import collapse_runs, first_known, mark_islands
 from cellframe.session import checkpointed
 
-CODES = {"cdr": 10001, "sms": 10002, "gprs": 10003, "location": 10004}
-PARTY = {"cdr": "CallingNumber", "gprs": "CallingNumber", "sms": "Calling", "location": "Served"}
+CODES = dict(cdr=10001, sms=10002, gprs=10003, location=10004)
+PARTY = dict(cdr="CallingNumber", sms="Calling", gprs="CallingNumber", location="Served")
 #: Columns of lac and cell in each mart.
 CELL = {"cdr": ("BSStartLac", "BSStartCell"), "gprs": ("BSStartLac", "BSStartCell"), "sms": ("Lac", "Cell"), "location": ("Lac", "Cell")}
 
@@ -75,7 +75,7 @@ def collapse_events(rows: DataFrame) -> DataFrame:
     order = ["__ts", "event_name", "__cgi", "msisdn", "imei"]
     marked = mark_islands(work, ["imsi"], order, ["event_name", "__cgi", S.bucket_no("__ts")], ["imsi"])
     by = F.struct(*order)
-    kept = ["event_timestamp", "imei", "msisdn", "location", "event", "event_name"]
+    kept = "event_timestamp event event_name location msisdn imei".split()
     runs = marked.groupBy("imsi", "island").agg(*[first_known(c, by).alias(c) for c in kept], F.count("*").alias("event_count"))
     return schemas.contract(runs.select(*schemas.EVENT.fieldNames()).unionByName(passing.select(*schemas.EVENT.fieldNames())), schemas.EVENT)
 
@@ -84,7 +84,7 @@ def cell_lookup(bs: DataFrame) -> DataFrame:
     """Versions of cells by key: place, kind, territory, hours from UTC. Versions without begin or place go."""
     n = lambda c: F.col(c).try_cast("double")
     return bs.select(
-        S.cgi("mcc", "mnc", "lac", "cell_id").alias("cgi"), n("lat").alias("lat"), n("lon").alias("lon"), F.coalesce(F.col("bs_type").cast("string"), F.lit("o")).alias("bs_type"), "oktmo_code_1", "oktmo_code_2",
+        S.cgi(*schemas.BS_KEYS).alias("cgi"), n("lat").alias("lat"), n("lon").alias("lon"), F.coalesce(F.col("bs_type").cast("string"), F.lit("o")).alias("bs_type"), "oktmo_code_1", "oktmo_code_2",
         F.col("date_on").try_cast("timestamp_ntz").alias("date_on"), F.col("date_off").try_cast("timestamp_ntz").alias("date_off"), F.coalesce(F.col("timezone").try_cast("int"), F.lit(0)).alias("utc_offset"),
     ).dropna(subset=["date_on", "lat", "lon"])
 
@@ -136,7 +136,7 @@ def build_geo_all(events: DataFrame, bs: DataFrame, day: date) -> DataFrame:
     low, high = F.lit(str(day)).cast("timestamp_ntz"), F.lit(str(day + timedelta(days=1))).cast("timestamp_ntz")
     valid = got.where((F.col("start_time_utc") >= low) & (F.col("start_time_utc") < high)).dropna(subset=["msisdn", "cgi"]).where(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
     valid = valid.withColumn("lat", F.bround("lat", 5)).withColumn("lon", F.bround("lon", 5))
-    runs = collapse_runs(valid, ["msisdn"], "start_time_utc", ["source_event_type", "cgi"], ["source_event_type", "cgi", "imsi", "imei"], first=["imsi", "imei", "utc_offset", "lat", "lon", "bs_type", "oktmo_code_1", "oktmo_code_2"])
+    runs = collapse_runs(valid, ["msisdn"], "start_time_utc", ["source_event_type", "cgi"], ["source_event_type", "cgi", "imsi", "imei"], first="imsi imei utc_offset lat lon bs_type oktmo_code_1 oktmo_code_2".split())
     return schemas.contract(runs.withColumn("start_time_utc", F.col("first_ts")).withColumn("end_time_utc", F.lit(None)), schemas.GEO_EVENT)
 
 
@@ -151,7 +151,7 @@ def build_geo_intervals(geo: DataFrame, imsi_bindings: DataFrame, imei_bindings:
         rows = joins.fill_from_intervals(rows, held, "msisdn", c, "start_time_utc")
     points = zone_of_cell = None
     if bs is not None:
-        c = bs.withColumn("cgi", S.cgi("mcc", "mnc", "lac", "cell_id"))
+        c = bs.withColumn("cgi", S.cgi(*schemas.BS_KEYS))
         has = lambda x: x if x in bs.columns else "lat" if x.endswith("lat") else "lon"
         place = c.select("cgi", "date_on", F.col("timezone").cast("int").alias("timezone"), F.coalesce(has("mapinfo_wkt_centroid_lat"), has("sector_wkt_centroid_lat"), "lat").alias("lat"), F.coalesce(has("mapinfo_wkt_centroid_lon"), has("sector_wkt_centroid_lon"), "lon").alias("lon"))
         one = place.groupBy("cgi").agg(F.max_by(F.struct("lat", "lon", "timezone"), F.struct("date_on", "lat", "lon")).alias("r")).select("cgi", "r.*")

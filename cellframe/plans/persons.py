@@ -36,12 +36,12 @@ def prepare_subscriptions(raw: DataFrame, month: date, imsi_bindings: DataFrame,
     rows = rows.where((F.col("actually_from") <= _ts(str(last))) & (F.col("actually_to") >= _ts(str(first))))
     rows = rows.select(
         number("isdn", S.msisdn).alias("msisdn"), number("imsi", S.imsi).alias("imsi"), number("imei", S.imei).alias("imei"), S.blank_to_null("iccid").alias("iccid"), F.col("operator_Id").try_cast("bigint").alias("operator_id"), "actually_from", "actually_to",
-        F.col("birth_day").try_cast("date").alias("birth_day"), *[S.blank_to_null(c).alias(c) for c in ("first_name", "second_name", "last_name", "dul_department", "document")],
+        F.col("birth_day").try_cast("date").alias("birth_day"), *[S.blank_to_null(c).alias(c) for c in "first_name second_name last_name dul_department document".split()],
     )
     at = _ts(f"{last} 23:59:59")
     for b, key, value in ((imsi_bindings, "msisdn", "imsi"), (imsi_bindings, "imsi", "msisdn"), (imei_bindings, "msisdn", "imei"), (imei_bindings, "imei", "msisdn")):
         rows = joins.fill_at_instant(rows, b, key, value, at)
-    return rows.dropna(subset=["msisdn", "imsi", "imei", "operator_id", "actually_from", "actually_to"])
+    return rows.dropna(subset="msisdn imsi imei operator_id actually_from actually_to".split())
 
 
 def identifier_edges(rows: DataFrame, imsi_bindings: DataFrame, imei_bindings: DataFrame, month: date) -> DataFrame:
@@ -49,7 +49,7 @@ def identifier_edges(rows: DataFrame, imsi_bindings: DataFrame, imei_bindings: D
     first, last = month_bounds(month)
     low, high = _ts(str(first)), _ts(f"{last} 23:59:59")
     hub = ("msisdn", "msisdn")
-    e = entity.edges_of(rows, hub, [("imsi", "imsi"), ("imei", "imei"), ("iccid", "iccid"), ("", "bio_key")])
+    e = entity.edges_of(rows, hub, [*((c, c) for c in ("imsi", "imei", "iccid")), ("", "bio_key")])
     for b, c in ((imsi_bindings, "imsi"), (imei_bindings, "imei")):
         held = b.where((F.col("valid_from") <= high) & (F.coalesce("valid_to", _ts(schemas.BINDING_OPEN_END)) >= low))
         e = e.unionByName(entity.edges_of(held, hub, [(c, c)]))

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from cellframe.sources.files import append_jsonl, now_text
 
 #: What each wrapper runs, in order.
-STAGE_1 = ("dq-src-mobile", "build-dds-event", "build-dds-move-event", "dq-dds-event")
-STAGE_2 = ("build-fct-bs", "dq-fct-bs", "build-stg-geo-all", "dq-stg-geo-all", "build-fct-msisdn-imei", "dq-fct-msisdn-imei", "build-fct-msisdn-imsi", "dq-fct-msisdn-imsi", "build-fct-geo-intervals", "dq-fct-geo-intervals")
-PERSON = ("build-dim-tac", "dq-dim-tac", "build-dim-oksm", "dq-dim-oksm", "dq-src-person", "dq-src-excl", "build-fct-person", "dq-fct-person")
+STAGE_1 = tuple("dq-src-mobile build-dds-event build-dds-move-event dq-dds-event".split())
+STAGE_2 = tuple(f"{phase}-{t}" for t in "fct-bs stg-geo-all fct-msisdn-imei fct-msisdn-imsi fct-geo-intervals".split() for phase in ("build", "dq"))
+PERSON = (*(f"{phase}-dim-{t}" for t in ("tac", "oksm") for phase in ("build", "dq")), *(f"dq-src-{t}" for t in ("person", "excl")), *(f"{phase}-fct-person" for phase in ("build", "dq")))
 
 
 class Runner:

@@ -34,7 +34,7 @@ BS = _schema(
     "sector_wkt string, sector_wkt_area double, sector_wkt_centroid_lon double, sector_wkt_centroid_lat double, mapinfo_wkt string, mapinfo_wkt_area double, mapinfo_wkt_centroid_lon double, mapinfo_wkt_centroid_lat double, "
     "timezone smallint, oktmo_code_1 string, oktmo_code_2 string, address string, location string, description string, date_on timestamp_ntz, date_off timestamp_ntz"
 )
-BS_KEYS = ("mcc", "mnc", "lac", "cell_id")
+BS_KEYS = tuple("mcc mnc lac cell_id".split())
 MSISDN_IMEI = _schema("msisdn string, imei string, valid_from timestamp_ntz, valid_to timestamp_ntz")
 MSISDN_IMSI = _schema("msisdn string, imsi string, operator_id bigint, valid_from timestamp_ntz, valid_to timestamp_ntz")
 STAY = _schema("msisdn bigint, imsi bigint, imei bigint, start_time_utc timestamp_ntz, end_time_utc timestamp_ntz, cgi_list array<string>, sub_lat double, sub_lon double, bs_type string, timezone int, oktmo_code_1 string, oktmo_code_2 string, time_key date")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_DAY_IN_PATH = (r"(\d{4})/(\d{2})/(\d{2})(?:/|$)", r"(\d{4})-(\d{2})-(\d{2})", r"load_year=(\d{4})/load_month=(\d{1,2})/load_day=(\d{1,2})")
+_DAY_IN_PATH = (r"(\d\d\d\d)/(\d\d)/(\d\d)(?:/|$)", r"(\d\d\d\d)-(\d\d)-(\d\d)", r"load_year=(\d{4})/load_month=(\d{1,2})/load_day=(\d{1,2})")
 
 
 def day_of_path(path: Column) -> Column:
@@ -106,7 +106,7 @@ def cast_logical(c: Column, kind: str) -> Column:
     t = F.when(t != "", t)
     simple = {"string": "string", "smallint": "smallint", "int": "int", "int32": "int", "long": "bigint", "int64": "bigint", "float": "double", "float64": "double", "double": "double", "timestamp": "timestamp_ntz", "date": "date"}
     if kind in ("bool", "boolean"):
-        return F.lower(t).isin("true", "1", "t", "yes", "y")
+        return F.lower(t).isin(*"1 t true y yes".split())
     if kind not in simple:
         raise ValueError(f"unsupported logical type {kind}")
     return t.try_cast(simple[kind])

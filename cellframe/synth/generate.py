@@ -62,13 +62,13 @@ def subscribers(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
     )
 
 
-_PRESENT = {"cdr": 0.72, "gprs": 0.78, "sms": 0.48, "location": 0.35}
+_PRESENT = dict(cdr=0.72, gprs=0.78, sms=0.48, location=0.35)
 
 
 def mart(spark: SparkSession, people: DataFrame, cell_table: DataFrame, kind: str, day: date, per_person: int = 4, seed: int = 1) -> DataFrame:
     """Records of one mart and day: a subscriber's events move among neighbouring cells; identities are sparse, some starts malformed."""
     n = cell_table.count()
-    c = cell_table.select("mcc", "mnc", "lac", "cell", F.col("cell").cast("bigint").alias("__c")).where("mnc >= 0 and lac <> 'ERR'")
+    c = cell_table.select(*"mcc mnc lac cell".split(), F.col("cell").cast("bigint").alias("__c")).where("mnc >= 0 and lac <> 'ERR'")
     e = people.select("isdn", "imsi", "imei").where("isdn is not null").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_person - 1))))
     u = lambda x: unit(F.col("isdn"), F.col("k"), kind, str(day), seed, x)
     e = e.withColumn("__c", F.lit(10_000) + F.pmod(F.floor(unit(F.col("isdn"), seed) * n) + F.floor(u("move") * 3).cast("bigint"), F.lit(n)).cast("bigint")).join(c, "__c")
