@@ -407,7 +407,7 @@ def biographic_keys(spark, d):
 @query("""
 with t as (select p_partkey k, p_size::double s, substr(p_brand, -1) b from part), u as (select k, s, case when k % 4 = 0 then 'metro hall' when k % 4 = 1 then 'Indoor unit' when k % 4 = 2 then 'pico' else null end kind, case when k % 5 = 0 then null else s * 3 end power, case when k % 6 = 0 then 500.0 else s end height, s * 20 az, s - 3 ang from t),
 v as (select *, case when lower(kind) like '%metro%' then 'm' when lower(kind) like '%indoor%' then 'i' when lower(kind) like '%pico%' then 'f' else 'o' end bs from u),
-w as (select *, least(coalesce(power, case bs when 'm' then 22.0 when 'i' then 6.0 when 'f' then 1.5 else 42.0 end), 150.0) pv, greatest(-50.0, least(240.0, height)) hv, case bs when 'm' then 0.2 when 'i' then 0.1 when 'f' then 0.05 else 5.0 end r, (case when abs(ang) < 1 then 120.0 else least(abs(ang), 359.0) end) a from v),
+w as (select *, least(coalesce(power, case bs when 'm' then 22.0 when 'i' then 6.0 when 'f' then 1.5 else 42.0 end), 150.0) pv, greatest(-50.0, least(240.0, height)) hv, case bs when 'm' then 0.2 when 'i' then 0.1 when 'f' then 0.05 else 5.0 end::double r, (case when abs(ang) < 1 then 120.0 else least(abs(ang), 359.0) end) a from v),
 x as (select *, greatest(120.0, r * 850) * least(1.48, greatest(0.72, 1 + 0.18 * ln(1 + pv / 15))) * (1 + least(0.32, greatest(0, hv) / 120) * 0.11) * greatest(0.68, 1 - least(0.22, least(35.0, s) / 28 * 0.16)) * (case k % 3 when 0 then 1.08 else 1.0 end) reach from w)
 select k p_partkey, bs bs_type, pv power_v, hv height_v, r radius_km, a sector_angle, round(az - 360 * floor(az / 360), 5) azimuth, round(case when bs in ('m', 'i', 'f') then greatest(80.0, least(reach, 900.0)) else greatest(120.0, least(reach, 42000.0)) end, 4) reach_m from x""")
 def radio_reach(spark, d):
