@@ -173,9 +173,11 @@ def states_of(truth) -> list[int]:
 
 
 def train(made: DataFrame, max_labelled: int = MAX_LABELLED) -> Hmm:
-    rows = made.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()
+    # the ids alone are sorted; the conversations of the chosen ones are then made from just their rows
+    some = made.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    rows = made.join(F.broadcast(some), "doc_id", "left_semi").collect()
     examples = []
-    for r in rows:
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
         seen, states = split(r["text"])[0], states_of(r["truth"])
         if states and -1 not in states and len(states) == len(seen):
             examples.append((seen, states))
