@@ -191,7 +191,11 @@ def _gradient(crf: Crf, lines: Lines, y: np.ndarray) -> tuple[float, np.ndarray,
 
 def fit(texts: list[str], quality: list[int], rounds: int = 250, l2: float = L2) -> Crf | None:
     """None without lines of both classes."""
-    lines = lines_of(pa.array(texts, pa.string()))
+    parts = [lines_of(pa.array(texts[a : a + 200], pa.string())) for a in range(0, len(texts), 200)]
+    if not parts:
+        return None
+    per = np.concatenate([np.diff(p.first) for p in parts])
+    lines = Lines(np.concatenate([p.features for p in parts]), np.concatenate([p.chars for p in parts]), np.concatenate([[0], np.cumsum(per)]))
     y = np.repeat(np.asarray(quality, np.int64), np.diff(lines.first))
     if not len(y) or not 0 < y.sum() < len(y):
         return None
@@ -212,8 +216,8 @@ def fit(texts: list[str], quality: list[int], rounds: int = 250, l2: float = L2)
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf | None:
     named = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("quality")).dropna()
     some = named.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = picked(docs, id_col, text_col).dropna().join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality").toPandas().sort_values(["doc_id", "text"])
-    return fit(rows["text"].tolist(), rows["quality"].clip(0, 1).tolist())
+    rows = picked(docs, id_col, text_col).dropna().join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality").toPandas().sort_values(["doc_id", "text"], ignore_index=True)
+    return fit(rows.pop("text").tolist(), rows["quality"].clip(0, 1).tolist())
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = LEAST_SHARE, crf: Crf | None = None, **how) -> DataFrame:
