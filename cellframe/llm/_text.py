@@ -30,7 +30,7 @@ _inv = np.ones(1, np.uint64)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, 1 << 21)
+        size = max(n * 5 // 4, 1 << 19)
         a = np.full(size, _P, np.uint64)
         b = np.full(size, _PINV, np.uint64)
         a[0] = b[0] = 1

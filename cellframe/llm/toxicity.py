@@ -103,34 +103,40 @@ def fit(texts: list[str], toxic: list[int], counterfactual: float = COUNTERFACTU
     if not len(y) or not 0 < y.sum() < len(y):
         return None
     def parts(which: np.ndarray):
-        for a in range(0, len(which), 400):
-            d, h = presence(pa.array([texts[i] for i in which[a : a + 400]], pa.string()), prefixes)
-            yield which[a : a + 400][d], h
+        for a in range(0, len(which), 100):
+            d, h = presence(pa.array([texts[i] for i in which[a : a + 100]], pa.string()), prefixes)
+            yield which[a : a + 100][d], h
 
     nt, nc = y.sum(), len(y) - y.sum()
-    # what is too rare in toxic texts to pass the test, even if absent from the others, is left out at once
+    # what is too rare in toxic texts to pass the test, even if absent from the others, is left out at once: a table of
+    # counts by a few bits of the hash, which are never below a feature's own count, tells most of it before any name is kept
+    toxic_texts, table = np.flatnonzero(y > 0), np.zeros(1 << 22, np.int32)
+    for _, h in parts(toxic_texts):
+        np.add.at(table, (h >> np.uint64(42)).astype(np.int64), 1)
+    enough = _g2(np.arange(nt + 1), np.zeros(int(nt) + 1), nt, nc) >= LEAST_G2
+    least = int(np.argmax(enough)) if enough.any() else int(nt) + 1
     names, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for _, h in parts(np.flatnonzero(y > 0)):
+    for _, h in parts(toxic_texts):
+        h = h[table[(h >> np.uint64(42)).astype(np.int64)] >= least]
         names, inverse = np.unique(np.concatenate([names, h]), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([counts, np.ones(len(h), np.int64)]), len(names)).astype(np.int64)
     some = _g2(counts.astype(float), np.zeros(len(counts)), nt, nc) >= LEAST_G2
     likely, in_toxic = HashSet(names[some]), counts[some].astype(float)
     if not len(likely.values):
         return None
+    in_clean = np.zeros(len(in_toxic))
+    for _, h in parts(np.flatnonzero(y == 0)):
+        in_clean += np.bincount(likely.find(h)[1], minlength=len(in_clean))
+    lift = ((in_toxic + 0.5) / (nt + 1)) / ((in_clean + 0.5) / (nc + 1))
+    chosen = HashSet(likely.values[(_g2(in_toxic, in_clean, nt, nc) >= LEAST_G2) & (lift >= LEAST_LIFT)])
+    if not len(chosen.values):
+        return None
     rows, cols = [], []
     for d, h in parts(np.arange(len(y))):
-        at, k = likely.find(h)
+        at, k = chosen.find(h)
         rows.append(d[at])
         cols.append(k)
     row, col = np.concatenate(rows), np.concatenate(cols)
-    in_clean = np.bincount(col[y[row] == 0], minlength=len(in_toxic)).astype(float)
-    lift = ((in_toxic + 0.5) / (nt + 1)) / ((in_clean + 0.5) / (nc + 1))
-    keep = (_g2(in_toxic, in_clean, nt, nc) >= LEAST_G2) & (lift >= LEAST_LIFT)
-    chosen = HashSet(likely.values[keep])
-    if not len(chosen.values):
-        return None
-    ok = keep[col]
-    row, col = row[ok], (np.cumsum(keep) - 1)[col[ok]]
 
     # differences that swapping makes, over the sentences of labelled documents that name a group
     terms = re.compile(r"(?i)\b(?:" + "|".join(sorted({t for g in IDENTITY for t in g}, key=len, reverse=True)) + r")\b")
