@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, a bound on the score, then Smith-Waterman alignment.
 
-Runs of ``n`` words of the test items are looked for in every document and their document frequencies counted
-over all documents. Of an item's runs that occur at all, its seeds are those in at most a ``rare`` share of the documents, and
-those up to the ``quantile``-th frequency of the item (so an item has seeds however often it was copied). Around each seed found,
-words of document and item are aligned locally: a match is worth 2, a mismatch or a gap costs 1.
+Runs of ``n`` words of the test items are looked for in every document. Each is a seed, however frequent: which runs an edited
+copy keeps depends on its edits, and the kept ones are the frequent ones where an item was copied often.
+Around each seed found, the words that document and item share, each as often as both have it, bound the score; where that
+reaches what a copy needs, words of document and item are aligned locally: a match is worth 2, a mismatch or a gap costs 1.
+So runs that are common in any text cost a count, not an alignment, and no copy is lost that keeps a run.
 A document holds a copy of an item if the score reaches that of ``share`` of the item's words, or of ``enough``
 words, and in any case of ``least`` words (four fifths of a shorter item's), which no chance likeness does.
 
@@ -24,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.llm._text import HashSet, Words, map_slices, ngrams, picked
+from cellframe.llm._text import HashSet, Words, map_slices, mix, ngrams, picked
 
-N, QUANTILE, RARE, SHARE, ENOUGH, LEAST, GROUP_BYTES = 3, 0.5, 1e-3, 0.35, 50, 8, 16 << 20
+N, SHARE, ENOUGH, LEAST, GROUP_BYTES = 3, 0.35, 50, 8, 16 << 20
 MATCH = 2
+#: Window words that are counted at once.
+AT_ONCE = 1 << 20
 
 
 @dataclass
@@ -37,6 +40,9 @@ class Items:
     gram: np.ndarray  # sorted hashes
     owner: np.ndarray  # pairs (gram index, item index, position in the item), sorted by gram index
     begin: np.ndarray
+    salt: np.ndarray  # of each item
+    word: np.ndarray  # sorted hashes of item and word, and how often the item has the word
+    times: np.ndarray
 
 
 def prepare(rows: list[tuple[int, str]], n: int = N) -> Items:
@@ -53,20 +59,25 @@ def prepare(rows: list[tuple[int, str]], n: int = N) -> Items:
     names, inverse = np.unique(g, return_inverse=True)
     owner = np.stack([inverse, np.concatenate(item), np.concatenate(pos)], axis=1) if len(g) else np.zeros((0, 3), np.int64)
     owner = owner[np.argsort(owner[:, 0], kind="stable")]
-    return Items([i for i, _ in rows], words, names, owner, np.searchsorted(owner[:, 0], np.arange(len(names) + 1)))
-
-
-def seeds_of(items: Items, frequency: np.ndarray, rows: int, quantile: float = QUANTILE, rare: float = RARE) -> np.ndarray:
-    """Marks the owner rows that are seeds. Runs that no document has don't count: in an edited copy they are what was edited."""
-    f = frequency[items.owner[:, 0]]
-    seed = (f > 0) & (f <= rare * rows)
-    present = np.flatnonzero(f > 0)
-    order = present[np.lexsort((f[present], items.owner[present, 1]))]
-    cut = np.flatnonzero(np.diff(items.owner[order, 1])) + 1
-    for part in np.split(order, cut):
-        if len(part):
-            seed[part[f[part] <= f[part[int(np.ceil(quantile * len(part))) - 1]]]] = True
-    return seed
+    salt = mix(np.arange(1, len(rows) + 1, dtype=np.uint64))
+    word, times = np.unique(mix(h ^ np.repeat(salt, np.diff(w.first))), return_counts=True)
+    return Items([i for i, _ in rows], words, names, owner, np.searchsorted(owner[:, 0], np.arange(len(names) + 1)), salt, word, times)
+
+
+def bounds(items: Items, item: np.ndarray, h: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A score that no alignment of an item with the words ``h[low:high]`` exceeds: every word that both have, as often as both, matched."""
+    out, size = np.zeros(len(item), np.int64), high - low
+    cut = np.flatnonzero(np.diff(np.cumsum(size) // AT_ONCE)) + 1
+    for a, b in zip(np.r_[0, cut], np.r_[cut, len(item)], strict=True):
+        n = size[a:b]
+        pair = np.repeat(np.arange(a, b), n)
+        at = np.arange(n.sum()) + np.repeat(low[a:b] - (np.cumsum(n) - n), n)
+        key = mix(h[at] ^ items.salt[item[pair]])
+        k = np.minimum(np.searchsorted(items.word, key), len(items.word) - 1)
+        ok = items.word[k] == key
+        both, times = np.unique(pair[ok] * len(items.word) + k[ok], return_counts=True)
+        np.add.at(out, both // len(items.word), np.minimum(times, items.times[both % len(items.word)]))
+    return MATCH * out
 
 
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,22 +123,19 @@ def needed(length: np.ndarray, share: float = SHARE, enough: int = ENOUGH, least
     return MATCH * np.maximum(np.minimum(least, 0.8 * length), np.minimum(share * length, enough))
 
 
-def matches(items: Items, seed: np.ndarray, column: pa.Array, n: int = N, share: float = SHARE, enough: int = ENOUGH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def matches(items: Items, seeds: HashSet, column: pa.Array, n: int = N, share: float = SHARE, enough: int = ENOUGH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text index, item index, score and last word's position of each copy found, the best for each text and item."""
     w = Words(column)
     h = w.hashes()
     g, at = ngrams(h, w.first, n)
-    useful = np.unique(items.owner[seed, 0])
-    hit, k = HashSet(items.gram[useful]).find(g)
+    hit, gram = seeds.find(g)
     empty = np.zeros(0, np.int64)
     if not len(hit):
         return empty, empty, empty, empty
-    gram, at = useful[k], at[hit]
+    at = at[hit]
     times = items.begin[gram + 1] - items.begin[gram]
     rows = np.repeat(items.begin[gram], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     where = np.repeat(at, times)
-    ok = seed[rows]
-    rows, where = rows[ok], where[ok]
     item, pos = items.owner[rows, 1], items.owner[rows, 2]
     doc = np.searchsorted(w.first, where, side="right") - 1
     length = np.array([len(x) for x in items.words])[item]
@@ -142,9 +150,11 @@ def matches(items: Items, seed: np.ndarray, column: pa.Array, n: int = N, share:
     first = np.flatnonzero(new)
     high = np.maximum.reduceat(high, first)
     doc, item, low = doc[first], item[first], low[first]
+    length = np.array([len(x) for x in items.words])[item]
+    ok = bounds(items, item, h, low, high) >= needed(length, share, enough)
+    doc, item, low, high = doc[ok], item[ok], low[ok], high[ok]
     score, end = align([items.words[i] for i in item], [h[a:b] for a, b in zip(low, high, strict=True)])
-    length = np.array([len(items.words[i]) for i in item])
-    ok = score >= needed(length, share, enough)
+    ok = score >= needed(length[ok], share, enough)
     doc, item, score, end = doc[ok], item[ok], score[ok], (low + end - 1 - w.first[doc])[ok]
     order = np.lexsort((end, -score, item, doc))
     doc, item, score, end = doc[order], item[order], score[order], end[order]
@@ -167,53 +177,26 @@ def _groups(benchmark: DataFrame, id_col: str, text_col: str, most: int):
         yield rows
 
 
-def frequencies(docs: DataFrame, items: Items, n: int = N) -> tuple[np.ndarray, int]:
-    """In how many rows of ``docs`` each of the items' runs occurs, and the number of rows that have a text."""
-    shared = docs.sparkSession.sparkContext.broadcast(items.gram)
-
-    def run(batches):
-        from cellframe.llm._text import sliced
-
-        grams, counts, rows = HashSet(shared.value), np.zeros(len(shared.value), np.int64), 0
-        for batch in batches:
-            for part in sliced(batch, "text"):
-                rows += part.num_rows
-                w = Words(part.column("text"))
-                g, at = ngrams(w.hashes(), w.first, n)
-                hit, k = grams.find(g)
-                doc = np.searchsorted(w.first, at[hit], side="right") - 1
-                pair = np.unique(doc * len(counts) + k)
-                counts += np.bincount(pair % len(counts), minlength=len(counts)) if len(pair) else 0
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], rows))], ["gram", "n"])
-
-    found = docs.select("text").where("text is not null").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    gram, count = found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-    out = np.zeros(len(items.gram), np.int64)
-    out[gram[gram >= 0]] = count[gram >= 0]
-    return out, int(count[gram < 0].sum())
-
-
-def _prepared(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, n: int, quantile: float, group_bytes: int):
+def _prepared(benchmark: DataFrame, item_col: str, item_text_col: str, n: int, group_bytes: int):
     for rows in _groups(benchmark, item_col, item_text_col, group_bytes):
-        items = prepare(rows, n)
-        yield items, seeds_of(items, *frequencies(docs, items, n), quantile)
+        yield prepare(rows, n)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, quantile: float = QUANTILE, share: float = SHARE, enough: int = ENOUGH, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, share: float = SHARE, enough: int = ENOUGH, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``doc_id, item_id, score, item_words, end_word`` of every document and test item that it holds a copy of."""
     base = picked(docs, id_col, text_col)
     schema = "doc_id long, item_id long, score long, item_words long, end_word long"
     out = None
-    for items, seed in _prepared(base, benchmark, item_col, item_text_col, n, quantile, group_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast((items, seed))
+    for items in _prepared(benchmark, item_col, item_text_col, n, group_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def make(shared=shared):
-            items, seed = shared.value
+            items = shared.value
+            seeds = HashSet(items.gram)
             ids, lengths = np.array(items.ids), np.array([len(x) for x in items.words])
 
             def one(part: pa.RecordBatch) -> pa.RecordBatch:
-                d, i, s, e = matches(items, seed, part.column("text"), n, share, enough)
+                d, i, s, e = matches(items, seeds, part.column("text"), n, share, enough)
                 return pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), pa.array(ids[i]), pa.array(s), pa.array(lengths[i]), pa.array(e)], ["doc_id", "item_id", "score", "item_words", "end_word"])
 
             return one
@@ -226,18 +209,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.item_words", "b.end_word")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, quantile: float = QUANTILE, share: float = SHARE, enough: int = ENOUGH, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = N, share: float = SHARE, enough: int = ENOUGH, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``docs`` less the rows whose text holds a copy of a test item; columns and their order stay."""
-    base = docs.select(F.col(f"`{text_col}`").alias("text"))
-    for items, seed in _prepared(base, benchmark, item_col, item_text_col, n, quantile, group_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast((items, seed))
+    for items in _prepared(benchmark, item_col, item_text_col, n, group_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def make(shared=shared):
-            items, seed = shared.value
+            items = shared.value
+            seeds = HashSet(items.gram)
 
             def one(part: pa.RecordBatch) -> pa.RecordBatch:
                 keep = np.ones(part.num_rows, bool)
-                keep[matches(items, seed, part.column(text_col), n, share, enough)[0]] = False
+                keep[matches(items, seeds, part.column(text_col), n, share, enough)[0]] = False
                 return part.filter(pa.array(keep))
 
             return one

@@ -485,6 +485,35 @@ def test_decontamination_against_brute_force(spark):
     assert {x.doc_id for x in decontaminate.drop_contaminated(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("size", [20, 38, 59])
+def test_decontamination_finds_edited_copies_of_copied_items(size):
+    """Besides many verbatim copies, one with a fifth to a quarter of its words replaced: aligned whichever runs it keeps."""
+    r = random.Random(size)
+    for _ in range(60):
+        w = words(size, r)
+        edited = list(w)
+        for k in r.sample(range(size), r.randint(size // 5, size // 4)):
+            edited[k] = "x" + edited[k]
+        items = decontaminate.prepare([(1, " ".join(w))])
+        docs = [" ".join([*words(20, r), *x, *words(20, r)]) for x in (w, w, edited)] + [prose(60, r)]
+        runs = {tuple(w[k : k + 3]) for k in range(size - 2)} & {tuple(edited[k : k + 3]) for k in range(size - 2)}
+        brute = [d for d in range(4) if local(w, docs[d].replace(".", "").split()) >= decontaminate.needed(size) and (d != 2 or runs)]
+        found = decontaminate.matches(items, decontaminate.HashSet(items.gram), pa.array(docs))
+        assert found[0].tolist() == brute and brute[:2] == [0, 1]
+        w_docs = decontaminate.Words(pa.array(docs))
+        bound = decontaminate.bounds(items, np.zeros(4, int), w_docs.hashes(), w_docs.first[:-1], w_docs.first[1:])
+        assert all(b >= local(w, d.replace(".", "").split()) for b, d in zip(bound, docs, strict=True))
+
+
+def test_decontamination_of_an_item_copied_often(spark):
+    r = random.Random(8)
+    w = words(38, r)
+    edited = [f"x{v}" if k % 4 == 3 else v for k, v in enumerate(w)]  # of four consecutive runs it keeps one
+    docs = [(i, prose(30, r) + " " + " ".join(w)) for i in range(20)] + [(20, prose(30, r) + " " + " ".join(edited))] + [(i, prose(60, r)) for i in range(21, 60)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    assert {x.doc_id for x in decontaminate.contaminated(df, bench).collect()} == set(range(21))
+
+
 def test_decontamination_awkward(spark):
     odd = awkward(spark)
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (None, "x y z"), (4, "same words here"), (4, "same words here")], "item_id long, text string").selectExpr("*", "1 as score")
