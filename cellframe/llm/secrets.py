@@ -3,10 +3,11 @@
 Keywords are looked for in the text's lower-case form of equal length; only at a hit is the rule's
 regular expression tried, at the hit or just before it. What matches is then checked against what the
 format itself promises: the CRC-32 tail of GitHub and npm tokens, the account number within an AWS key id, the
-JSON header of a JWT, the DER length of a PEM block, the randomness of an assigned value.
+JSON header of a JWT, the DER length or magic of a private key block, the randomness of an assigned value.
 
 A finding's ``verdict`` is ``valid`` (a check holds), ``invalid`` (it fails) or ``unchecked`` (the format has none).
-Invalid findings are reported, not redacted.
+Invalid findings are reported, not redacted. Key blocks are checked by their type: PKCS#1, PKCS#8, EC and DSA keys by DER length, OpenSSH keys by
+their magic; those encrypted under header lines, PGP keys and other types are unchecked.
 
 Defined results: null, empty and clean texts have no finding. Offsets count characters. Of overlapping findings the
 one that starts first stays, the longer of two at one place. Rows with a null id are left out of the findings; rows sharing an id are scanned
@@ -58,13 +59,25 @@ def jwt_header(token: str) -> bool:
         return False
 
 
-def der_length(block: str) -> bool:
-    """Whether a PEM block's body is a DER sequence that ends where its own length says."""
-    body = re.sub(r"-----[^-]*-----|\s", "", block)
+_HEADER = r"(?:[A-Za-z][\w\-]*:(?:(?!-----)[^\r\n])*\r?\n(?:[ \t]+\S(?:(?!-----)[^\r\n])*\r?\n)*)"
+_HEADERS = re.compile(_HEADER)
+
+
+def key_block(block: str) -> bool | None:
+    """Whether a key block's body is what its type promises: a DER sequence that ends where its own length says, or OpenSSH's magic. None: no check."""
+    kind = block[len("-----BEGIN ") :].split("PRIVATE KEY", 1)[0].strip()
+    if kind not in ("", "RSA", "EC", "DSA", "ENCRYPTED", "OPENSSH"):
+        return None
+    body = re.sub(r"-----[^-]*-----", "", block).lstrip()
+    body, headers = _HEADERS.sub("", body), "".join(_HEADERS.findall(body))
+    if "ENCRYPTED" in headers or "DEK-Info" in headers:
+        return None
     try:
-        raw = base64.b64decode(body, validate=True)
+        raw = base64.b64decode(re.sub(r"\s", "", body), validate=True)
     except ValueError:
         return False
+    if kind == "OPENSSH":
+        return raw.startswith(b"openssh-key-v1\0")
     if len(raw) < 2 or raw[0] != 0x30:
         return False
     if raw[1] < 128:
@@ -90,7 +103,7 @@ RULES = (
     ("stripe_key", ("sk_live_", "rk_live_"), r"(?<![A-Za-z0-9])[sr]k_live_[A-Za-z0-9]{16,99}", 0, None),
     ("google_key", ("aiza",), r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_\-]{35}(?![A-Za-z0-9_\-])", 0, None),
     ("jwt", ("eyj",), r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,}", 0, jwt_header),
-    ("private_key", ("-----begin",), r"-----BEGIN (?P<t>[A-Z ]{0,20}PRIVATE KEY)-----[A-Za-z0-9+/=\s]{16,}?-----END (?P=t)-----", 0, der_length),
+    ("private_key", ("-----begin",), rf"-----BEGIN (?P<t>[A-Z0-9 ]{{0,20}}PRIVATE KEY(?: BLOCK)?)-----\s*{_HEADER}*[A-Za-z0-9+/=\s]{{16,}}?-----END (?P=t)-----", 0, key_block),
     ("assigned_secret", ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth_key"), r"(?i)(?:password|passwd|pwd|secret|token|api[_\-]?key|access_key|auth_key)(?:[_\-]?\w{0,20})?[\"']?" + _ASSIGNED, "v", lambda s: entropy(s) >= 2.5 and any(c.isdigit() for c in s)),
 )
 
@@ -114,7 +127,8 @@ class Scanner:
             for k in owners:
                 kind, pattern, group, check = self.rules[k]
                 if m := pattern.match(text, end - length + 1):
-                    verdict = "unchecked" if check is None else "valid" if check(m.group(group)) else "invalid"
+                    holds = check(m.group(group)) if check else None
+                    verdict = "unchecked" if holds is None else "valid" if holds else "invalid"
                     found[m.span(group)] = found.get(m.span(group)) or (kind, verdict)
         out, reach = [], 0
         for (a, b), (kind, verdict) in sorted(found.items(), key=lambda x: (x[0][0], -x[0][1])):
