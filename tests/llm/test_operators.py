@@ -273,6 +273,23 @@ def test_secret_prefilter_loses_nothing():
         assert {(a, b) for _, a, b, _ in secrets.Scanner().find(t)} == brute
 
 
+@pytest.mark.parametrize("size", [201, 2000])
+def test_secrets_of_any_length_go_whole(size):
+    body = "".join(random.Random(size).choices("abcdefghijkmABCDEFGH0123456789", k=size))
+    redact = secrets.Scanner().redact
+    assert redact(f'token = "{body}" end') == 'token = "[ASSIGNED_SECRET]" end'
+    assert redact(f"x xoxp-{body} end") == "x [SLACK_TOKEN] end" and redact(f"x sk_live_{body} end") == "x [STRIPE_KEY] end"
+    # the start alone is too regular to be a secret
+    assert redact(f"password: {'a' * 200}{body} end") == "password: [ASSIGNED_SECRET] end"
+
+
+def test_secret_hits_in_a_row_take_linear_time():
+    import time
+
+    text, began = "xoxb-" * 100_000, time.process_time()
+    assert [(a, b) for _, a, b, _ in secrets.Scanner().find(text)] == [(0, len(text))] and time.process_time() - began < 10
+
+
 def key_text(kind, raw, headers=""):
     import base64
 
