@@ -141,6 +141,31 @@ def test_license_scan(spark):
     assert licenses.scan(awkward(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "names", "verdict"),
+    [
+        ("# modify it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n#\n# See the GNU General Public\n# License for more details.", ["GPL-2.0-or-later"], "restricted"),
+        ("GNU General Public License v3.0", ["GPL-3.0-only"], "restricted"),
+        ("code under GPLv3.", ["GPL-3.0-only"], "restricted"),
+        ("version 2 or later of the GNU General Public License", ["GPL-2.0-or-later"], "restricted"),
+        ("under the terms of the GNU General Public Licence", ["GPL-1.0-or-later"], "restricted"),
+        ("GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", ["LGPL-2.1-or-later"], "restricted"),
+        ("/*\n * Licensed under the Apache\n * License, Version 2.0 (the", ["Apache-2.0"], "permitted"),
+        ("the Apache License 2.0", ["Apache-2.0"], "permitted"),
+        ("Mozilla Public License 2.0", ["MPL-2.0"], "restricted"),
+        ("Creative Commons Attribution 3.0 Unported License", ["CC-BY-3.0"], "permitted"),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike 3.0", ["CC-BY-NC-SA-3.0"], "restricted"),
+        ("https://creativecommons.org/licenses/by-nd/2.0/", ["CC-BY-ND-2.0"], "restricted"),
+        ("// Permission is hereby granted, free of charge, to any\n// person obtaining a copy", ["MIT"], "permitted"),
+        ("SPDX-License-Identifier: MIT OR GPL-3.0-only", ["GPL-3.0-only", "MIT"], "permitted"),
+        ("a GPL-compatible tool of the apache tribe, creative commons of 2 towns", [], "none"),
+    ],
+)
+def test_license_families(text, names, verdict):
+    for before in ("", "İ words before\n"):
+        assert licenses.Scanner().find(before + text)[1:] == (names, verdict)
+
+
 # 4: PII
 
 
