@@ -2,11 +2,16 @@
 
 Four transducers rewrite a text, each keeping which source character every output character came from:
 look-alike letters and digits become ASCII, invisible characters vanish, runs of spelled digits become digits, and disguised
-``at`` and ``dot`` become ``@`` and ``.``. Identifiers are detected in what results and their spans mapped back
+``at`` and ``dot`` become ``@`` and ``.``; digits, ``at`` and ``dot`` in English, French, German and Spanish. Identifiers are detected in what results and their spans mapped back
 to the source, so that offsets, and redaction, are those of the original text.
 
 Kinds: email, phone, card (``checked``: Luhn), ip, iban (``checked``: mod 97), ssn.
 
+A bare "at" before a domain with plain dots is a disguise if the domain ends in a known top-level domain and the word before isn't
+one that often stands before "at" ("look at example.com"). A bare "point" is a dot only beside "arobase" and the like. Without "+" or "(", digits are a phone if there are
+10 or 11, or 8 to 15 that begin with 0 (after 00 and set apart: 8 to 15 more) or are set apart in groups as in a phone; dates, decimals and grouped numbers
+aren't, except nine digits from 6 on in threes with blanks, which Spanish phones are.
+
 Defined results: null, empty and clean texts have no finding. Offsets count source characters. Of overlapping findings the earlier
 stays, the longer at one place. Rows with a null id are left out of the findings; rows sharing an id are scanned each and their findings
 made distinct.
@@ -37,16 +42,34 @@ _HIDDEN = re.compile("[​-‏⁠﻿­‪-‮]+")
 _FOREIGN = re.compile("[" + "".join(re.escape(c) for c in sorted(_LOOKALIKE)) + "​-‏⁠﻿­‪-‮]")
 
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_D = "(?:" + "|".join(DIGITS) + ")"
+for _words in ("null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve", "zéro un deux trois quatre cinq six sept huit neuf"):
+    DIGITS |= {w: str(k) for k, w in enumerate(_words.split())}
+DIGITS |= {"zwo": "2", "fuenf": "5"}
+_D = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"(?i)(?<!\w){_D}(?:[\s.,\-]{{1,3}}{_D}(?!\w)){{2,}}")
 _AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s*_at_\s*)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point)\s*[\])}>]\s*|\s+dot\s+|\s*_dot_\s*)"
+_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+|\s*_(?:dot|punkt|punto)_\s*)"
 _BRACKET_AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s*_at_\s*)"
 _NAME = r"[A-Za-z0-9][A-Za-z0-9_%+\-]{0,63}"
 # a bare "at" is a disguise only where a dot is spelled too; a bracketed one always is
 _DISGUISED = re.compile(rf"(?i)(?<![\w.])({_NAME}(?:(?:\.|{_DOT}){_NAME})*?)(?:({_AT})([A-Za-z0-9\-]{{1,63}}(?:\.[A-Za-z0-9\-]+)*)((?:{_DOT}[A-Za-z0-9\-]{{2,63}})+)|({_BRACKET_AT}|\s*@\s*)([A-Za-z0-9\-]{{1,63}})((?:(?:\.|{_DOT})[A-Za-z0-9\-]{{2,63}})+))(?!\w)")
-_DISGUISE_HINT = re.compile(r"(?i)[\[({<_]\s*(?:at|dot|punkt|punto|point)\s*[\])}>_]|\sdot\s|\s@|@\s")
+_DISGUISE_HINT = re.compile(r"(?i)[\[({<_]\s*(?:at|dot|punkt|punto|point)\s*[\])}>_]|\s(?:dot|punkt|punto)\s|\s@|@\s")
 _DOT_RE = re.compile(rf"(?i){_DOT}")
+# words for the sign that are nothing else
+_SURE = r"(?:arrobas?|arr?obase|klammeraffe|ät)"
+_SURE_AT = rf"(?:\s*[\[({{<_]\s*{_SURE}\s*[\])}}>_]\s*|\s+{_SURE}\s+)"
+_ANY_DOT = rf"(?:{_DOT}|\s+point\s+|\s*_point_\s*|\.)"
+_SURELY = re.compile(rf"(?i)(?<![\w.])({_NAME}(?:{_ANY_DOT}{_NAME})*?)({_SURE_AT})([A-Za-z0-9\-]{{1,63}})((?:{_ANY_DOT}[A-Za-z0-9\-]{{2,63}})+)(?!\w)")
+_ANY_DOT_RE = re.compile(rf"(?i){_ANY_DOT}")
+TLDS = (
+    "com org net edu gov mil int info biz name pro mobi online site shop store app dev tech cloud blog email xyz club agency academy berlin wien paris cat coop museum aero jobs travel eus gal "
+    "ac ad ae af ag ai al am ao ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+).split()
+_PLAIN_AT = re.compile(rf"(?i)\s+at\s+(?=(?:[a-z0-9\-]{{1,63}}\.)+(?-i:{'|'.join(TLDS)}|{'|'.join(TLDS).upper()})(?![\w\-])(?!\.\w))")
+_PLAIN_HINT = re.compile(r"(?i)\sat\s+[a-z0-9\-]+\.[a-z]")
+_BEFORE_AT = frozenset(
+    "a about again all always am and any anyone are arrive arrived arrives article articles at available away back bad based be been begin begins better best blog book bought buy call check click contact data day down download end ends even everyone exclusively find first for found free good great happening have he held her here him home host hosted hosting how i in info is it job join just learn listed live located look looked looking looks me meet met more myself news not now of off on one online only open or order out over page pages people place post posted price priced published read register registered released review run running said search see seen sell she shop sign site sold someone stare start started starts stay stop store store. story team that the them there they this time today try up us user users version visit was watch we web webpage website were what where who work worked working works write writer written you yourself".split()
+)
 
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9_%+\-])?$")
@@ -54,6 +77,8 @@ _NUMBER = re.compile(r"(?<![\w.+])\+?\(?\d(?:[ \t().\-/]{0,3}\d){5,21}(?![\w])")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
+# dates, also with an hour behind them, and numbers that aren't phones whatever their length
+_NO_PHONE = re.compile(r"(?:(?:1[5-9]|20)\d\d([\-/.])\d{1,2}\1\d{1,2}|\d{1,2}([\-/. ])\d{1,2}\2(?:1[89]|20)\d\d)(?!\d)|\d{1,2}([\-/.])\d{1,2}\3\d\d(?= \d\d$)|(?:1[5-9]|20)\d\d\D+(?:1[5-9]|20)\d\d(?!\d)|(?:19|20)\d\d(?:0[1-9]|1[0-2])[0-3]\d(?!\d)|0?\.\d|0 *\.|97[89]\D")
 
 
 def luhn(digits: str) -> bool:
@@ -66,6 +91,22 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _grouped(s: str, digits: str) -> bool:
+    """Whether digits, without a sign before them, are set like a phone."""
+    n = len(digits)
+    if _NO_PHONE.match(s):
+        return False
+    if digits.startswith("00"):
+        return digits[2] != "0" and 10 <= n <= (15 if s.isdigit() else 17)
+    if digits[0] == "0":
+        return 8 <= n <= 15
+    parts = re.findall(r"\d+", s)
+    if not 8 <= n <= 15 or not 2 <= len(parts) <= 6 or min(map(len, parts[1:])) < 2 or not re.search(r"[^\d.]", s):
+        return False
+    threes = all(len(x) == 3 for x in parts[1:])
+    return not threes or (n == 9 and len(parts) == 3 and digits[0] in "6789" and "." not in s) or (len(parts) == 2 and n >= 8)
+
+
 class Rewriting:
     """A text as rewritten so far; ``source[i]`` is where its character i came from, ``stop[i]`` where that ends. None: unchanged."""
 
@@ -99,9 +140,12 @@ class Rewriting:
 
 _TOKEN = re.compile(r"\S+")
 _SIGNS = {k: v for k, v in _TABLE.items() if not v.isalpha()}
-_DISGUISE_SIGNS = ("@", "[", "(", "{", "<", "_", "dot", "DOT", "Dot")
-_RARE = tuple(w for w in DIGITS if w not in ("one", "oh"))
-_FEW = re.compile(r"one[\s.,\-]{1,3}o[nh]|oh[\s.,\-]{1,3}o[nh]")
+_DISGUISE_SIGNS = ("@", "[", "(", "{", "<", "_", "dot", "DOT", "Dot", "punkt", "Punkt", "PUNKT", "punto", "Punto", "PUNTO")
+_SURE_SIGNS = ("rob", "ROB", "lammeraffe", "LAMMERAFFE", "ät", "ÄT", "Ät")
+# words that are often part of others count only beside one another
+_COMMON = ("one", "oh", "un", "uno", "dos", "tres", "null", "acht", "six", "seis", "sept", "eins", "vier", "ten")
+_RARE = tuple(w for w in DIGITS if w not in _COMMON)
+_FEW = re.compile(rf"(?<!\w)(?:{'|'.join(_COMMON)})[\s.,\-]{{1,3}}(?:{'|'.join(_COMMON)})(?!\w)")
 
 
 def _plain(m: re.Match) -> str:
@@ -136,6 +180,22 @@ def normalise(text: str) -> Rewriting:
 
 def _undisguise(r: Rewriting) -> Rewriting:
     t = r.text
+    if any(c in t for c in _SURE_SIGNS):
+        edits = []
+        for m in _SURELY.finditer(t):
+            edits += [(x.start() + m.start(1), x.end() + m.start(1), ".") for x in _ANY_DOT_RE.finditer(m.group(1))]
+            edits.append((m.start(2), m.end(2), "@"))
+            edits += [(x.start() + m.start(4), x.end() + m.start(4), ".") for x in _ANY_DOT_RE.finditer(m.group(4))]
+        r.replace(edits)
+        t = r.text
+    if _PLAIN_HINT.search(t):
+        edits = []
+        for m in _PLAIN_AT.finditer(t):
+            name = _LOCAL.search(t, max(0, m.start() - 64), m.start())
+            if name and name.group().lower() not in _BEFORE_AT and t[name.start() - 1 : name.start()] not in ("@", "/"):
+                edits.append((m.start(), m.end(), "@"))
+        r.replace(edits)
+        t = r.text
     if any(c in t for c in _DISGUISE_SIGNS) and _DISGUISE_HINT.search(t):
         edits = []
         for m in _DISGUISED.finditer(r.text):
@@ -176,7 +236,7 @@ def find(text: str) -> list[tuple[str, int, int, str, bool | None]]:
             found.append((a, b, "ssn", None))
         elif 13 <= len(digits) <= 19 and digits[0] in "23456" and re.fullmatch(r"\d(?:[ \-]?\d)*", m.group()):
             found.append((a, b, "card", luhn(digits)))
-        elif (m.group()[0] in "+(" and 8 <= len(digits) <= 15) or 10 <= len(digits) <= 11 or (7 == len(digits) and re.fullmatch(r"\d{3}[\-. ]\d{4}", m.group())):
+        elif (m.group()[0] in "+(" and 8 <= len(digits) <= 15) or 10 <= len(digits) <= 11 or (7 == len(digits) and re.fullmatch(r"\d{3}[\-. ]\d{4}", m.group())) or _grouped(m.group(), digits):
             found.append((a, b, "phone", None))
     out, reach = [], 0
     # an email or address number wins over a number within it

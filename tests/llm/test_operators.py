@@ -189,6 +189,37 @@ def test_pii_spans(text, kind, source, value):
         assert (before + text)[found[1] : found[2]] == source and found[3] == value
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "source", "value"),
+    [
+        ("tel 612 345 678 hoy", "phone", "612 345 678", "612 345 678"),
+        ("tel 91 234 56 78 hoy", "phone", "91 234 56 78", "91 234 56 78"),
+        ("Tel. 0151 23456789 bitte", "phone", "0151 23456789", "0151 23456789"),
+        ("Tel. 0049 151 23456789 bitte", "phone", "0049 151 23456789", "0049 151 23456789"),
+        ("Tel. 00491512345678 bitte", "phone", "00491512345678", "00491512345678"),
+        ("ring 12 34 56 78 now", "phone", "12 34 56 78", "12 34 56 78"),
+        ("ruf null eins fünf eins zwei drei vier fünf sechs sieben acht an", "phone", "null eins fünf eins zwei drei vier fünf sechs sieben acht", "01512345678"),
+        ("llama seis uno dos tres cuatro cinco seis siete ocho nueve hoy", "phone", "seis uno dos tres cuatro cinco seis siete ocho nueve", "6123456789"),
+        ("appelle zéro un deux trois quatre cinq six sept huit neuf ce soir", "phone", "zéro un deux trois quatre cinq six sept huit neuf", "0123456789"),
+        ("ask jane at example.com now", "email", "jane at example.com", "jane@example.com"),
+        ("an max ät beispiel punkt de schreiben", "email", "max ät beispiel punkt de", "max@beispiel.de"),
+        ("a juan arroba ejemplo punto es hoy", "email", "juan arroba ejemplo punto es", "juan@ejemplo.es"),
+        ("à jean point dupont arobase exemple point fr ce soir", "email", "jean point dupont arobase exemple point fr", "jean.dupont@exemple.fr"),
+        ("à jean (arobase) exemple.fr ce soir", "email", "jean (arobase) exemple.fr", "jean@exemple.fr"),
+        ("an max at beispiel punkt de schreiben", "email", "max at beispiel punkt de", "max@beispiel.de"),
+    ],
+)
+def test_pii_of_four_languages(text, kind, source, value):
+    for before in ("", "ünd vorher \U0001f600 "):
+        (found,) = pii.find(before + text)
+        assert found[0] == kind and (before + text)[found[1] : found[2]] == source and found[3] == value
+
+
+def test_pii_leaves_numbers_and_sentences_alone():
+    for text in ("on 2024-01-15 or 15.01.2024 or 01/02/2024", "from 1990-1995 to 2001 - 2005", "12 345 678 people and 123 456 789 more, 1.234.567,89 euros", "3.14159265 and 0.12345678", "look at example.com and works at example.org", "we arrive at some point in May, lunch @ some point in town", "isbn 978-3161484100", "12345678 and 123456789 pieces", "1 2 3 4 5 6 7 8 9", "jane sat at noon.It rained", "un deux trois soleil", "stood at the file readme.txt, jane at readme.txt"):
+        assert [f for f in pii.find(text)] == [], text
+
+
 def test_pii_leaves_plain_text_alone(spark):
     for text in ("meet at home. Then two of us", "привет мир", "the year 2024 and 12345", "one or two at the dot", "", "a@b"):
         assert pii.find(text) == [] and pii.redact(text) == text
