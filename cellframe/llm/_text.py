@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -48,18 +49,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests on one
-    machine, a temporary folder is used.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(sc) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, a temporary folder is used."""
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or Path(tempfile.mkdtemp(prefix="ckpt")).as_uri())
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage."""
+    checkpoint_folder(df.sparkSession.sparkContext)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it from there."""
+    path = f"{checkpoint_folder(df.sparkSession.sparkContext)}/stored-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def broadcast_once(spark, value):
     return spark.sparkContext.broadcast(value)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cellframe.llm import decontaminate, minhash, secrets, sentencepieces, toxicity
-from cellframe.llm._text import checkpointed, read
+from cellframe.llm._text import read, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +46,15 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: SQL can't express the classifier, MinHash or the alignment; tests hold run() against brute force.
+#: SQL can't express the classifier, MinHash or the alignment; tests hold run() against the operators' own results, and each operator against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written once, to the checkpoint folder, and read by the next."""
+    """All stages over ``documents``; what a stage returns is written once, as Parquet under the checkpoint folder, and read by the next."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = checkpointed(docs)
+            docs = stored(docs)
     return docs

@@ -645,6 +645,21 @@ def test_pipeline(spark):
     assert empty.count() == 0
 
 
+def test_pipeline_hands_stages_on_as_parquet(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen = []
+
+    def stage(s, docs, _):
+        seen.append(docs.inputFiles())
+        return docs.where("doc_id % 2 = 0 or doc_id > 50")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", stage)])
+    out = corpus_pipeline.run(spark, SF)
+    assert all(files and all(f.endswith(".parquet") for f in files) for files in seen) and len({f for x in seen for f in x}) == sum(map(len, seen))
+    assert sorted(map(str, out.collect())) == sorted(map(str, spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 0 or doc_id > 50").collect()))
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
