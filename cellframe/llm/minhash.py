@@ -243,6 +243,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` less all but the first document of each group; rows in no group stay as they are."""
+    """``docs`` less all but the first document of each group; rows in no group stay as they are.
+
+    What goes is documents, not rows: rows that share the id of a document that stays all stay, exact repeats too, and rows with a null id stay whatever their text.
+    """
     extra = near_duplicates(docs, id_col, text_col, **how).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(extra, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")

@@ -436,6 +436,30 @@ def test_minhash_recall_against_brute_force(spark):
     assert all(loose.get(a) == loose.get(g) for a, g in got.items())  # nothing is joined that isn't alike
 
 
+def test_minhash_recall_from_the_production_threshold_on(spark):
+    """Pairs of texts alone, so that no third joins them: all but few from 0.1 over the threshold on, most at it."""
+    r = random.Random(12)
+    rows, near = [], {}
+    for k in range(300):
+        w = words(60, r)
+        edited = list(w)
+        for at in r.sample(range(60), r.randint(2, 7)):
+            edited[at] = r.choice(VOCAB)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(edited))]
+        a, b = ({tuple(x[i : i + 3]) for i in range(58)} for x in (w, edited))
+        near[k] = len(a & b) / len(a | b)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    joined = {x.doc_id // 2 for x in out if x.doc_id != x.group_id}
+    recall = {low: sum(k in joined for k, j in near.items() if low <= j < high) / sum(low <= j < high for j in near.values()) for low, high in ((minhash.THRESHOLD, 0.65), (0.65, 1.01))}
+    assert recall[0.65] >= 0.98 and recall[minhash.THRESHOLD] >= 0.8
+
+
+def test_minhash_keeps_rows_of_one_id_and_of_none(spark):
+    text = prose(30)
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, text)], "doc_id long, text string")
+    assert sorted(str(x.doc_id) for x in minhash.drop_near_duplicates(docs).collect()) == ["1", "1", "None", "None"]
+
+
 def test_minhash_blocks_are_exact(spark):
     rows = near_copies(8, groups=3, size=(15, 20))
     df = spark.createDataFrame(rows, "doc_id long, text string")
