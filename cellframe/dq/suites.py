@@ -236,7 +236,7 @@ def src_mart(df: DataFrame, mart: str) -> DataFrame:
     return s.add(hours.select(F.concat(F.lit("hour."), "hour").alias("check_name"), F.lit("info").alias("status"), F.create_map(F.lit("n"), F.col("n").cast("string")).alias("metrics"))).results()
 
 
-def src_mobile(marts: dict[str, DataFrame]) -> DataFrame:
+def src_marts(marts: dict[str, DataFrame]) -> DataFrame:
     """All marts, and the mix of traffic among them."""
     out = counts = None
     for mart, df in marts.items():

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cellframe.sources.files import append_jsonl, now_text
 
 #: What each wrapper runs, in order.
-STAGE_1 = tuple("dq-src-mobile build-dds-event build-dds-move-event dq-dds-event".split())
+STAGE_1 = tuple("dq-src-marts build-dds-event build-dds-move-event dq-dds-event".split())
 STAGE_2 = tuple(f"{phase}-{t}" for t in "fct-bs stg-geo-all fct-msisdn-imei fct-msisdn-imsi fct-geo-intervals".split() for phase in ("build", "dq"))
 PERSON = (*(f"{phase}-dim-{t}" for t in ("tac", "oksm") for phase in ("build", "dq")), *(f"dq-src-{t}" for t in ("person", "excl")), *(f"{phase}-fct-person" for phase in ("build", "dq")))
 

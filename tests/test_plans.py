@@ -152,7 +152,7 @@ def test_dimensions(spark, tmp_path):
 
 
 def test_source_suites(world, spark):
-    s = statuses(suites.src_mobile(world["marts"]))
+    s = statuses(suites.src_marts(world["marts"]))
     assert s["cdr.stg_contract.msisdn"] == "ok" and "mix.sms" in s
     assert statuses(suites.src_person(world["people"], F.lit(date(2024, 1, 1))))["isdn_format"] == "ok"
     e = statuses(suites.src_exclusions({"imsi": spark.createDataFrame([("1",)], "value string"), "imei": None}, spark))
