@@ -1,7 +1,7 @@
 """Counterfactual-regularised toxicity classifier.
 
-A logistic model over the presence of words and of word beginnings. It is fitted on labelled
-documents; sentences of theirs that name a group of people are rewritten with another group, and with
+A logistic model over the presence of words and of word beginnings, and over those that a text has ``OFTEN`` times or
+more (insults built on one stem, each form of which is rare). It is fitted on labelled documents; sentences of theirs that name a group of people are rewritten with another group, and with
 a neutral word, and the squared change of the score is penalised. So a group's name alone can't
 carry weight, and neutral mentions of a group aren't taken for abuse.
 
@@ -9,10 +9,13 @@ Features are kept that occur far more often in toxic texts than chance allows (a
 over the labelled sample). The fit uses at most ``max_labelled`` labelled documents, chosen by a hash of
 their id; everything else covers all rows.
 
-A text is toxic from the score on that parts the labelled sample best by F1, unless a ``cutoff`` is given.
+A text is toxic from the score on that parts the labelled sample best by F1, with the groups that it names made neutral, so that what weight
+their names have left decides nothing; unless a ``cutoff`` is given.
 
 Defined results: null, empty or wordless texts have the score of the bias alone. Without labels of both classes nothing is toxic (score 0). Labelled rows
-without a text, and null labels, are left out of the fit. Rows with repeated ids are scored each.
+without a text, and null labels, are left out of the fit; of an id labelled several times the greatest label counts. Rows with repeated or null ids are
+scored each. Very long texts are scored whole, alone in their slice. An empty table gives no rows. Extra columns, whatever their names (``score``,
+``toxic``), are left out of the scores and kept as they are by ``drop_toxic``. Equal scores get equal verdicts.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 
 from cellframe.llm._text import HashSet, Words, map_slices, picked
 
-MAX_LABELLED, PREFIXES = 8000, (4, 5, 6, 7, 8)
-LEAST_G2, LEAST_LIFT, L2, COUNTERFACTUAL = 15.0, 3.0, 1e-4, 1.0
+MAX_LABELLED, PREFIXES, OFTEN = 8000, (4, 5, 6, 7, 8), 3
+LEAST_G2, LEAST_LIFT, L2, COUNTERFACTUAL = 10.0, 3.0, 1e-4, 1.0
 
 #: Groups of terms that stand for one another; the first list's words are replaced by words of the same list and by ``NEUTRAL``.
 IDENTITY = (
@@ -53,6 +56,10 @@ class Model:
     cutoff: float  # a text is toxic from this score on
 
 
+#: Makes the name of "often" out of a feature's.
+_MANY = np.uint64(0xD6E8FEB86659FD93)
+
+
 def features(column: pa.Array, prefixes: tuple[int, ...] = PREFIXES) -> tuple[np.ndarray, np.ndarray, int]:
     """Feature hashes of all words, the text of each, and the number of texts."""
     w = Words(column)
@@ -67,13 +74,15 @@ def features(column: pa.Array, prefixes: tuple[int, ...] = PREFIXES) -> tuple[np
 
 
 def presence(column: pa.Array, prefixes: tuple[int, ...] = PREFIXES) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature)."""
+    """Distinct (text, feature), and the features that a text has often."""
     h, d, _ = features(column, prefixes)
     order = np.lexsort((h, d))
     h, d = h[order], d[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    return d[new], h[new]
+    first = np.flatnonzero(new)
+    many = first[np.diff(np.append(first, len(h))) >= OFTEN]
+    return np.concatenate([d[first], d[many]]), np.concatenate([h[first], h[many] ^ _MANY])
 
 
 def swaps(sentence: str) -> list[str]:
@@ -102,6 +111,7 @@ def fit(texts: list[str], toxic: list[int], counterfactual: float = COUNTERFACTU
     y = np.asarray(toxic, float)
     if not len(y) or not 0 < y.sum() < len(y):
         return None
+
     def parts(which: np.ndarray):
         for a in range(0, len(which), 100):
             d, h = presence(pa.array([texts[i] for i in which[a : a + 100]], pa.string()), prefixes)
@@ -174,7 +184,11 @@ def fit(texts: list[str], toxic: list[int], counterfactual: float = COUNTERFACTU
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
-    return Model(chosen.values, w, float(bias), cutoff_of(np.bincount(row, w[col], n) + bias, y))
+    z = np.bincount(row, w[col], n) + bias
+    for i in np.flatnonzero([terms.search(t) is not None for t in texts]):
+        _, h = presence(pa.array([terms.sub(NEUTRAL, texts[i])], pa.string()), prefixes)
+        z[i] = w[chosen.find(h)[1]].sum() + bias
+    return Model(chosen.values, w, float(bias), cutoff_of(z, y))
 
 
 def cutoff_of(z: np.ndarray, y: np.ndarray) -> float:
@@ -193,8 +207,12 @@ def score(model: Model | None, column: pa.Array, prefixes: tuple[int, ...] = PRE
     if model is None:
         return np.zeros(len(column))
     h, d, n = features(column, prefixes)
-    at, k = HashSet(model.features).find(h)
-    pair = np.unique(d[at] * len(model.features) + k)
+    known = HashSet(model.features)
+    at, k = known.find(h)
+    once = np.unique(d[at] * len(model.features) + k)
+    at, k = known.find(h ^ _MANY)
+    many, times = np.unique(d[at] * len(model.features) + k, return_counts=True)
+    pair = np.concatenate([once, many[times >= OFTEN]])
     z = np.bincount(pair // len(model.features), model.weights[pair % len(model.features)], n) + model.bias
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
