@@ -5,12 +5,15 @@ digits and signs, words repeated at once, lines repeated in the text, closing pu
 labels are weighed by a linear-chain CRF, whose most likely labels Viterbi decoding gives, for many texts at
 once. A text is kept if at least ``least_share`` of its characters are content.
 
-The CRF is fitted to documents labelled by quality, whose lines take the document's label; at most
-``max_labelled`` of them are used, chosen by a hash of their id. Everything else covers all rows and whole texts.
+The CRF is fitted to documents labelled by quality. Such a label only bounds the share of a document's lines that are content; which
+lines those are is inferred (``fit``). At most ``max_labelled`` documents are used, chosen by a hash of their id. Everything else
+covers all rows and whole texts.
 
 Defined results: null, empty and blank texts have no line; their share is 0 and they aren't kept. Blank lines
 belong to no label. Without labels of both classes every line is content. Rows with repeated or null ids are judged
-each.
+each; of an id labelled several times the greatest label counts. Very long texts, and very long lines, are judged whole, alone in their
+slice. Of two equally likely labels a line is boilerplate. An empty table gives no rows. Extra columns, whatever their names
+(``kept``, ``n_lines``), are left out of the result.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cellframe.llm._text import _WORD, flat, map_slices, mix, picked, _powers
 
-MAX_LABELLED, LEAST_SHARE, L2 = 4000, 0.5, 1e-5
+MAX_LABELLED, LEAST_SHARE, L2, PASSES, SETTLED = 4000, 0.5, 1e-5, 3, 0.002
 
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = 1
@@ -159,8 +162,8 @@ def viterbi(crf: Crf, lines: Lines) -> np.ndarray:
     return out
 
 
-def _gradient(crf: Crf, lines: Lines, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log-likelihood of labels ``y`` and its gradient, by forward and backward sums."""
+def _gradient(crf: Crf, lines: Lines, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood of labels ``y``, its gradient, and each line's marginal probabilities, by forward and backward sums."""
     e = lines.features @ crf.emit
     order, steps = _steps(lines.first)
     alpha = np.zeros_like(e)
@@ -186,30 +189,77 @@ def _gradient(crf: Crf, lines: Lines, y: np.ndarray) -> tuple[float, np.ndarray,
     g_move = -pair.sum(axis=0)
     np.add.at(g_move, (y[inner], y[inner + 1]), 1)
     value = e[np.arange(len(y)), y].sum() + crf.move[y[inner], y[inner + 1]].sum() - z[some].sum()
-    return value, g_emit, g_move
-
-
-def fit(texts: list[str], quality: list[int], rounds: int = 250, l2: float = L2) -> Crf | None:
-    """None without lines of both classes."""
+    return value, g_emit, g_move, p
+
+
+def evidence(features: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Log-odds of content that each line's own features give by naive Bayes, both labels being equally likely at first.
+
+    Labels may be noisy: what a wrongly labelled line shares with the rest of its kind outvotes its label. Every feature has its own say, so
+    a sign of boilerplate isn't explained away by another that goes with it in poor documents.
+    """
+    rate = [(features[y == k].sum(axis=0) + 1) / ((y == k).sum() + 2) for k in (0, 1)]
+    on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
+    return features @ (on - off) + off.sum()
+
+
+def bounded(odds: np.ndarray, lines: Lines, quality: np.ndarray, least_share: float) -> np.ndarray:
+    """Labels of lines by their log-odds, as far as each document's label allows: content is under ``least_share`` of the characters of a
+    poor document and at least that of a good one; the least certain lines change until that holds.
+    """
+    text = np.repeat(np.arange(len(quality)), np.diff(lines.first))
+    good = quality[text] > 0
+    # the lines most certain to have the document's own label come first: they take it until its share is reached
+    order = np.lexsort((np.where(good, -odds, odds), text))
+    chars = lines.chars[order].astype(float)
+    before = np.cumsum(chars) - chars
+    whole = np.bincount(text, lines.chars, len(quality))
+    start = np.concatenate([[0.0], np.cumsum(whole)])[:-1]
+    within = before - start[text[order]]
+    share = np.where(quality > 0, least_share, 1 - least_share)[text[order]]
+    must = np.empty(len(odds), bool)
+    # a poor document needs more than the share, a good one the share
+    limit = share * whole[text[order]]
+    must[order] = np.where(good[order], within < limit, within <= limit)
+    return np.where(must, good, odds > 0).astype(np.int64)
+
+
+def fit(texts: list[str], quality: list[int], rounds: int = 250, l2: float = L2, passes: int = PASSES, least_share: float = LEAST_SHARE) -> Crf | None:
+    """None without lines of both classes.
+
+    A document's label bounds the share of its lines that are content and says nothing of any one line. So lines begin with the label that
+    their own features make likelier over all labelled documents, within those bounds; the CRF is fitted to these sequences, labels are
+    drawn again from its marginals within the bounds, until less than ``SETTLED`` of them change, ``passes`` times at most.
+    """
     parts = [lines_of(pa.array(texts[a : a + 200], pa.string())) for a in range(0, len(texts), 200)]
     if not parts:
         return None
     per = np.concatenate([np.diff(p.first) for p in parts])
     lines = Lines(np.concatenate([p.features for p in parts]), np.concatenate([p.chars for p in parts]), np.concatenate([[0], np.cumsum(per)]))
-    y = np.repeat(np.asarray(quality, np.int64), np.diff(lines.first))
+    given = np.asarray(quality, np.int64)
+    y = np.repeat(given, np.diff(lines.first))
     if not len(y) or not 0 < y.sum() < len(y):
         return None
+    for _ in range(passes):
+        y = bounded(evidence(lines.features, y), lines, given, least_share)
     crf = Crf(np.zeros((len(NAMES), 2)), np.zeros((2, 2)))
     n = len(y)
-    m = [np.zeros_like(crf.emit), np.zeros_like(crf.move)]
-    v = [np.zeros_like(crf.emit), np.zeros_like(crf.move)]
-    for t in range(1, rounds + 1):
-        _, ge, gm = _gradient(crf, lines, y)
-        for k, (g, w) in enumerate(((ge, crf.emit), (gm, crf.move))):
-            g = g / n - 2 * l2 * w
-            m[k] = 0.9 * m[k] + 0.1 * g
-            v[k] = 0.99 * v[k] + 0.01 * g * g
-            w += 0.1 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-9)
+    for again in range(passes):
+        m = [np.zeros_like(crf.emit), np.zeros_like(crf.move)]
+        v = [np.zeros_like(crf.emit), np.zeros_like(crf.move)]
+        for t in range(1, (rounds if not again else rounds // 2) + 1):
+            ge, gm = _gradient(crf, lines, y)[1:3]
+            for k, (g, w) in enumerate(((ge, crf.emit), (gm, crf.move))):
+                g = g / n - 2 * l2 * w
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.99 * v[k] + 0.01 * g * g
+                w += 0.1 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-9)
+        if again < passes - 1:
+            p = _gradient(crf, lines, y)[3]
+            new = bounded(np.log(p[:, 1] + 1e-12) - np.log(p[:, 0] + 1e-12), lines, given, least_share)
+            if (new != y).mean() < SETTLED:
+                break
+            y = new
     return crf
 
 
