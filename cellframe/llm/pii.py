@@ -14,7 +14,8 @@ aren't, except nine digits from 6 on in threes with blanks, which Spanish phones
 
 Defined results: null, empty and clean texts have no finding. Offsets count source characters. Of overlapping findings the earlier
 stays, the longer at one place. Rows with a null id are left out of the findings; rows sharing an id are scanned each and their findings
-made distinct.
+made distinct. Very long texts are scanned whole, in time that grows with their length. An empty table gives no rows. Extra columns, whatever
+their names (``kind``, ``value``), are left out of the result.
 """
 
 from __future__ import annotations
@@ -47,26 +48,68 @@ for _words in ("null eins zwei drei vier fünf sechs sieben acht neun", "cero un
 DIGITS |= {"zwo": "2", "fuenf": "5"}
 _D = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"(?i)(?<!\w){_D}(?:[\s.,\-]{{1,3}}{_D}(?!\w)){{2,}}")
-_AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s*_at_\s*)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point)\s*[\])}>]\s*|\s+(?:dot|punkt|punto)\s+|\s*_(?:dot|punkt|punto)_\s*)"
-_BRACKET_AT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s*_at_\s*)"
+# up to four blanks stand within a disguise; so no expression reads a long run of blanks again from each of them
+_DOT = r"(?:\s{0,4}[\[({<]\s{0,4}(?:dot|punkt|punto|point)\s{0,4}[\])}>]\s{0,4}|\s{1,4}(?:dot|punkt|punto)\s{1,4}|\s{0,4}_(?:dot|punkt|punto)_\s{0,4})"
+_BRACKET_AT = r"(?:\s{0,4}[\[({<]\s{0,4}at\s{0,4}[\])}>]\s{0,4}|\s{0,4}_at_\s{0,4})"
+_AT = rf"(?:{_BRACKET_AT}|\s{{1,4}}at\s{{1,4}})"
 _NAME = r"[A-Za-z0-9][A-Za-z0-9_%+\-]{0,63}"
-# a bare "at" is a disguise only where a dot is spelled too; a bracketed one always is
-_DISGUISED = re.compile(rf"(?i)(?<![\w.])({_NAME}(?:(?:\.|{_DOT}){_NAME})*?)(?:({_AT})([A-Za-z0-9\-]{{1,63}}(?:\.[A-Za-z0-9\-]+)*)((?:{_DOT}[A-Za-z0-9\-]{{2,63}})+)|({_BRACKET_AT}|\s*@\s*)([A-Za-z0-9\-]{{1,63}})((?:(?:\.|{_DOT})[A-Za-z0-9\-]{{2,63}})+))(?!\w)")
-_DISGUISE_HINT = re.compile(r"(?i)[\[({<_]\s*(?:at|dot|punkt|punto|point)\s*[\])}>_]|\s(?:dot|punkt|punto)\s|\s@|@\s")
-_DOT_RE = re.compile(rf"(?i){_DOT}")
 # words for the sign that are nothing else
 _SURE = r"(?:arrobas?|arr?obase|klammeraffe|ät)"
-_SURE_AT = rf"(?:\s*[\[({{<_]\s*{_SURE}\s*[\])}}>_]\s*|\s+{_SURE}\s+)"
-_ANY_DOT = rf"(?:{_DOT}|\s+point\s+|\s*_point_\s*|\.)"
-_SURELY = re.compile(rf"(?i)(?<![\w.])({_NAME}(?:{_ANY_DOT}{_NAME})*?)({_SURE_AT})([A-Za-z0-9\-]{{1,63}})((?:{_ANY_DOT}[A-Za-z0-9\-]{{2,63}})+)(?!\w)")
-_ANY_DOT_RE = re.compile(rf"(?i){_ANY_DOT}")
+_SURE_AT = rf"(?:\s{{0,4}}[\[({{<_]\s{{0,4}}{_SURE}\s{{0,4}}[\])}}>_]\s{{0,4}}|\s{{1,4}}{_SURE}\s{{1,4}})"
+_ANY_DOT = rf"(?:{_DOT}|\s{{1,4}}point\s{{1,4}}|\s{{0,4}}_point_\s{{0,4}}|\.)"
+
+
+class Disguise:
+    """A disguised "@" with a name before and a domain behind it, matched outward from the sign that stands for "@".
+
+    ``signs``: what stands for "@"; ``domains``: expressions tried behind it, with the sign that each goes with; ``dot``: what stands for ".".
+    A domain has 127 labels and a name 64 characters at most, so only ``BEFORE`` characters before the sign are read: cost follows the signs
+    that have a domain, not the length of what stands around them.
+    """
+
+    BEFORE = 320
+
+    def __init__(self, signs: str, domains: list[tuple[str, str]], dot: str):
+        self.sign = re.compile(rf"(?i){signs}")
+        self.domains = [(re.compile(rf"(?i){s}"), re.compile(rf"(?i)(?P<d>{d})(?!\w)")) for s, d in domains]
+        self.name = re.compile(rf"(?i)(?<![\w.])(?:{_NAME})(?:(?:\.|{dot}){_NAME})*?$")
+        self.dot = re.compile(rf"(?i){dot}")
+
+    def edits(self, t: str) -> list[tuple[int, int, str]]:
+        out, at, floor = [], 0, 0
+        while m := self.sign.search(t, at):
+            at = m.end() - len(m.group().lstrip()) + 1 if m.group().strip() else m.end()
+            for sign, domain in self.domains:
+                if sign.fullmatch(m.group()) and (d := domain.match(t, m.end())):
+                    break
+            else:
+                continue
+            if not (n := self.name.search(t, max(floor, m.start() - self.BEFORE), m.start())):
+                continue
+            out += [(x.start(), x.end(), ".") for x in self.dot.finditer(t, n.start(), n.end())]
+            out.append((m.start(), m.end(), "@"))
+            out += [(x.start(), x.end(), ".") for x in self.dot.finditer(t, d.start(), d.end())]
+            at = floor = d.end()
+        return out
+
+
+# a bare "at" is a disguise only where a dot is spelled too; a bracketed one always is
+_SPELLED_AT = Disguise(
+    rf"{_AT}|\s{{0,4}}@\s{{0,4}}",
+    [
+        (_AT, rf"[A-Za-z0-9\-]{{1,63}}(?:\.[A-Za-z0-9\-]{{1,63}}){{0,126}}(?:{_DOT}[A-Za-z0-9\-]{{2,63}}){{1,126}}"),
+        (rf"{_BRACKET_AT}|\s*@\s*", rf"[A-Za-z0-9\-]{{1,63}}(?:(?:\.|{_DOT})[A-Za-z0-9\-]{{2,63}}){{1,126}}"),
+    ],
+    _DOT,
+)
+_CERTAIN_AT = Disguise(_SURE_AT, [(_SURE_AT, rf"[A-Za-z0-9\-]{{1,63}}(?:{_ANY_DOT}[A-Za-z0-9\-]{{2,63}}){{1,126}}")], _ANY_DOT)
+_DISGUISE_HINT = re.compile(r"(?i)[\[({<_]\s{0,4}(?:at|dot|punkt|punto|point)\s{0,4}[\])}>_]|\s(?:dot|punkt|punto)\s|\s@|@\s")
 TLDS = (
     "com org net edu gov mil int info biz name pro mobi online site shop store app dev tech cloud blog email xyz club agency academy berlin wien paris cat coop museum aero jobs travel eus gal "
     "ac ad ae af ag ai al am ao ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
 ).split()
-_PLAIN_AT = re.compile(rf"(?i)\s+at\s+(?=(?:[a-z0-9\-]{{1,63}}\.)+(?-i:{'|'.join(TLDS)}|{'|'.join(TLDS).upper()})(?![\w\-])(?!\.\w))")
-_PLAIN_HINT = re.compile(r"(?i)\sat\s+[a-z0-9\-]+\.[a-z]")
+_PLAIN_AT = re.compile(rf"(?i)\s{{1,4}}at\s{{1,4}}(?=(?:[a-z0-9\-]{{1,63}}\.){{1,126}}(?-i:{'|'.join(TLDS)}|{'|'.join(TLDS).upper()})(?![\w\-])(?!\.\w))")
+_PLAIN_HINT = re.compile(r"(?i)\sat\s{1,4}[a-z0-9\-]{1,63}\.[a-z]")
 _BEFORE_AT = frozenset(
     "a about again all always am and any anyone are arrive arrived arrives article articles at available away back bad based be been begin begins better best blog book bought buy call check click contact data day down download end ends even everyone exclusively find first for found free good great happening have he held her here him home host hosted hosting how i in info is it job join just learn listed live located look looked looking looks me meet met more myself news not now of off on one online only open or order out over page pages people place post posted price priced published read register registered released review run running said search see seen sell she shop sign site sold someone stare start started starts stay stop store store. story team that the them there they this time today try up us user users version visit was watch we web webpage website were what where who work worked working works write writer written you yourself".split()
 )
@@ -140,8 +183,9 @@ class Rewriting:
 
 _TOKEN = re.compile(r"\S+")
 _SIGNS = {k: v for k, v in _TABLE.items() if not v.isalpha()}
-_DISGUISE_SIGNS = ("@", "[", "(", "{", "<", "_", "dot", "DOT", "Dot", "punkt", "Punkt", "PUNKT", "punto", "Punto", "PUNTO")
-_SURE_SIGNS = ("rob", "ROB", "lammeraffe", "LAMMERAFFE", "ät", "ÄT", "Ät")
+#: In lower case; a text without any of these has no disguise of the kind.
+_DISGUISE_SIGNS = ("@", "[", "(", "{", "<", "_", "dot", "punkt", "punto")
+_SURE_SIGNS = ("rob", "lammeraffe", "ät")
 # words that are often part of others count only beside one another
 _COMMON = ("one", "oh", "un", "uno", "dos", "tres", "null", "acht", "six", "seis", "sept", "eins", "vier", "ten")
 _RARE = tuple(w for w in DIGITS if w not in _COMMON)
@@ -179,15 +223,10 @@ def normalise(text: str) -> Rewriting:
 
 
 def _undisguise(r: Rewriting) -> Rewriting:
+    low = r.text.lower()
+    if any(c in low for c in _SURE_SIGNS):
+        r.replace(_CERTAIN_AT.edits(r.text))
     t = r.text
-    if any(c in t for c in _SURE_SIGNS):
-        edits = []
-        for m in _SURELY.finditer(t):
-            edits += [(x.start() + m.start(1), x.end() + m.start(1), ".") for x in _ANY_DOT_RE.finditer(m.group(1))]
-            edits.append((m.start(2), m.end(2), "@"))
-            edits += [(x.start() + m.start(4), x.end() + m.start(4), ".") for x in _ANY_DOT_RE.finditer(m.group(4))]
-        r.replace(edits)
-        t = r.text
     if _PLAIN_HINT.search(t):
         edits = []
         for m in _PLAIN_AT.finditer(t):
@@ -196,15 +235,8 @@ def _undisguise(r: Rewriting) -> Rewriting:
                 edits.append((m.start(), m.end(), "@"))
         r.replace(edits)
         t = r.text
-    if any(c in t for c in _DISGUISE_SIGNS) and _DISGUISE_HINT.search(t):
-        edits = []
-        for m in _DISGUISED.finditer(r.text):
-            at = 2 if m.group(2) else 5
-            parts = [(x.start() + m.start(1), x.end() + m.start(1), ".") for x in _DOT_RE.finditer(m.group(1))]
-            parts.append((m.start(at), m.end(at), "@"))
-            parts += [(x.start() + m.start(at + 2), x.end() + m.start(at + 2), ".") for x in _DOT_RE.finditer(m.group(at + 2))]
-            edits += parts
-        r.replace(edits)
+    if any(c in low for c in _DISGUISE_SIGNS) and _DISGUISE_HINT.search(t):
+        r.replace(_SPELLED_AT.edits(t))
     return r
 
 
