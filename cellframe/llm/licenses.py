@@ -1,7 +1,8 @@
 """License scan: Aho-Corasick finds identifier tags and notice phrases, a shunting-yard parser evaluates expressions.
 
 A tag (``SPDX-License-Identifier:``) is followed by an expression of license names joined by AND, OR and WITH
-(which binds closest, OR loosest) and parentheses. A notice phrase stands for one license, or for a family of which the
+(which binds closest, OR loosest) and parentheses. It ends where no operator follows a license outside of parentheses; a line's end, with the comment
+sign that begins the next line, ends it only there. Small letters make an operator only before a name that is known. A notice phrase stands for one license, or for a family of which the
 version, and whether later ones are granted too, is read from the words around it. An expression is
 ``permitted`` if its licenses allow reuse: AND needs both sides, OR one; WITH adds an exception to a license,
 which permits it if the pair is in ``EXCEPTIONS``. Names in neither list make it ``unknown`` unless the other
@@ -11,7 +12,8 @@ Defined results: a null, empty or license-free text has verdict ``none`` and emp
 parsed counts as ``unknown``. Letter case, line breaks, runs of blanks and comment signs at line starts within a phrase don't count, nor does "licence" for "license".
 A family named without a version stands for all of its versions, as ``GPL-1.0-or-later`` or ``MPL-1.0+``, unless the text names a version of it elsewhere;
 LGPL, AGPL, EPL, SSPL and BUSL have one fixed version for that. "Apache License" without any is ``unknown``.
-Rows with repeated or null ids are scanned each.
+Rows with repeated or null ids are scanned each. Very long texts are scanned whole, alone in their slice. An empty table gives no rows. Extra
+columns, whatever their names (``verdict``, ``licenses``), are left out of the result.
 """
 
 from __future__ import annotations
@@ -155,6 +157,39 @@ def named(flat: str, a: int, b: int, family: str, alone: bool) -> tuple[int, tup
 _PLACES = re.compile(r"[^\S\n\r]*[\n\r]\s*(?:(?:#+|//+!?|/?\*+(?!\w)/?|/\*+|\*|;+|--+|%+|>+|\|+|!+|'|\.\.|::|(?:dnl|rem|c)(?=[^\S\n\r]))\s*)*|\s+|\S+")
 
 
+_LICENSE = re.compile(r"(?:DocumentRef-[\w.\-]+:)?LicenseRef-[\w.\-]+|[A-Za-z0-9][A-Za-z0-9.\-]*\+?")
+_BLANKS = re.compile(r"[^\S\n\r]*")
+
+
+def tagged(text: str, at: int) -> tuple[str, int]:
+    """The expression that begins at ``at``, its words with one blank between, and where it ends. What may be malformed is left to ``postfix``."""
+    out, depth, operand, end = [], 0, False, at
+    while True:
+        at = _BLANKS.match(text, at).end()
+        if at < len(text) and text[at] in "\n\r":
+            if not out or (operand and not depth):
+                break
+            at = _PLACES.match(text, at).end()
+        mark = text[at : at + 1]
+        if mark == "(" and not operand:
+            depth += 1
+        elif mark == ")" and operand and depth:
+            depth -= 1
+        elif not (m := _LICENSE.match(text, at)):
+            break
+        else:
+            mark = m.group().rstrip(".-")
+            if operand:
+                after = _LICENSE.match(text, _BLANKS.match(text, m.end()).end())
+                if mark.upper() not in _BINDS or not (mark.isupper() or (after and after.group().rstrip(".-+").lower() in _BY_NAME)):
+                    break
+                mark = mark.upper()
+            operand = not operand
+        out.append(mark)
+        end = at = at + len(mark)
+    return " ".join(out).replace("( ", "(").replace(" )", ")"), end
+
+
 class Scanner:
     def __init__(self, notices: dict[str, str] = NOTICES):
         self.words = ahocorasick.Automaton()
@@ -205,11 +240,9 @@ class Scanner:
                     mid = (lo + hi + 1) // 2
                     lo, hi = (mid, hi) if start[mid][0] < b else (lo, mid - 1)
                 source = start[lo][1] + b - start[lo][0]
-                line = re.match(r"[^\n\r]*", text[source:]).group()
-                line = re.sub(r"(?:\*/|-->|#|//).*$", "", line)
-                expression = line.strip()
-                if postfix(expression) is not None:  # its names aren't notices
-                    reach = b + len(re.sub(r"\s+", " ", line))
+                expression, end = tagged(text, source)
+                # its names aren't notices
+                reach = b + sum(1 if text[x].isspace() else y - x for x, y in (m.span() for m in _PLACES.finditer(text, source, end)))
             else:
                 expression = name
             kind, found = evaluate(expression)
