@@ -6,12 +6,13 @@ format itself promises: the CRC-32 tail of GitHub and npm tokens, the account nu
 JSON header of a JWT, the DER length or magic of a private key block, the randomness of an assigned value.
 
 A finding's ``verdict`` is ``valid`` (a check holds), ``invalid`` (it fails) or ``unchecked`` (the format has none).
-Invalid findings are reported, not redacted. Key blocks are checked by their type: PKCS#1, PKCS#8, EC and DSA keys by DER length, OpenSSH keys by
+Invalid findings are reported, not redacted, but for key blocks: whatever its body is, what calls itself a private key goes. Key blocks are checked by their type: PKCS#1, PKCS#8, EC and DSA keys by DER length, OpenSSH keys by
 their magic; those encrypted under header lines, PGP keys and other types are unchecked.
 
 Defined results: a secret of open length is taken whole, however long. Null, empty and clean texts have no finding. Offsets count characters. Of overlapping findings the
-one that starts first stays, the longer of two at one place. Rows with a null id are left out of the findings; rows sharing an id are scanned
-each and their findings made distinct.
+one that starts first stays, the longer of two at one place. Rows with a null id are left out of the findings (and redacted as all others); rows
+sharing an id are scanned each and their findings made distinct. Very long texts are scanned whole, alone in their slice. An empty table gives no
+rows. Extra columns, whatever their names (``kind``, ``verdict``), are left out of the findings and kept as they are by ``redact``.
 """
 
 from __future__ import annotations
@@ -145,7 +146,7 @@ class Scanner:
     def redact(self, text: str) -> str:
         out, at = [], 0
         for kind, a, b, verdict in self.find(text):
-            if verdict != "invalid":
+            if verdict != "invalid" or kind == "private_key":
                 out += [text[at:a], f"[{kind.upper()}]"]
                 at = b
         return "".join(out) + text[at:] if out else text
