@@ -8,6 +8,7 @@ Python object is made per word.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,9 +51,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def checkpoint_folder(sc) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, a temporary folder is used."""
+    """The session's ``spark.checkpoint.dir``; where that is unset a temporary folder, on one machine alone: on a cluster it is an error."""
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or Path(tempfile.mkdtemp(prefix="ckpt")).as_uri())
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
+        sc.setCheckpointDir(shared or Path(tempfile.mkdtemp(prefix="ckpt")).as_uri())
     return sc.getCheckpointDir()
 
 
@@ -103,8 +107,47 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+_LATIN_LETTERS = np.zeros(256, bool)  # after C2: the letters among the signs of Latin-1
+_LATIN_LETTERS[[0xAA, 0xB5, 0xBA]] = True
+
+
+def word_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Whether each byte of UTF-8 text belongs to a word, and which ones begin a character that is a word by itself (None: none does).
+
+    Typographic and full-width signs part words, as ASCII ones do. Characters of scripts written without blanks (Chinese, Japanese, Thai, Lao,
+    Khmer, Burmese) are words of their own.
+    """
+    w = _WORD[data]
+    at = np.flatnonzero(data == 0xC2)
+    if len(at):
+        at = at[~_LATIN_LETTERS[data[np.minimum(at + 1, len(data) - 1)]]]
+        w[at] = False
+        w[np.minimum(at + 1, len(data) - 1)] = False
+    at = np.flatnonzero(data >= 0xE0)
+    if not len(at):
+        return w, None
+    lead, one, two = data[at], data[np.minimum(at + 1, len(data) - 1)], data[np.minimum(at + 2, len(data) - 1)]
+    # general punctuation to symbols (U+2000 to U+2BFF), CJK punctuation, full-width signs
+    sign = ((lead == 0xE2) & (one < 0xB0)) | ((lead == 0xE3) & (one == 0x80)) | ((lead == 0xEF) & (((one == 0xBC) & ((two <= 0x8F) | ((two >= 0x9A) & (two <= 0xA0)) | (two >= 0xBB))) | ((one == 0xBD) & ((two <= 0x80) | ((two >= 0x9B) & (two <= 0xA5)))) | (one == 0xB8) | (one == 0xB9)))
+    for k in range(3):
+        w[at[sign] + k] = False
+    alone = ((lead == 0xE3) & (one >= 0x81)) | ((lead >= 0xE4) & (lead <= 0xE9)) | ((lead == 0xE0) & (one >= 0xB8) & (one <= 0xBB)) | ((lead == 0xE1) & (((one >= 0x80) & (one <= 0x82)) | ((one >= 0x9E) & (one <= 0x9F)))) | ((lead == 0xF0) & (one >= 0xA0) & (one <= 0xB2))
+    return w, at[alone] if alone.any() else None
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends."""
+    w, alone = word_bytes(data)
+    edge = np.diff(w.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if alone is not None:
+        cut = np.union1d(alone, alone + np.where(data[alone] >= 0xF0, 4, 3))
+        start, end = np.union1d(start, cut[w[np.minimum(cut, len(data) - 1)] & (cut < len(data))]), np.union1d(end, cut[w[cut - 1] & (cut > 0)])
+    return start, end
+
+
 class Words:
-    """Words (letters, digits and non-ASCII bytes) of a column of texts, lower case.
+    """Words (letters, digits and non-ASCII characters but signs) of a column of texts, lower case.
 
     ``start``/``end``: byte spans in ``data``; ``first``: index of each text's first word, with one
     more at the end, so that text ``i`` has the words ``first[i]:first[i + 1]``.
@@ -112,9 +155,7 @@ class Words:
 
     def __init__(self, column: pa.Array):
         self.data, self.offsets = flat(column, lower=True)
-        w = _WORD[self.data].view(np.int8)
-        edge = np.diff(w, prepend=np.int8(0), append=np.int8(0))
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.start, self.end = word_spans(self.data)
         self.first = np.searchsorted(self.start, self.offsets)
         n = len(self.data)
         p, self._inv = _powers(n + 1)
@@ -185,6 +226,14 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

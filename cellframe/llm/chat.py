@@ -13,6 +13,8 @@ several conventions, and one in ``HIDDEN`` (chosen by hash) without marker, whos
 Defined results: null turn texts are left out, an unknown or null role has no marker and no truth; a conversation or transcript
 without any line has no turn and an empty rendering. Rows with a null id are left out. Turns of equal number are ordered by role
 and text; repeated rows of a conversation are repeated turns. Without any labelled line the model has equal emissions, so markers alone decide.
+Of equally likely states the first counts. Very long texts are parsed whole, alone in their slice. An empty table gives no rows. Extra columns, whatever
+their names (``rendered``, ``truth``), are left out of the result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ its own scan, with the same result.
 
 Defined results: null or blank documents match nothing, as do items of fewer than ``n`` words, which have no
 run to be found by. Rows with a null id are left out of the matches (and kept by ``drop_contaminated``).
-Rows sharing an id give each item's best match once. Case and punctuation don't count.
+Rows sharing an id give each item's best match once; of equal scores in a text the first place counts. Case and punctuation don't count.
+Very long texts are searched whole, alone in their slice. An empty table of documents gives no rows, one of items no matches. Extra columns of
+either table, whatever their names (``item_id``, ``score``), are left out of the matches and kept as they are by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -168,11 +170,12 @@ def _groups(benchmark: DataFrame, id_col: str, text_col: str, most: int):
     rows, size = [], 0
     own = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text")).dropna().distinct()
     for r in own.orderBy("item_id", "text").toLocalIterator(prefetchPartitions=True):
-        if rows and size + len(r["text"]) > most:
+        n = len(r["text"].encode())
+        if rows and size + n > most:
             yield rows
             rows, size = [], 0
         rows.append((r["item_id"], r["text"]))
-        size += len(r["text"])
+        size += n
     if rows:
         yield rows
 

@@ -6,12 +6,16 @@ from the start. Nodes that share a band are candidates; candidates whose signatu
 least ``threshold`` (corrected for chance agreement of the stored bytes) are joined; the groups are
 the connected components, found by alternating large-star and small-star steps.
 
-Every member of a bucket is compared, none is capped: a bucket of more than ``block`` members is cut
-into blocks and every pair of blocks is compared in a task of its own, which is exact.
+Every member of a bucket is compared, none is capped. Buckets are counted before they are gathered: one of more
+than ``block`` members is never in one place. Its members are first compared with its least one, each by itself; those
+alike are joined by that. The others, and they alone, are then compared with all members, block by block, each pair of blocks
+in a task of its own. So nothing is left out, and a bucket of copies costs one comparison for each.
 
 Defined results: null or blank texts are in no group. A text of fewer than ``shingle`` words is one
-shingle; one without any word is one shingle of its bytes. Rows with a null id are left out; rows
-sharing an id are one document. The group's id is its smallest document id.
+shingle; one without any word is one shingle of its bytes. Rows with a null id are left out of the groups; rows
+sharing an id are one document. The group's id is its smallest document id. Very long texts are hashed whole, alone in their slice. Equal
+likeness needs no order: whatever reaches the threshold is joined. An empty table gives no rows. Extra columns, whatever their names
+(``group_id``, ``__gone``), are left out of the groups and kept as they are by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.llm._text import Words, checkpointed, map_slices, mix, ngrams, picked
+from cellframe.llm._text import Words, checkpointed, map_slices, mix, ngrams, picked, unused
 
 SHINGLE, BANDS, ROWS, THRESHOLD, BLOCK, SEED = 3, 64, 4, 0.55, 4096, 7
 
@@ -162,39 +166,56 @@ def _verify(need: int):
     return run
 
 
-def candidate_members(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``bucket, member``: members of distinct bands' buckets of two or more; large ones as pairs of blocks."""
-    buckets = (
-        nodes.select("doc_id", F.explode("bands").alias("band"))
-        .groupBy("band")
-        .agg(F.array_sort(F.collect_set("doc_id")).alias("members"))
-        .where(F.size("members") > 1)
-        .select("members")
-    )
-    # one bucket for each distinct set of members: near copies share many bands
-    distinct = buckets.groupBy(F.xxhash64("members").alias("h"), F.col("members")).agg(F.lit(1).alias("one")).select("h", "members")
-    n = F.ceil(F.size("members") / F.lit(block)).cast("int")
-    pairs = F.expr("flatten(transform(sequence(0, n - 1), i -> transform(sequence(i, n - 1), j -> struct(i as i, j as j))))")
-    whole = distinct.withColumn("n", n)
-    small = whole.where("n = 1").select(F.col("h").alias("bucket"), F.explode("members").alias("member"))
-    large = (
-        whole.where("n > 1")
-        .select("h", "members", "n", F.explode(pairs).alias("p"))
-        .where("p.i < p.j")
-        .select(
-            F.xxhash64("h", "p.i", "p.j").alias("bucket"),
-            F.explode(F.expr(f"concat(slice(members, p.i * {block} + 1, {block}), slice(members, p.j * {block} + 1, {block}))")).alias("member"),
-        )
-    )
-    return small.unionByName(large)
+def alike(members: DataFrame, need: int) -> DataFrame:
+    """``band, member, joined`` of ``band, member, sig, other``: whether the two signatures agree in ``need`` bytes at least."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig", "other"))
+            yield pa.RecordBatch.from_arrays([batch.column("band"), batch.column("member"), pa.array((a == b).sum(axis=1) >= need)], ["band", "member", "joined"])
+
+    return members.select("band", "member", "sig", "other").mapInArrow(run, "band long, member long, joined boolean")
+
+
+def large_buckets(banded: DataFrame, hot: DataFrame, nodes: DataFrame, need: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Edges ``u, v`` within buckets of more than ``block`` members (``hot``: band and its least member), and ``bucket, member`` of what has to be compared yet."""
+    sig = nodes.select(F.col("doc_id").alias("member"), "sig")
+    least = hot.join(nodes.select(F.col("doc_id").alias("least"), F.col("sig").alias("other")), "least")
+    # written once: read for the edges, for the counts and for the blocks
+    seen = checkpointed(alike(banded.join(least, "band").join(sig, "member"), need))
+    edges = seen.where("joined").join(hot, "band").where("member <> least").select(F.col("member").alias("u"), F.col("least").alias("v"))
+    apart = F.sum(F.when(F.col("joined"), 0).otherwise(1))
+    # blocks 0 to p - 1 hold those apart, p to p + q - 1 those joined to the least one, itself at least; every pair with one of the first kind meets
+    n = seen.groupBy("band").agg(F.ceil(apart / F.lit(block)).cast("int").alias("p"), F.ceil((F.count("*") - apart) / F.lit(block)).cast("int").alias("q")).where("p > 0")
+    h = F.xxhash64("member", "band")
+    placed = seen.join(n, "band").withColumn("own", F.when(F.col("joined"), F.col("p") + F.pmod(h, F.col("q"))).otherwise(F.pmod(h, F.col("p"))).cast("int"))
+    met = F.sequence(F.lit(0), F.col("p") + F.when(F.col("joined"), 0).otherwise(F.col("q")) - 1)
+    pairs = placed.select("band", "member", "own", F.explode(met).alias("other")).where("own <> other")
+    return edges, pairs.select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "member")
+
+
+def small_buckets(banded: DataFrame) -> DataFrame:
+    """``bucket, member`` of buckets of two or more, one for each distinct set of members: near copies share many bands."""
+    buckets = banded.groupBy("band").agg(F.array_sort(F.collect_set("member")).alias("members")).where(F.size("members") > 1)
+    distinct = buckets.groupBy(F.xxhash64("members").alias("bucket"), "members").agg(F.lit(1).alias("one"))
+    return distinct.select("bucket", F.explode("members").alias("member"))
 
 
 def edges_of(nodes: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     # stored bytes agree by chance in 1 of 256, so that much of the disagreement is hidden
     need = int(np.ceil(bands * rows * (threshold + (1 - threshold) / 256) - 1e-9))
-    members = candidate_members(nodes, block).join(nodes.select(F.col("doc_id").alias("member"), "sig"), "member")
-    by_bucket = members.repartition("bucket").sortWithinPartitions("bucket", "member")
-    return by_bucket.select("bucket", "member", "sig").mapInArrow(_verify(need), "u long, v long").distinct()
+    banded = nodes.select(F.explode("bands").alias("band"), F.col("doc_id").alias("member"))
+    sized = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("member").alias("least"))
+    hot = checkpointed(sized.where(F.col("n") > block).select("band", "least"))
+    edges = None
+    if hot.isEmpty():
+        members = small_buckets(banded)
+    else:
+        edges, members = large_buckets(banded, hot, nodes, need, block)
+        members = members.unionByName(small_buckets(banded.join(hot, "band", "left_anti")))
+    by_bucket = members.join(nodes.select(F.col("doc_id").alias("member"), "sig"), "member").repartition("bucket").sortWithinPartitions("bucket", "member")
+    found = by_bucket.select("bucket", "member", "sig").mapInArrow(_verify(need), "u long, v long")
+    return (found if edges is None else found.unionByName(edges)).distinct()
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -242,10 +263,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return member.join(sizes, "group_id").select("doc_id", "group_id", "n_group")
 
 
+def one_of_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row for each id, that of the least text; of rows with a null id one for each text, and all without a text.
+
+    Only rows whose id (or, without one, text) occurs again are brought together; the others stay where they are.
+    """
+    id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    # a text stands for an id that is null, by its digest
+    own, name = F.when(id_.isNotNull(), id_.cast("string")).otherwise(F.sha2(text, 256)), unused(docs, "own")
+    again = checkpointed(docs.select(own.alias(name)).dropna().groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name))
+    if again.isEmpty():
+        return docs
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn(name, own)
+    order = F.struct(text, F.xxhash64(*[F.to_json(F.struct(c)) for c in columns]))
+    several = marked.join(again, name, "left_semi").groupBy(name).agg(F.min_by(F.struct(*columns), order).alias("row")).select("row.*")
+    return marked.join(again, name, "left_anti").select(*columns).unionByName(several)
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` less all but the first document of each group; rows in no group stay as they are.
+    """``docs`` less all but the first document of each group; documents in no group stay as they are.
 
-    What goes is documents, not rows: rows that share the id of a document that stays all stay, exact repeats too, and rows with a null id stay whatever their text.
+    Of rows that share an id one stays, that of the least text; of rows with a null id one of each text. Rows without an id and a text, which can't be
+    likened to anything, all stay.
     """
-    extra = near_duplicates(docs, id_col, text_col, **how).where("doc_id <> group_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(extra, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, **how).where("doc_id <> group_id").select(F.col("doc_id").alias(unused(docs, "gone")))
+    left = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(gone.columns[0]), "left_anti")
+    return one_of_each(left, id_col, text_col)

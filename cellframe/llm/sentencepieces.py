@@ -10,6 +10,8 @@ The vocabulary is read from a public SentencePiece file of the BPE kind with ide
 
 Defined results: a null text has null ids, an empty text none; very long texts and words are encoded whole.
 Decoding returns the text exactly, but for U+2581, which stands for a blank in the vocabulary. Rows with repeated or null ids are encoded each.
+Of equal ranks the leftmost pair is merged. An empty table gives no rows. Extra columns, whatever their names (``ids``, ``exact``), are left out of the
+result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ follows from the selector alone, all words of many texts are decoded at once, an
 Packing takes the widest selector that fits at every position; all blocks advance together.
 
 Defined results: null texts have null payloads, empty ones empty payloads; a block's last word may be partly filled.
-Rows with repeated or null ids are packed each.
+Rows with repeated or null ids are packed each. Very long texts are packed whole, alone in their slice. Equal texts give equal words. An empty table
+gives no rows. Extra columns, whatever their names (``payload``, ``n_ids``), are left out of the result.
 """
 
 from __future__ import annotations
