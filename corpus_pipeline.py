@@ -1,8 +1,9 @@
 """From raw documents to token ids: the stages of the text pipeline, each on all that its predecessor kept.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``. An empty table passes through every stage; rows with a null text or id are kept by the
-filters (they can't be judged) and have null ids in the end.
+``documents``, extra ones included, whatever their names. An empty table passes through every stage. Rows with a null text are kept by the
+filters (they can't be judged) and have null ids of pieces in the end; rows with a null id are judged by their text. Of rows that share an
+id, or a text without an id, one stays. Very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of smallest id."""
+    """One document of each group of near copies stays, the one of smallest id, and one row of each document."""
     return minhash.drop_near_duplicates(docs)
 
 
@@ -46,7 +47,7 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: SQL can't express the classifier, MinHash or the alignment; tests hold run() against the operators' own results, and each operator against brute force.
+#: SQL can't express the classifier, MinHash or the alignment; a test holds run() against independent brute-force stages.
 ORACLE_SQL = None
 
 
