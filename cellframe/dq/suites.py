@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellframe import schemas
-from cellframe.dq.core import Gate, Limit, as_results, count_gates, rate_gates, summary
+from cellframe.dq.core import Gate, Limit, as_results, count_gates, gate_status, rate_gates, summary
 from cellframe.functions import scalar as S
 from cellframe.operators import geo, intervals, joins, profile
 
@@ -70,6 +70,30 @@ class Suite:
             self.more.append(v.select(F.concat(F.lit(f"{name}."), "value").alias("check_name"), F.lit("info").alias("status"), F.create_map(F.lit("n"), F.col("n").cast("string"), F.lit("pct"), F.col("pct").cast("string")).alias("metrics")))
         return self
 
+    def profile(self, name: str, columns: Sequence[str]) -> Suite:
+        """Numeric summary of each column that is there."""
+        cols = [c for c in columns if self.has(c)]
+        if cols:
+            p = profile.numeric_profile(self.df, cols)
+            metrics = ("n", "nulls", "min", "p50", "p95", "max", "mean", "std")
+            self.more.append(as_results(p.select(F.concat(F.lit(f"{name}."), "column_name").alias("check_name"), F.lit("info").alias("status"), *metrics), *metrics))
+        return self
+
+    def presence(self, name: str, columns: Sequence[str]) -> Suite:
+        """Empty, filled and distinct values of each column that is there, as texts."""
+        for c in (c for c in columns if self.has(c)):
+            one = self.df.agg(F.coalesce(F.sum(_empty(c).cast("long")), F.lit(0)).alias("empty"), F.coalesce(F.sum((~_empty(c)).cast("long")), F.lit(0)).alias("filled"), F.countDistinct(F.when(~_empty(c), F.trim(F.col(c).cast("string")))).alias("n_distinct"))
+            self.more.append(as_results(one.select(F.lit(f"{name}.{c}").alias("check_name"), F.lit("info").alias("status"), "*"), "empty", "filled", "n_distinct"))
+        return self
+
+    def few_values(self, name: str, columns: Sequence[str], most: int = 20) -> Suite:
+        """All values, with counts and shares, of each column that has at most ``most`` of them."""
+        for c in (c for c in columns if self.has(c)):
+            v = profile.value_counts(self.df, c, most + 1, keep_null=False)
+            few = v.agg(F.count("*").alias("__k")).where(f"__k <= {most}")
+            self.more.append(v.crossJoin(few).select(F.concat(F.lit(f"{name}.{c}."), "value").alias("check_name"), F.lit("info").alias("status"), F.create_map(F.lit("n"), F.col("n").cast("string"), F.lit("pct"), F.col("pct").cast("string")).alias("metrics")))
+        return self
+
     def results(self) -> DataFrame:
         spark = self.df.sparkSession
         out = spark.createDataFrame(self.fixed, RESULT)
@@ -146,6 +170,9 @@ def dim_oksm(df: DataFrame) -> DataFrame:
     s = Suite(df, schemas.DIM_OKSM.fieldNames()).nulls().none("numeric_format", ~_like("numeric_code", r"^\d{3}$"), "failed").none("alpha2_format", ~_like("alpha2", "^[A-Z]{2}$"), "failed").none("alpha3_format", ~_like("alpha3", "^[A-Z]{3}$"), "failed")
     for c in ("numeric_code", "alpha2", "alpha3", "autokey"):
         s.unique(f"{c}_unique", [c], "failed")
+    for a, b in (("numeric_code", "alpha2"), ("numeric_code", "alpha3"), ("alpha2", "alpha3")):
+        n = df.agg(F.countDistinct(a, b).alias("pairs"), F.countDistinct(a).alias("first"), F.countDistinct(b).alias("second"))
+        s.add(as_results(n.select(F.lit(f"pairs.{a}.{b}").alias("check_name"), F.when((F.col("pairs") == F.col("first")) & (F.col("pairs") == F.col("second")), "ok").otherwise("warning").alias("status"), "*"), "pairs", "first", "second"))
     s.none("names", _empty("name_short") | _empty("name_full"), "failed").none("autokey_empty", _empty("autokey"), "failed").distinct(["numeric_code", "alpha2"])
     home = df.agg(F.coalesce(F.max((F.col("numeric_code") == "643").cast("int")), F.lit(0)).alias("found"))
     return s.add(as_results(home.select(F.lit("home_present").alias("check_name"), F.when(F.col("found") == 1, "ok").otherwise("warning").alias("status"), "found"), "found")).results()
@@ -178,8 +205,45 @@ def src_bs(df: DataFrame) -> DataFrame:
     s.unique("key_integrity", "mcc mnc lac cell date_on".split(), "warning").values("bs_type", "bs_type").values("generation", "generation")
     sites = profile.nested_count_quantiles(df.where(coords), ["coord_x", "coord_y"])
     s.add(as_results(sites.select(F.lit("contract.cells_per_coordinate").alias("check_name"), F.lit("info").alias("status"), "*"), "p50", "p95", "max"))
-    months = profile.value_counts(df.select(F.date_format(on, "yyyy-MM").alias("m")), "m", 60)
-    return s.add(months.select(F.concat(F.lit("temporal.month."), "value").alias("check_name"), F.lit("info").alias("status"), F.create_map(F.lit("n"), F.col("n").cast("string")).alias("metrics"))).results()
+    spatial = df.agg(*[F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(n) for n, c in (("bad_lon", ~x.between(-180, 180)), ("bad_lat", ~y.between(-90, 90)), ("no_lon", x.isNull()), ("no_lat", y.isNull()))])
+    s.add(as_results(spatial.select(F.lit("spatial.ranges").alias("check_name"), F.lit("info").alias("status"), "*"), "bad_lon", "bad_lat", "no_lon", "no_lat"))
+    s.profile("numeric", RADIO).presence("radio.presence", (*RADIO, "rad_class")).few_values("unique_values", ("mcc", "mnc", "bs_type", "generation", "frequency", "rad_class"))
+    s.none("radio.power_without_height", _number("power").isNotNull() & _number("height").isNull(), "info", needs=["power", "height"])
+    kinds = profile.cross_tab(df, "generation", "bs_type")
+    s.add(kinds.select(F.concat_ws(".", F.lit("radio.generation_bs_type"), F.coalesce("generation", F.lit("<NA>")), F.coalesce("bs_type", F.lit("<NA>"))).alias("check_name"), F.lit("info").alias("status"), F.create_map(F.lit("n"), F.col("n").cast("string"), F.lit("pct"), F.col("pct").cast("string")).alias("metrics")))
+    active = active_days(df, on, off).agg(F.percentile("n", 0.5).alias("p50"), F.percentile("n", 0.95).alias("p95"), F.max("n").alias("max"), F.count("*").alias("days"))
+    s.add(as_results(active.select(F.lit("temporal.active_cells_a_day").alias("check_name"), F.lit("info").alias("status"), "*"), "p50", "p95", "max", "days"))
+    scope = df.agg(F.count("*").alias("rows"), F.countDistinct("mcc", "mnc").alias("operators"), F.countDistinct("mcc", "mnc", "lac", "cell").alias("cells"))
+    s.add(as_results(scope.select(F.lit("scope").alias("check_name"), F.lit("info").alias("status"), "*"), "rows", "operators", "cells"))
+    for name, t in (("month", on), ("month_off", off)):
+        months = profile.value_counts(df.select(F.date_format(t, "yyyy-MM").alias("m")), "m")
+        s.add(months.select(F.concat(F.lit(f"temporal.{name}."), "value").alias("check_name"), F.lit("info").alias("status"), F.create_map(F.lit("n"), F.col("n").cast("string")).alias("metrics")))
+    return s.results()
+
+
+RADIO = ("power", "height", "amplification", "tilt", "el_tilt", "mech_tilt", "azimuth", "sector_angle", "frequency")
+
+
+def active_days(df: DataFrame, on: Column, off: Column, low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """``day, n``: intervals that hold on each day from the first begin to the last (or from ``low`` to ``high``), by sums of begins and ends.
+
+    An interval costs two rows, however long it holds.
+    """
+    spans = df.select(F.to_date(on).alias("a"), F.to_date(off).alias("b")).where("a is not null and (b is null or b >= a)")
+    changes = spans.select(F.explode(F.array(F.struct(F.col("a").alias("day"), F.lit(1).alias("c")), F.when(F.col("b").isNotNull(), F.struct(F.date_add("b", 1).alias("day"), F.lit(-1).alias("c"))))).alias("x")).select("x.*").where("day is not null").groupBy("day").agg(F.sum("c").alias("c"))
+    ends = spans.agg(F.coalesce(low, F.min("a")) if low is not None else F.min("a"), F.max("a")).toDF("a", "b").where("a is not null")
+    if high is not None:
+        ends = ends.withColumn("b", high)
+    days = ends.select(F.explode(F.sequence("a", "b")).alias("day"), F.lit(0).alias("c"))
+    # days are few: one ordered pass over them
+    both = changes.unionByName(days.select("day", F.col("c").cast("long").alias("c"))).groupBy("day").agg(F.sum("c").alias("c"), F.max(F.lit(0)).alias("z"))
+    running = both.withColumn("n", F.sum("c").over(Window.partitionBy("z").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
+    return running.join(days.select("day"), "day", "left_semi").select("day", "n")
+
+
+def age_in_years(birth: str, as_of: Column) -> Column:
+    """Years with fractions, as the checks count them."""
+    return F.datediff(as_of, F.col(birth).try_cast("date")) / 365.25
 
 
 def src_person(df: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -187,7 +251,7 @@ def src_person(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     gsm = F.col("identity_type").try_cast("int").isin(2, 4, 5)
     physical = F.col("client_type").try_cast("int") == 0
     a, b = (F.col(c).try_cast("timestamp_ntz") for c in ("actually_from", "actually_to"))
-    age = F.datediff(as_of, F.col("birth_day").try_cast("date")) / 365.25
+    age = age_in_years("birth_day", as_of)
     name = ~_empty("last_name") & ~_empty("first_name")
     s = Suite(df, "identity_type operator_Id isdn imsi imei iccid client_type actually_from actually_to birth_day first_name second_name last_name document".split()).nulls().distinct(["operator_Id", "isdn", "imsi"])
     for c in ("isdn", "imsi", "imei"):
@@ -204,6 +268,22 @@ def src_person(df: DataFrame, as_of: Column | None = None) -> DataFrame:
     return s.add(cross.select(F.concat_ws(".", F.lit("cross"), F.coalesce(F.col("identity_type").cast("string"), F.lit("<NA>")), F.coalesce(F.col("client_type").cast("string"), F.lit("<NA>"))).alias("check_name"), F.lit("info").alias("status"), F.create_map(F.lit("n"), F.col("n").cast("string"), F.lit("pct"), F.col("pct").cast("string")).alias("metrics"))).results()
 
 
+def snapshot_inventory(inventory: DataFrame, low: Column, high: Column) -> DataFrame:
+    """What a month's or a period's daily snapshots amount to. ``inventory``: day, rows, success."""
+    inside = inventory.where(F.col("day").between(low, high))
+    span = inside.agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("days")).withColumn("status", F.when(F.col("days") > 0, "ok").otherwise("warning"))
+    out = span.select(F.lit("date_range").alias("check_name"), "status", F.create_map(F.lit("days"), F.col("days").cast("string"), F.lit("span"), (F.datediff("last", "first") + 1).cast("string")).alias("metrics"))
+    calendar = inside.sparkSession.range(1).select(F.explode(F.sequence(low.cast("date"), high.cast("date"))).alias("day"))
+    missing = calendar.join(inside.select("day").distinct(), "day", "left_anti").agg(F.count("*").alias("missing"))
+    out = out.unionByName(as_results(missing.select(F.lit("calendar_coverage").alias("check_name"), F.when(F.col("missing") > 0, "warning").otherwise("ok").alias("status"), "missing"), "missing"))
+    for kind, rows in (("success", inside.where("success")), ("partial", inside.where("not success"))):
+        v = rows.agg(F.count("*").alias("days"), F.min("rows").alias("min"), F.percentile("rows", 0.5).alias("p50"), F.percentile("rows", 0.95).alias("p95"), F.max("rows").alias("max"), F.avg("rows").alias("mean"))
+        out = out.unionByName(as_results(v.select(F.lit(f"period_volume.{kind}").alias("check_name"), F.lit("info").alias("status"), "*"), "days", "min", "p50", "p95", "max", "mean"))
+    done = inside.agg(F.count("*").alias("days"), F.coalesce(F.sum(F.col("success").cast("long")), F.lit(0)).alias("success_days"), F.max(F.when(F.col("success"), F.dayofmonth("day"))).alias("latest_day"))
+    done = done.withColumn("share", F.col("success_days") / F.nullif("days", F.lit(0)))
+    return out.unionByName(as_results(done.select(F.lit("success_days").alias("check_name"), F.when(F.col("success_days") > 0, "ok").otherwise("warning").alias("status"), "*"), "days", "success_days", "share", "latest_day"))
+
+
 def src_exclusions(lists: dict[str, DataFrame | None], spark: SparkSession) -> DataFrame:
     out = None
     for name, df in lists.items():
@@ -232,18 +312,40 @@ def src_mart(df: DataFrame, mart: str) -> DataFrame:
         s.rate("stg_contract.coords", _number("Latitude").between(-90, 90) & _number("Longitude").between(-180, 180), 0.99, 0.995)
     if mart in ("cdr", "gprs"):
         s.unique("imsi_started_duplicates", ["IMSI", "Started"], "warning")
-    hours = profile.hour_histogram(df, F.substring("Started", 9, 2))
+    good = S.fourteen_digits("Started")
+    cover = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(good.cast("long")), F.lit(0)).alias("well_timed"), F.countDistinct(F.when(good, F.substring(F.trim("Started"), 1, 8))).alias("days"))
+    s.add(as_results(cover.select(F.lit("coverage").alias("check_name"), F.when(F.col("days") > 0, "ok").otherwise("warning").alias("status"), "*"), "rows", "well_timed", "days"))
+    located = F.coalesce((lac >= 0) & (cell >= 0), F.lit(False))
+    kept = df.agg(*[F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0)).alias(n) for n, c in (("untimed", ~F.coalesce(good, F.lit(False))), ("timed_unlocated", good & ~located), ("timed_located", good & located))])
+    s.add(as_results(kept.select(F.lit("filters").alias("check_name"), F.lit("info").alias("status"), "*"), "untimed", "timed_unlocated", "timed_located"))
+    s.few_values("distribution", [c for c in DISTRIBUTIONS[mart] if s.has(c)])
+    hours = profile.hour_histogram(df.where(good), F.substring(F.trim("Started"), 9, 2))
     return s.add(hours.select(F.concat(F.lit("hour."), "hour").alias("check_name"), F.lit("info").alias("status"), F.create_map(F.lit("n"), F.col("n").cast("string")).alias("metrics"))).results()
 
 
+#: Columns of each mart whose values are listed where they are few.
+DISTRIBUTIONS = {"cdr": ("Owner", "OwnerMCCMNC", "CallType", "CallEnd"), "gprs": ("Owner", "OwnerMCCMNC", "Apn", "RatType"), "sms": ("Owner", "MCC", "MNC", "SmsType"), "location": ("Owner", "MCC", "MNC", "LocationType")}
+
+
+def traffic_mix(counts: DataFrame, by: Sequence[str] = ("day",)) -> DataFrame:
+    """Rows of each mart for each key, their total, the share of data sessions, and location rows for each of them. ``counts``: key, mart, n."""
+    n = lambda m: F.coalesce(F.sum(F.when(F.col("mart") == m, F.col("n"))), F.lit(0)).cast("long").alias(m)
+    out = counts.groupBy(*by).agg(*[n(m) for m in GEO_TYPES])
+    out = out.withColumn("total", F.col("cdr") + F.col("sms") + F.col("gprs") + F.col("location"))
+    return out.withColumn("gprs_share", F.round(F.col("gprs") / F.nullif("total", F.lit(0)), 6)).withColumn("location_to_gprs", F.round(F.col("location") / F.greatest(F.col("gprs"), F.lit(1)), 6))
+
+
 def src_marts(marts: dict[str, DataFrame]) -> DataFrame:
-    """All marts, and the mix of traffic among them."""
+    """All marts, and the mix of traffic among them, over all and for each day."""
     out = counts = None
     for mart, df in marts.items():
-        one, n = src_mart(df, mart), df.agg(F.count("*").alias("n")).select(F.lit(mart).alias("mart"), "n")
+        day = F.when(S.fourteen_digits("Started"), F.substring(F.trim("Started"), 1, 8))
+        one, n = src_mart(df, mart), df.groupBy(day.alias("day")).agg(F.count("*").alias("n")).select("day", F.lit(mart).alias("mart"), "n")
         out, counts = (one, n) if out is None else (out.unionByName(one), counts.unionByName(n))
-    share = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("t")))).select(F.concat(F.lit("mix."), "mart").alias("check_name"), F.lit("info").alias("status"), F.create_map(F.lit("n"), F.col("n").cast("string"), F.lit("share"), (F.col("n") / F.nullif("t", F.lit(0))).cast("string")).alias("metrics"))
-    return out.unionByName(share)
+    metrics = (*GEO_TYPES, "total", "gprs_share", "location_to_gprs")
+    whole = traffic_mix(counts.withColumn("all", F.lit("all")), ["all"]).select(F.lit("mix").alias("check_name"), F.lit("info").alias("status"), *metrics)
+    days = traffic_mix(counts.where("day is not null")).select(F.concat(F.lit("mix."), "day").alias("check_name"), F.lit("info").alias("status"), *metrics)
+    return out.unionByName(as_results(whole.unionByName(days), *metrics))
 
 
 # marts and facts
@@ -261,6 +363,20 @@ def dds_event(df: DataFrame) -> DataFrame:
     return s.add(b.select(F.concat(F.lit("event_count."), F.coalesce("bucket", F.lit("<NA>"))).alias("check_name"), F.lit("info").alias("status"), F.create_map(F.lit("n"), F.col("n").cast("string")).alias("metrics"))).results()
 
 
+def dds_event_by_source(df: DataFrame, source: str = "source_id") -> DataFrame:
+    """Coverage and the gates of the event table for each source, in one grouped pass: ``check_name`` begins with the source."""
+    from cellframe.plans.events import CODES, location_known
+
+    named = F.lower(F.trim("event_name"))
+    code = F.element_at(F.create_map(*[F.lit(x) for k, v in CODES.items() for x in (k, v)]), named)
+    gates = [("timestamp_parseable", S.event_time("event_timestamp").isNotNull(), 0.99, 0.995), ("stg_contract.event", F.col("event").isin(*CODES.values()), 0.999, 1.0), ("stg_contract.event_name", named.isin(*CODES), 0.999, 1.0), ("stg_contract.alignment", code == F.col("event"), 0.999, 1.0), ("stg_contract.location", F.col("location").isNotNull(), 0.90, 0.98), ("stg_contract.compressible", location_known(), 0.0, 0.5)]
+    good = [F.avg(F.coalesce(g, F.lit(False)).cast("double")).alias(f"r{i}") for i, (_, g, _, _) in enumerate(gates)]
+    t = df.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("_unknown")).alias("__source")).agg(F.count("*").alias("__rows"), F.sum("event_count").alias("__events"), *good)
+    checks = [F.struct(F.lit("coverage").alias("check_name"), F.lit("ok").alias("status"), F.create_map(F.lit("rows"), F.col("__rows").cast("string"), F.lit("events"), F.col("__events").cast("string")).alias("metrics"))]
+    checks += [F.struct(F.lit(n).alias("check_name"), gate_status(F.col(f"r{i}"), failed, warn).alias("status"), F.create_map(F.lit("rate"), F.col(f"r{i}").cast("string")).alias("metrics")) for i, (n, _, failed, warn) in enumerate(gates)]
+    return t.select("__source", F.explode(F.array(*checks)).alias("c")).select(F.concat_ws(".", "__source", "c.check_name").alias("check_name"), "c.status", "c.metrics")
+
+
 def fct_bs(df: DataFrame, vocabulary: Sequence[str] = ("m", "i", "x", "f", "o")) -> DataFrame:
     open_ = F.col("date_off").isNull() | (F.col("date_off") == F.lit(schemas.BS_OPEN_END).cast("timestamp_ntz"))
     key = list(schemas.BS_KEYS)
@@ -328,6 +444,8 @@ def fct_person(df: DataFrame, oksm: DataFrame | None = None) -> DataFrame:
     s.rate("low_confidence", F.col("person_confidence") != "low", 0.0, 0.70).none("id_digits", ~_like("msisdn", r"^\d{7,15}$") | ~_like("imsi", r"^\d{14,15}$") | ~_like("imei", r"^\d{14,16}$"))
     one = df.agg(F.countDistinct("report_date").alias("dates"))
     s.add(as_results(one.select(F.lit("single_report_date").alias("check_name"), F.when(F.col("dates") > 1, "failed").otherwise("ok").alias("status"), "dates"), "dates"))
+    extra = [c for c in df.columns if c not in schemas.PERSON.fieldNames()]
+    s.fixed.append(("extra_columns", "warning" if extra else "ok", {"n": str(len(extra))}))
     if oksm is not None:
         s.add(_missing("citizenship_known", df.where("citizenship <> 'U'"), "citizenship", oksm, "numeric_code", "failed"))
     return s.results()

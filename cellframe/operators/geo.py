@@ -56,19 +56,76 @@ def prepare_zones(zones: DataFrame, order: str, wkt: str) -> DataFrame:
     return e.select(F.col(order).alias("__order"), *[c for c in zones.columns if c != wkt], "__e", "__b")
 
 
-def first_covering(points: DataFrame, zones: DataFrame, id_col: str, x: str, y: str, order: str, wkt: str) -> DataFrame:
-    """Each point with the columns of the least zone by ``order`` that covers it, null if none does.
+def _cell(c: Column, size: float) -> Column:
+    return F.floor(c / F.lit(size)).cast("long")
 
-    The bounding box is part of the join's condition, so rings are only walked for boxes that hold the point.
+
+def first_covering(points: DataFrame, zones: DataFrame, id_col: str, x: str, y: str, order: str, wkt: str, size: float = 1.0) -> DataFrame:
+    """Each point with the columns of the least zone by ``order`` that covers it, null if none does. ``order`` is a zone's key.
+
+    Zones are laid on a grid of ``size`` degrees by their bounding boxes and meet points by grid cell; boxes part what remains, and only then
+    the edges are fetched, by the zone's key, and walked.
     """
     z = prepare_zones(zones, order, wkt)
     kept = [c for c in z.columns if not c.startswith("__")]
+    box = F.col("__b")
+    span = lambda lo, hi: F.sequence(_cell(box[lo], size), _cell(box[hi], size))
+    laid = z.select("__order", "__b", F.explode(span("x0", "x1")).alias("__gx")).withColumn("__gy", F.explode(span("y0", "y1")))
     px, py = F.col(x), F.col(y)
-    hit = points.select(id_col, px, py).join(z, px.between(F.col("__b.x0"), F.col("__b.x1")) & py.between(F.col("__b.y0"), F.col("__b.y1")) & covers(F.col("__e"), px, py))
+    p = points.select(id_col, px, py, _cell(px, size).alias("__gx"), _cell(py, size).alias("__gy")).where("__gx is not null and __gy is not null")
+    near = p.join(laid, ["__gx", "__gy"]).where(px.between(box["x0"], box["x1"]) & py.between(box["y0"], box["y1"])).select(id_col, px, py, "__order")
+    hit = near.join(z.drop("__b"), "__order").where(covers(F.col("__e"), px, py))
     best = hit.groupBy(id_col).agg(F.min_by(F.struct(*kept), "__order").alias("__z")).select(id_col, *[F.col(f"__z.{c}").alias(c) for c in kept])
     return points.join(best, id_col, "left")
 
 
+def offset_of_subject(points: DataFrame, zones: DataFrame, id_col: str, x: str, y: str, subject: str, default: int = 3) -> DataFrame:
+    """Adds ``utc_offset``: of the time zones named like the point's subject the first by ``code`` that covers it, else the first of them, else ``default``.
+
+    ``zones``: code, name, timezone, geometry.
+    """
+    named = zones.select(F.lower(F.trim("name")).alias("__name"), "code", "timezone", "geometry").where("timezone is not null")
+    first = named.groupBy("__name").agg(F.min_by("timezone", "code").alias("__first"))
+    p = points.select(id_col, x, y, F.lower(F.trim(F.col(subject).cast("string"))).alias("__name")).where("__name is not null")
+    shaped = named.withColumn("__e", edges("geometry")).where("__e is not null").drop("geometry")
+    hit = p.join(shaped, "__name").where(covers(F.col("__e"), F.col(x), F.col(y))).groupBy(id_col).agg(F.min_by("timezone", "code").alias("__hit"))
+    best = p.join(first, "__name").join(hit, id_col, "left").select(id_col, F.coalesce("__hit", "__first").cast("int").alias("__offset"))
+    return points.join(best, id_col, "left").withColumn("utc_offset", F.coalesce("__offset", F.lit(default))).drop("__offset")
+
+
+def sample_in_zones(zones: DataFrame, key: str, wkt: str, n: int, seed: int = 0, tries: int = 64) -> DataFrame:
+    """``key, k, lon, lat``: up to n points inside each zone, drawn from its bounding box by hash, the same at every run.
+
+    A point is the first of ``tries`` draws that the zone covers; where none is, the zone is too thin a part of its box and the point is left out.
+    """
+    z = prepare_zones(zones.select(key, wkt), key, wkt)
+
+    def unit(k: Column, t: Column, axis: str) -> Column:
+        return F.pmod(F.xxhash64(F.col("__order"), k, t, F.lit(axis), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+    b = F.col("__b")
+
+    def draw(k: Column, t: Column) -> Column:
+        return F.struct((b["x0"] + (b["x1"] - b["x0"]) * unit(k, t, "x")).alias("lon"), (b["y0"] + (b["y1"] - b["y0"]) * unit(k, t, "y")).alias("lat"))
+
+    drawn = z.select("__order", "__e", "__b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda t: draw(F.col("k"), t))
+    first = F.get(F.filter(draws, lambda q: covers(F.col("__e"), q["lon"], q["lat"])), F.lit(0))
+    return drawn.select(F.col("__order").alias(key), "k", first.alias("p")).where("p is not null").select(key, "k", "p.lon", "p.lat")
+
+
+def border_distance(e: Column, x: Column, y: Column) -> Column:
+    """Distance from a point to the nearest edge, in the units of the coordinates."""
+
+    def to_edge(s: Column) -> Column:
+        dx, dy = s["x2"] - s["x"], s["y2"] - s["y"]
+        norm = dx * dx + dy * dy
+        t = F.when(norm > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - s["x"]) * dx + (y - s["y"]) * dy) / norm))).otherwise(0.0)
+        return F.sqrt(F.pow(x - s["x"] - t * dx, 2) + F.pow(y - s["y"] - t * dy, 2))
+
+    return F.array_min(F.transform(e, to_edge))
+
+
 def territory(points: DataFrame, zones: DataFrame, id_col: str, x: str, y: str, subject: str) -> DataFrame:
     """Region and municipality of each point: the second-level zone and its parent, else a region of the subject's name, else the first-level zone.
 
@@ -104,12 +161,13 @@ def circle(lon: Column, lat: Column, km: Column, steps: int = 48) -> Column:
 def sector_rings(lon: Column, lat: Column, km: Column, azimuth: Column, angle: Column, bs_type: Column) -> Column:
     """Rings of a cell's coverage: a circle for small sites and full angles, else a wedge, with a rear lobe for outdoor sites.
 
-    The two parts stay two rings of a MULTIPOLYGON; where they touch near the apex nothing is merged.
+    The lobe is shorter than the wedge, so what the wedge doesn't cover of it is its part outside the wedge's angle: that much of it is a second ring of
+    a MULTIPOLYGON, which meets the first only at the apex. No area counts twice.
     """
     round_ = bs_type.isin("m", "i", "f") | (angle >= 360)
     front = wedge(lon, lat, km, azimuth, angle)
-    rear = wedge(lon, lat, F.greatest(F.lit(0.05), km * 0.35), F.pmod(azimuth + 180.0, F.lit(360.0)), F.least(F.lit(100.0), F.greatest(F.lit(40.0), angle * 0.65)))
-    return F.when(round_, F.array(circle(lon, lat, km))).when(bs_type == "o", F.array(front, rear)).otherwise(F.array(front))
+    rear = wedge(lon, lat, F.greatest(F.lit(0.05), km * 0.35), F.pmod(azimuth + 180.0, F.lit(360.0)), F.least(F.lit(100.0), F.greatest(F.lit(40.0), angle * 0.65), 360 - angle))
+    return F.when(round_, F.array(circle(lon, lat, km))).when((bs_type == "o") & (angle <= 358), F.array(front, rear)).otherwise(F.array(front))
 
 
 def rings_wkt(rings: Column) -> Column:
@@ -119,33 +177,45 @@ def rings_wkt(rings: Column) -> Column:
     return F.when(F.size(rings) == 1, F.concat(F.lit("POLYGON"), one(F.get(rings, F.lit(0))))).otherwise(F.concat(F.lit("MULTIPOLYGON("), F.array_join(F.transform(rings, one), ","), F.lit(")")))
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once for the row, however often ``f`` refers to it: as a lambda's variable, not as text pasted in."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ring_metrics(ring: Column) -> Column:
     """``area_km2, lon, lat`` of a closed ring: shoelace sums about its first point."""
-    x0, y0 = F.get(ring, F.lit(0))["x"], F.get(ring, F.lit(0))["y"]
-    n = F.size(ring)
-    pairs = F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), lambda a, b: F.struct((a["x"] - x0).alias("x"), (a["y"] - y0).alias("y"), (b["x"] - x0).alias("u"), (b["y"] - y0).alias("v")))
+    return bound(ring, lambda r: bound(F.get(r, F.lit(0)), lambda o: _metrics(r, o)))
+
+
+def _metrics(ring: Column, o: Column) -> Column:
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    n = F.size(ring)
+
+    def pair(a: Column, b: Column) -> Column:
+        x, y, u, v = a["x"] - o["x"], a["y"] - o["y"], b["x"] - o["x"], b["y"] - o["y"]
+        return F.struct((x * v - u * y).alias("c"), (x + u).alias("x"), (y + v).alias("y"))
 
-    def add(s, p):
-        c = p["x"] * p["v"] - p["u"] * p["y"]
-        return F.struct((s["a"] + c).alias("a"), (s["x"] + (p["x"] + p["u"]) * c).alias("x"), (s["y"] + (p["y"] + p["v"]) * c).alias("y"))
+    def add(s: Column, p: Column) -> Column:
+        return F.struct((s["a"] + p["c"]).alias("a"), (s["x"] + p["x"] * p["c"]).alias("x"), (s["y"] + p["y"] * p["c"]).alias("y"))
 
-    def done(s):
-        lat = y0 + F.when(s["a"] != 0, s["y"] / (3 * s["a"])).otherwise(0.0)
-        lon = x0 + F.when(s["a"] != 0, s["x"] / (3 * s["a"])).otherwise(0.0)
+    def done(s: Column) -> Column:
+        lat = o["y"] + F.when(s["a"] != 0, s["y"] / (3 * s["a"])).otherwise(0.0)
+        lon = o["x"] + F.when(s["a"] != 0, s["x"] / (3 * s["a"])).otherwise(0.0)
         scale = KM_PER_DEGREE * KM_PER_DEGREE * F.greatest(F.lit(0.01), F.cos(F.radians(lat)))
         return F.struct((F.abs(s["a"]) / 2 * scale).alias("area_km2"), lon.alias("lon"), lat.alias("lat"))
 
-    return F.aggregate(pairs, zero, add, done)
+    return F.aggregate(F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), pair), zero, add, done)
 
 
 def rings_metrics(rings: Column) -> Column:
     """Area of all rings together and their common centre, weighted by area, five places."""
-    m = F.transform(rings, ring_metrics)
-    total = F.aggregate(m, F.lit(0.0), lambda s, r: s + r["area_km2"])
-    lon = F.aggregate(m, F.lit(0.0), lambda s, r: s + r["lon"] * r["area_km2"]) / total
-    lat = F.aggregate(m, F.lit(0.0), lambda s, r: s + r["lat"] * r["area_km2"]) / total
-    return F.struct(F.bround(total, 5).alias("area_km2"), F.bround(lon, 5).alias("lon"), F.bround(lat, 5).alias("lat"))
+    def joined(m: Column) -> Column:
+        total = F.aggregate(m, F.lit(0.0), lambda s, r: s + r["area_km2"])
+        lon = F.aggregate(m, F.lit(0.0), lambda s, r: s + r["lon"] * r["area_km2"]) / total
+        lat = F.aggregate(m, F.lit(0.0), lambda s, r: s + r["lat"] * r["area_km2"]) / total
+        return F.struct(F.bround(total, 5).alias("area_km2"), F.bround(lon, 5).alias("lon"), F.bround(lat, 5).alias("lat"))
+
+    return bound(F.transform(rings, ring_metrics), joined)
 
 
 def wkt_metrics(df: DataFrame, c: str) -> DataFrame:
@@ -182,10 +252,10 @@ def _clip(poly: np.ndarray, a: float, b: float, c: float) -> np.ndarray:
     return np.array(out)
 
 
-def voronoi_cells(x: np.ndarray, y: np.ndarray, reach: np.ndarray, steps: int = 64) -> list[np.ndarray]:
+def voronoi_cells(x: np.ndarray, y: np.ndarray, reach: np.ndarray, steps: int = 64, wanted: np.ndarray | None = None) -> list[np.ndarray]:
     """Each site's reach circle cut by the bisectors towards the sites near enough to matter: a site farther than twice the reach can't cut it.
 
-    Sites are looked up by grid of the largest reach, so cost follows neighbours, not all pairs.
+    Sites are looked up by grid of the largest reach, so cost follows neighbours, not all pairs. Sites that aren't ``wanted`` get no cell of their own.
     """
     reach = np.maximum(120.0, reach)
     size = 2 * float(reach.max()) if len(reach) else 1.0
@@ -195,7 +265,7 @@ def voronoi_cells(x: np.ndarray, y: np.ndarray, reach: np.ndarray, steps: int =
         grid.setdefault(k, []).append(i)
     turn = 2 * math.pi * np.arange(steps) / steps
     out = []
-    for i in range(len(x)):
+    for i in range(len(x)) if wanted is None else np.flatnonzero(wanted).tolist():
         poly = np.stack([x[i] + reach[i] * np.cos(turn), y[i] + reach[i] * np.sin(turn)], axis=1)
         near = np.array([j for p in (-1, 0, 1) for q in (-1, 0, 1) for j in grid.get((gx[i] + p, gy[i] + q), ()) if j != i], int)
         d2 = (x[near] - x[i]) ** 2 + (y[near] - y[i]) ** 2
@@ -224,15 +294,37 @@ def spread_duplicates(x: np.ndarray, y: np.ndarray, keys: list[str], step: float
 
 
 def best_server_mosaic(cells: DataFrame, group: list[str], key: str, lon: str = "lon", lat: str = "lat", reach: str = "reach_m") -> DataFrame:
-    """``key, mapinfo_wkt, area, centroid`` of each cell's best-server area among those of its group, in a local plane."""
+    """``key, mapinfo_wkt, area, centroid`` of each cell's best-server area among those of its group, in a local plane about the group's middle.
+
+    A group is cut into square tiles of twice its largest reach at least; each tile is a task that also gets the sites of the eight around it, which are all
+    that can cut its own. So no task holds a group whole.
+    """
+    placed = cells.select(*group, F.col(key).alias("__key"), F.col(lon).cast("double").alias("__lon"), F.col(lat).cast("double").alias("__lat"), F.greatest(F.lit(120.0), F.coalesce(F.col(reach).cast("double"), F.lit(120.0))).alias("__reach"))
+    placed = placed.where(F.col("__lon").between(-180, 180) & F.col("__lat").between(-90, 90))
+    # rounded, so that the order of a sum doesn't move the plane
+    planes = placed.groupBy(*group).agg(F.round(F.avg("__lon"), 2).alias("__lon0"), F.round(F.avg("__lat"), 2).alias("__lat0"), F.max("__reach").alias("__most"))
+    same = None
+    for c in group:
+        e = F.col(c).eqNullSafe(F.col(f"__{c}"))
+        same = e if same is None else same & e
+    w = placed.join(planes.select(*[F.col(c).alias(f"__{c}") for c in group], "__lon0", "__lat0", "__most"), same).drop(*[f"__{c}" for c in group])
+    scale = 111_320.0 * F.greatest(F.lit(0.2), F.cos(F.radians("__lat0")))
+    w = w.withColumns({"__x": (F.col("__lon") - F.col("__lon0")) * scale, "__y": (F.col("__lat") - F.col("__lat0")) * 111_320.0})
+    # sites at one place are moved apart by some metres, which the margin covers
+    side = 2 * F.col("__most") + 1000
+    w = w.withColumns({"__gx": F.floor(F.col("__x") / side), "__gy": F.floor(F.col("__y") / side)})
+    around = F.expr("flatten(transform(array(-1L, 0L, 1L), i -> transform(array(-1L, 0L, 1L), j -> struct(i as i, j as j))))")
+    w = w.withColumn("__n", F.explode(around)).withColumns({"__tx": F.col("__gx") + F.col("__n.i"), "__ty": F.col("__gy") + F.col("__n.j"), "__own": (F.col("__n.i") == 0) & (F.col("__n.j") == 0)})
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf[lon].between(-180, 180) & pdf[lat].between(-90, 90)]
         rows = []
-        if len(pdf):
-            lon0, lat0 = float(pdf[lon].mean()), float(pdf[lat].mean())
+        if pdf["__own"].any():
+            pdf = pdf.sort_values("__key", kind="stable", ignore_index=True)
+            lon0, lat0 = float(pdf["__lon0"][0]), float(pdf["__lat0"][0])
             sx, sy = 111_320.0 * max(0.2, math.cos(math.radians(lat0))), 111_320.0
-            x, y = spread_duplicates((pdf[lon].to_numpy() - lon0) * sx, (pdf[lat].to_numpy() - lat0) * sy, pdf[key].astype(str).tolist())
-            for k, poly in zip(pdf[key], voronoi_cells(x, y, pdf[reach].to_numpy(float)), strict=True):
+            x, y = spread_duplicates(pdf["__x"].to_numpy(), pdf["__y"].to_numpy(), pdf["__key"].astype(str).tolist())
+            own = pdf["__own"].to_numpy(bool)
+            for k, poly in zip(pdf["__key"][own], voronoi_cells(x, y, pdf["__reach"].to_numpy(float), wanted=own), strict=True):
                 if len(poly) < 3:
                     continue
                 p = np.stack([lon0 + poly[:, 0] / sx, lat0 + poly[:, 1] / sy], axis=1)
@@ -248,4 +340,4 @@ def best_server_mosaic(cells: DataFrame, group: list[str], key: str, lon: str =
 
     kind = cells.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, mapinfo_wkt string, mapinfo_wkt_area double, mapinfo_wkt_centroid_lon double, mapinfo_wkt_centroid_lat double"
-    return cells.select(*group, key, lon, lat, reach).dropna(subset=[lon, lat]).groupBy(*group).applyInPandas(run, schema)
+    return w.groupBy(*group, "__tx", "__ty").applyInPandas(run, schema)

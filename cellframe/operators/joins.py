@@ -2,63 +2,110 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _counted(df: DataFrame) -> DataFrame:
-    """Distinct rows and ``__n``, how often each occurs: a row's content is its key.
+Best = Callable[[Column, Column], Column]
 
-    Generated row numbers would change when a lost partition is computed again in another order; contents don't.
-    """
-    return df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
 
+def first_by(*order: Column | str, descending: bool = False) -> Best:
+    """An aggregate: of the structs for which a condition holds, the first by expressions on their fields (``v.field``), or the last."""
+
+    def best(v: Column, among: Column) -> Column:
+        rank = F.struct(*[(v[o] if isinstance(o, str) else o(v)).alias(f"o{i}") for i, o in enumerate(order)])
+        return (F.max_by if descending else F.min_by)(v, F.when(among, rank))
+
+    return best
 
-def _repeated(df: DataFrame) -> DataFrame:
-    return df.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n")))).drop("__i", "__n")
 
+def version_steps(versions: DataFrame, key: Sequence[str], start: str, end: str, best: Best) -> DataFrame:
+    """Which version of a key holds when: ``key, __time, __step``, a row for each instant at which a version begins or ends, and one before all.
 
-def version_join(events: DataFrame, versions: DataFrame, key: Sequence[str], ts: str, start: str, end: str, nearest: bool = True, row_key: Sequence[str] | None = None, tie: Sequence[str] = ()) -> DataFrame:
+    ``__step`` has the best version at that instant (``at``), from there until the next instant (``open``), the last that began by then (``before``)
+    and the next to begin (``next``). A null end is open, an end is inclusive, an end before its begin holds never.
+
+    Versions may overlap in any way. A key's instants, and the gaps after them, are numbered; a version's range of numbers is cut into blocks of
+    powers of two, each block keeps its best version, and each number asks the blocks that it lies in. So n versions of a key cost n log n rows.
+    """
+    key = list(key)
+    rest = [c for c in versions.columns if c not in key]
+    true = F.lit(True)
+    v = versions.dropna(subset=[*key, start]).select(*key, F.struct(*rest).alias("__v"), F.col(start).alias("__s"), F.col(end).cast(versions.schema[start].dataType).alias("__e"))
+    marks = v.withColumn("__time", F.explode(F.array_compact(F.array("__s", "__e"))))
+    marks = marks.withColumn("__i", F.dense_rank().over(Window.partitionBy(*key).orderBy("__time")) - 1).withColumn("__last", F.max("__i").over(Window.partitionBy(*key)))
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(2 * F.col("__last") + 2)).cast("int"))
+    began, ended = F.col("__time") == F.col("__s"), F.col("__time") == F.col("__e")
+    spans = marks.groupBy(*key, "__v").agg(F.any_value("__e").alias("__e"), F.max("__last").alias("__last"), F.min(F.when(began, F.col("__i"))).alias("__a"), F.max(F.when(ended, F.col("__i"))).alias("__b"))
+    low, high = (2 * F.col("__a")).cast("long"), (2 * F.when(F.col("__e").isNull(), F.col("__last") + F.lit(0.5)).otherwise(F.col("__b")) + 1).cast("long")
+
+    def blocks(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level)
+        lo, hi = F.ceil(F.col("__lo") / size), F.floor(F.col("__hi") / size)
+        return F.array(F.when((lo < hi) & (lo % 2 == 1), F.struct(level.alias("l"), lo.alias("b"))), F.when((lo < hi) & (hi % 2 == 1), F.struct(level.alias("l"), (hi - 1).alias("b"))))
+
+    cut = spans.withColumns({"__lo": low, "__hi": high}).where("__lo < __hi").select(*key, "__v", F.explode(F.array_compact(F.flatten(F.transform(levels, blocks)))).alias("__x"))
+    held = cut.groupBy(*key, F.col("__x.l").alias("__l"), F.col("__x.b").alias("__b")).agg(best(F.col("__v"), true).alias("__w"))
+    points = marks.groupBy(*key, "__i").agg(F.any_value("__time").alias("__time"), F.any_value("__last").alias("__last"), best(F.col("__v"), began).alias("__own"))
+    asks = points.select(*key, "__i", "__last", F.explode(F.array(2 * F.col("__i"), 2 * F.col("__i") + 1)).alias("__c")).withColumn("__l", F.explode(levels)).withColumn("__b", F.floor(F.col("__c") / F.pow(F.lit(2.0), F.col("__l"))))
+    won = asks.join(held, [*key, "__l", "__b"]).groupBy(*key, "__i").agg(best(F.col("__w"), F.col("__c") % 2 == 0).alias("__at"), best(F.col("__w"), F.col("__c") % 2 == 1).alias("__open"))
+    forth, back = (Window.partitionBy(*key).orderBy(o) for o in (F.asc("__i"), F.desc("__i")))
+    points = points.withColumn("__before", F.last("__own", ignorenulls=True).over(forth.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__next", F.last("__own", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    none = F.lit(None).cast(v.schema["__v"].dataType)
+    step = lambda t, at, o, b, n: F.struct(t.alias("time"), at.alias("at"), o.alias("open"), b.alias("before"), n.alias("next"))
+    own = step(F.col("__time"), F.col("__at"), F.col("__open"), F.col("__before"), F.col("__next"))
+    ahead = step(F.lit(None).cast(v.schema["__s"].dataType), none, none, none, F.col("__own"))
+    rows = points.join(won, [*key, "__i"], "left").select(*key, F.explode(F.when(F.col("__i") == 0, F.array(ahead, own)).otherwise(F.array(own))).alias("__step"))
+    return rows.select(*key, F.col("__step.time").alias("__time"), "__step")
+
+
+def with_step(events: DataFrame, steps: DataFrame, key: Sequence[str], ts: str) -> DataFrame:
+    """Events and ``__step``, the last step of their key by their time: events and steps in one order, no join. The order is the only shuffle of the events."""
+    key = list(key)
+    row = F.struct(*[F.col(c) for c in events.columns])
+    e = events.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)], F.col(ts).alias("__time"), F.lit(1).alias("__kind"), row.alias("__row"), F.lit(None).cast(steps.schema["__step"].dataType).alias("__step"))
+    s = steps.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)], "__time", F.lit(0).alias("__kind"), F.lit(None).cast(e.schema["__row"].dataType).alias("__row"), "__step")
+    w = Window.partitionBy(*[f"__k{i}" for i in range(len(key))]).orderBy(F.asc_nulls_first("__time"), "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    return e.unionByName(s).withColumn("__step", F.last("__step", ignorenulls=True).over(w)).where("__kind = 1").select("__row.*", "__step")
+
+
+def _held(ts: str) -> Column:
+    return F.when(F.col("__step.time").eqNullSafe(F.col(ts)), F.col("__step.at")).otherwise(F.col("__step.open"))
+
+
+def version_join(events: DataFrame, versions: DataFrame, key: Sequence[str], ts: str, start: str, end: str, nearest: bool = True, tie: Sequence[str] = ()) -> DataFrame:
     """Each event with one version of its key: the active one that began last, else (``nearest``) the one that began at the least
-    distance in time, the later of two. Events whose key has no version go; so do, without ``nearest``, those that none was active for.
+    distance in time, the later of two; of versions that begin at once the least by ``tie``. Events without a key or a time, or whose key has no version,
+    go; so do, without ``nearest``, those that none was active for.
 
-    One equi-join on the key and one grouped arg-min; a null end is open. ``row_key`` names columns that identify an event;
-    without it the whole row does, and equal rows are joined once.
+    Versions are made steps first, which concerns them alone; events then meet the steps in one sorted pass, so that no event meets every version of its
+    key. A null end is open.
     """
-    left = events if row_key else _counted(events)
-    ids = list(row_key) if row_key else left.columns
+    steps = version_steps(versions, key, start, end, first_by(lambda v: -F.unix_micros(v[start].cast("timestamp")), *tie))
+    got = with_step(events.dropna(subset=[*key, ts]), steps, key, ts)
+    chosen = _held(ts)
+    if nearest:
+        at = F.unix_micros(F.col(ts).cast("timestamp"))
+        far = lambda side: F.abs(at - F.unix_micros(F.col(f"__step.{side}.{start}").cast("timestamp")))
+        later = F.col("__step.next").isNotNull() & (F.col("__step.before").isNull() | (far("next") <= far("before")))
+        chosen = F.coalesce(chosen, F.when(later, F.col("__step.next")).otherwise(F.col("__step.before")))
     extra = [c for c in versions.columns if c not in key]
-    joined = left.join(versions, list(key))
-    t = F.col(ts)
-    active = (F.col(start) <= t) & (F.col(end).isNull() | (t <= F.col(end)))
-    far = F.abs(F.unix_micros(t.cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp")))
-    begun = -F.unix_micros(F.col(start).cast("timestamp"))
-    rank = F.struct((~active).cast("int").alias("a"), F.when(active, F.lit(0).cast("bigint")).otherwise(far).alias("b"), begun.alias("c"), *tie)
-    if not nearest:
-        joined = joined.where(active)
-    best = joined.groupBy(*ids).agg(F.min_by(F.struct(*[F.col(c) for c in joined.columns if c not in ids]), rank).alias("__best"))
-    out = best.select(*ids, "__best.*").select(*[c for c in left.columns if c not in key], *key, *extra)
-    return out if row_key else _repeated(out)
-
-
-def fill_from_intervals(df: DataFrame, bindings: DataFrame, key: str, value: str, ts: str, start: str = "valid_from", end: str = "valid_to", row_key: Sequence[str] | None = None) -> DataFrame:
-    """Nulls of ``value`` filled from the binding of ``key`` that holds at ``ts``, the one that began last.
-
-    Only rows that lack the value take part in the join; the rest pass by.
+    got = got.withColumn("__step", chosen).where("__step is not null")
+    return got.select(*[c for c in events.columns if c not in key], *key, *[F.col(f"__step.{c}").alias(c) for c in extra])
+
+
+def fill_from_intervals(df: DataFrame, bindings: DataFrame, key: str, value: str, ts: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+    """Nulls of ``value`` filled from the binding of ``key`` that holds at ``ts``, the one that began last, of several the greatest value.
+
+    Only rows that lack the value take part; the rest pass by. No row meets more than one step of its key's bindings.
     """
-    lacking = F.col(value).isNull() & F.col(key).isNotNull()
-    whole = df.where(~lacking)
-    part = df.where(lacking) if row_key else _counted(df.where(lacking))
-    b = bindings.select(F.col(key).alias("__key"), F.col(value).alias("__value"), F.col(start).alias("__start"), F.col(end).alias("__end")).where("__value is not null")
-    ids = list(row_key) if row_key else part.columns
-    rest = [c for c in part.columns if c not in ids]
-    held = (F.col(key) == F.col("__key")) & (F.col("__start") <= F.col(ts)) & (F.col(ts) <= F.col("__end"))
-    best = F.max_by("__value", F.struct("__start", "__value")).alias("__fill")
-    filled = part.join(b, held, "left").groupBy(*ids).agg(best, *[F.any_value(c).alias(c) for c in rest]).withColumn(value, F.col("__fill").cast(df.schema[value].dataType))
-    filled = filled if row_key else _repeated(filled)
-    return whole.unionByName(filled.select(*df.columns))
+    lacking = F.col(value).isNull() & F.col(key).isNotNull() & F.col(ts).isNotNull()
+    b = bindings.select(F.col(key), F.col(value).alias("__value"), F.col(start).alias("__start"), F.col(end).alias("__end")).where("__value is not null and __end is not null")
+    steps = version_steps(b, [key], "__start", "__end", first_by("__start", "__value", descending=True))
+    part = with_step(df.where(lacking), steps, [key], ts).withColumn(value, _held(ts)["__value"].cast(df.schema[value].dataType))
+    return df.where(~lacking).unionByName(part.select(*df.columns))
 
 
 def fill_at_instant(df: DataFrame, bindings: DataFrame, key: str, value: str, at: Column, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
@@ -104,13 +151,34 @@ def missing_references(child: DataFrame, child_col: str, parent: DataFrame, pare
     return c.join(parent.select(F.col(parent_col).alias("value")).dropna().distinct(), "value", "left_anti")
 
 
-def first_contained(df: DataFrame, text: str, tokens: DataFrame, token: str = "token", result: str = "result", priority: str = "priority") -> DataFrame:
-    """The result of the token of least priority that occurs in the text; null if none does. ``tokens`` is a small dimension."""
-    hit = df.select(text).distinct().join(F.broadcast(tokens), F.contains(F.lower(F.col(text)), F.lower(F.col(token))))
+def first_contained(df: DataFrame, text: str, tokens: DataFrame, token: str = "token", result: str = "result", priority: str = "priority", most: int = 1000) -> DataFrame:
+    """The result of the token of least priority that occurs in the text; null if none does.
+
+    Up to ``most`` tokens become a list within the expression, so that nothing is joined or shuffled; more of them meet the distinct texts in a join
+    that Spark plans by their size.
+    """
+    few = tokens.select(token, result, priority).orderBy(priority, token).limit(most + 1).collect()
+    if len(few) <= most:
+        listed = F.array(*[F.struct(F.lower(F.lit(r[0])).alias("token"), F.lit(r[1]).alias("result")) for r in few if r[0] is not None])
+        kind = tokens.schema[result].dataType
+        if not any(r[0] is not None for r in few):
+            return df.withColumn(result, F.lit(None).cast(kind))
+        return df.withColumn(result, F.get(F.filter(listed, lambda t: F.contains(F.lower(F.col(text)), t["token"])), F.lit(0))["result"].cast(kind))
+    hit = df.select(text).distinct().join(tokens, F.contains(F.lower(F.col(text)), F.lower(F.col(token))))
     best = hit.groupBy(F.col(text).alias("__text")).agg(F.min_by(result, priority).alias(result))
     return df.join(best, F.col(text) == F.col("__text"), "left").drop("__text")
 
 
+def subject_of_cell(df: DataFrame, cells: DataFrame, lac: str = "lac", cell: str = "cell", region: str | None = None, subject: str = "subject") -> DataFrame:
+    """Adds ``subject`` of each row: its own ``region`` if that is filled, else that of its cell (of several the greatest), null if neither is known."""
+    number = lambda c: F.floor(F.col(c).cast("string").try_cast("double")).cast("long")
+    name = F.trim(F.col(subject).cast("string"))
+    known = cells.select(number(lac).alias("__lac"), number(cell).alias("__cell"), name.alias("__subject")).where("__subject <> ''").dropna().groupBy("__lac", "__cell").agg(F.max("__subject").alias("__subject"))
+    out = df.withColumn("__l", number(lac)).withColumn("__c", number(cell)).join(known, (F.col("__l") == F.col("__lac")) & (F.col("__c") == F.col("__cell")), "left")
+    own = F.trim(F.col(region).cast("string")) if region else F.lit(None).cast("string")
+    return out.withColumn("subject", F.coalesce(F.when(own != "", own), F.col("__subject"))).drop("__l", "__c", "__lac", "__cell", "__subject")
+
+
 def nearest_k(points: DataFrame, others: DataFrame, k: int, size: float, id_col: str = "id", x: str = "lon", y: str = "lat") -> DataFrame:
     """The k nearest of ``others`` within the nine grid cells around each point: ``id, other, dist2, rank``.
 

@@ -18,14 +18,18 @@ def value_counts(df: DataFrame, c: str, top: int | None = None, keep_null: bool
     return out.orderBy(F.desc("n"), "value").limit(top) if top else out
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """A row for each column: count, nulls, min, p50, p95, max, mean, std (0 for one value). Exact percentiles, one pass."""
+def numeric_profile(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """A row for each column: count, nulls, min, p50, p95, max, mean, std (0 for one value), in one pass.
+
+    Percentiles are exact, which keeps every distinct value in one place; ``accuracy`` asks for approximate ones of bounded size instead.
+    """
+    quantile = (lambda x, q: F.percentile_approx(x, q, accuracy)) if accuracy else F.percentile
     aggs = []
     for c in columns:
         x = F.col(c).try_cast("double")
         aggs.append(
             F.struct(
-                F.lit(c).alias("column_name"), F.count(x).alias("n"), F.sum(x.isNull().cast("long")).alias("nulls"), F.min(x).alias("min"), F.percentile(x, 0.5).alias("p50"), F.percentile(x, 0.95).alias("p95"),
+                F.lit(c).alias("column_name"), F.count(x).alias("n"), F.sum(x.isNull().cast("long")).alias("nulls"), F.min(x).alias("min"), quantile(x, 0.5).alias("p50"), quantile(x, 0.95).alias("p95"),
                 F.max(x).alias("max"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"),
             ).alias(c)
         )

@@ -17,21 +17,23 @@ def indoor_first(df: DataFrame, bucket: Sequence[str], kind: str, outdoor: str =
     return df.withColumn("__in", some).where((F.coalesce("__in", F.lit(0)) == 0) | (F.col(kind) != outdoor)).drop("__in")
 
 
-def distance_filter(df: DataFrame, bucket: Sequence[str], row: Sequence[str], lat: str, lon: str, alone_m: float = 40_000_000.0, most_m: float = 3_500.0, digits: int | None = None) -> DataFrame:
+def distance_filter(df: DataFrame, bucket: Sequence[str], row: Sequence[str], lat: str, lon: str, alone_m: float = 40_000_000.0, most_m: float = 3_500.0, digits: int | None = None, among: Column | None = None) -> DataFrame:
     """Adds a row's mean distance to the others of its bucket and keeps those within the limit.
 
     Pairs count where both coordinates differ. The limit is ``alone_m`` where the bucket has one distinct mean, else ``most_m``. A bucket's
     places are gathered once and compared within the row, so nothing is joined with itself: a bucket is one subscriber's five minutes.
+    Rows for which ``among`` doesn't hold stay, and no distance to them counts.
     """
+    among = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
     w = Window.partitionBy(*bucket)
-    places = F.collect_list(F.struct(F.col(lat).alias("a"), F.col(lon).alias("b"))).over(w)
+    places = F.collect_list(F.when(among, F.struct(F.col(lat).alias("a"), F.col(lon).alias("b")))).over(w)
     others = F.filter("__all", lambda p: (p["a"] != F.col(lat)) & (p["b"] != F.col(lon)))
     total = F.aggregate(others, F.lit(0.0), lambda s, p: s + haversine(F.col(lat), F.col(lon), p["a"], p["b"]))
-    mean = F.when(F.size(others) > 0, total / F.size(others))
+    mean = F.when(among & (F.size(others) > 0), total / F.size(others))
     out = df.withColumn("__all", places).withColumn("mean_distance", mean).drop("__all")
     known = F.round("mean_distance", digits) if digits is not None else F.col("mean_distance")
     out = out.withColumn("distinct_means", F.size(F.collect_set(known).over(w)).cast("long"))
-    return out.where(F.coalesce("mean_distance", F.lit(0.0)) < F.when(F.col("distinct_means") == 1, alone_m).otherwise(most_m))
+    return out.where(~among | (F.coalesce("mean_distance", F.lit(0.0)) < F.when(F.col("distinct_means") == 1, alone_m).otherwise(most_m)))
 
 
 def weighted_summary(df: DataFrame, key: Sequence[str], weight: str, means: dict[str, str], mode: Sequence[str], items: str) -> DataFrame:
@@ -54,7 +56,7 @@ def build_stays(events: DataFrame, centroids: DataFrame | None, report_date: Col
     """Stay intervals of a day's geo events (contract of the geo event table).
 
     Counts are summed by place and exact start; indoor wins a bucket; outdoor-only buckets are widened to five minutes; far outliers go;
-    equal observations of a cell count once; the weighted centre of a bucket's cells is the place; like neighbours merge.
+    indoor cells are never outliers; equal observations of a cell count once; the weighted centre of a bucket's cells is the place; like neighbours merge.
     ``centroids``: ``cgi, lat, lon``, one row for each cell, used for outdoor cells. Rows of unidentified subscribers vanish when
     neighbours merge, as they do in the original; ``keep_unidentified`` keeps them out of the merging instead.
     """
@@ -69,7 +71,7 @@ def build_stays(events: DataFrame, centroids: DataFrame | None, report_date: Col
     outdoor = F.col("bs_type") == "o"
     e = e.withColumn("start_time_utc", F.when(outdoor, F.col("bucket")).otherwise(F.col("start_time_utc"))).withColumn("end_time_utc", F.when(outdoor, F.col("bucket") + F.expr("interval 5 minutes")).otherwise(F.col("end_time_utc")))
     span = [*who, "start_time_utc", "end_time_utc", "bs_type"]
-    e = distance_filter(e, span, ["cgi"], "lat", "lon").drop("mean_distance", "distinct_means")
+    e = distance_filter(e, span, ["cgi"], "lat", "lon", among=outdoor).drop("mean_distance", "distinct_means")
     e = e.dropDuplicates([*span, "cgi", "lat", "lon", "n", "oktmo_code_1", "oktmo_code_2"])
     if centroids is not None:
         e = e.join(centroids.select("cgi", F.col("lat").alias("__lat"), F.col("lon").alias("__lon")), "cgi", "left")

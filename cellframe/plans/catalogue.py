@@ -145,7 +145,7 @@ select o_orderkey, l_partkey, o_orderdate, date_on, l_orderkey, l_suppkey from j
 def asof_latest_version(spark, d):
     """Interval join to versions, the latest active one wins."""
     o, v = _versions(spark, d)
-    return joins.version_join(o, v, ["l_partkey"], "o_orderdate", "date_on", "date_off", nearest=False, row_key=["o_orderkey"], tie=["l_orderkey", "l_linenumber"]).select("o_orderkey", "l_partkey", "o_orderdate", "date_on", "l_orderkey", "l_suppkey")
+    return joins.version_join(o, v, ["l_partkey"], "o_orderdate", "date_on", "date_off", nearest=False, tie=["l_orderkey", "l_linenumber"]).select("o_orderkey", "l_partkey", "o_orderdate", "date_on", "l_orderkey", "l_suppkey")
 
 
 @query(f"""with {_VERSIONS}, {_ORDERS}, j as (select o_orderkey, o_orderdate, v.*, date_on <= o_orderdate and (date_off is null or o_orderdate <= date_off) act from o join v using (l_partkey)),
@@ -154,7 +154,7 @@ select o_orderkey, l_partkey, o_orderdate, date_on, l_orderkey, l_suppkey from k
 def asof_nearest_fallback(spark, d):
     """The same, falling back to the nearest version where none is active."""
     o, v = _versions(spark, d)
-    return joins.version_join(o, v, ["l_partkey"], "o_orderdate", "date_on", "date_off", row_key=["o_orderkey"], tie=["l_orderkey", "l_linenumber"]).select("o_orderkey", "l_partkey", "o_orderdate", "date_on", "l_orderkey", "l_suppkey")
+    return joins.version_join(o, v, ["l_partkey"], "o_orderdate", "date_on", "date_off", tie=["l_orderkey", "l_linenumber"]).select("o_orderkey", "l_partkey", "o_orderdate", "date_on", "l_orderkey", "l_suppkey")
 
 
 @query("""
@@ -167,7 +167,7 @@ def interval_fill(spark, d):
     o = table(spark, d, "orders")
     b = o.select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("v"), F.col("o_orderdate").alias("valid_from"), (F.col("o_orderdate") + F.expr("interval 400 days")).alias("valid_to"))
     e = o.select("o_orderkey", F.col("o_custkey").alias("k"), (F.col("o_orderdate") + F.expr("interval 100 days")).alias("at"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("v"))
-    return joins.fill_from_intervals(e, b, "k", "v", "at", row_key=["o_orderkey"]).select("o_orderkey", "v")
+    return joins.fill_from_intervals(e, b, "k", "v", "at").select("o_orderkey", "v")
 
 
 @query("""

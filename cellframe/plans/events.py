@@ -6,6 +6,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellframe import schemas
 from cellframe.functions import scalar as S
@@ -89,14 +90,29 @@ def cell_lookup(bs: DataFrame) -> DataFrame:
     ).dropna(subset=["date_on", "lat", "lon"])
 
 
+def location_parts(events: DataFrame, c: str = "location") -> tuple[Column, Column, Column, Column]:
+    """mcc, mnc, lac and cell as numbers, of a location that is a struct, an array of the four, or a text ``mccmnc|lac|cell``; all null without the column."""
+    if c not in events.columns:
+        return (F.lit(None).cast("bigint"),) * 4
+    loc, kind = F.col(c), events.schema[c].dataType
+    if isinstance(kind, T.StructType):
+        names = kind.fieldNames()
+        parts = [loc[n].cast("string") if n in names else F.lit(None).cast("string") for n in ("mcc", "mnc", "lac", "cell")] if "mcc" in names else [loc[n].cast("string") for n in names[:4]]
+    elif isinstance(kind, T.ArrayType):
+        parts = [F.get(loc, F.lit(k)).cast("string") for k in range(4)]
+    else:
+        cut = F.split(loc.cast("string"), r"\|")
+        code = F.when(F.size(cut) >= 3, S.digits(F.get(cut, F.lit(0))))
+        parts = [F.substring(code, 1, 3), F.substring(code, 4, 20), F.when(F.size(cut) >= 3, F.get(cut, F.lit(1))), F.when(F.size(cut) >= 3, F.get(cut, F.lit(2)))]
+    return tuple(S.digits(p).try_cast("bigint") for p in parts[:2]) + tuple(F.trim(p).try_cast("bigint") for p in parts[2:])
+
+
 def normalise_events(events: DataFrame) -> DataFrame:
     """Events with numeric identifiers, cell key, known type and local time.
 
     The type is the name; the code only where no row of the table has a name.
     """
-    loc = F.col("location")
-    number = lambda c: S.digits(c).try_cast("bigint")
-    mcc, mnc, lac, cell = number(loc["mcc"]), number(loc["mnc"]), loc["lac"].try_cast("bigint"), loc["cell"].try_cast("bigint")
+    mcc, mnc, lac, cell = location_parts(events)
     named = F.max(F.col("event_name").isNotNull().cast("int"))
     code = F.element_at(F.create_map(*[F.lit(x) for k, v in CODES.items() for x in (v, k)]), F.col("event").cast("int"))
     rows = events.crossJoin(F.broadcast(events.agg(named.alias("__named"))))
@@ -132,7 +148,7 @@ def build_geo_all(events: DataFrame, bs: DataFrame, day: date) -> DataFrame:
     rows = normalise_events(events).where(F.col("start_time_local").isNotNull())
     rows = impute.impute_between(rows, impute.cell_points(versions), "msisdn", ["start_time_local", "source_event_type", "imsi", "imei"])
     got = joins.version_join(rows.where(F.col("cgi").isNotNull()), versions, ["cgi"], "start_time_local", "date_on", "date_off", tie=["lat", "lon"])
-    got = got.withColumn("start_time_utc", S.local_to_utc("start_time_local", "utc_offset"))
+    got = got.withColumn("oktmo_code_1", F.coalesce("oktmo_code_1", F.lit("unknown"))).withColumn("start_time_utc", S.local_to_utc("start_time_local", "utc_offset"))
     low, high = F.lit(str(day)).cast("timestamp_ntz"), F.lit(str(day + timedelta(days=1))).cast("timestamp_ntz")
     valid = got.where((F.col("start_time_utc") >= low) & (F.col("start_time_utc") < high)).dropna(subset=["msisdn", "cgi"]).where(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
     valid = valid.withColumn("lat", F.bround("lat", 5)).withColumn("lon", F.bround("lon", 5))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from contextlib import contextmanager
 from datetime import date, timedelta
 
@@ -13,12 +13,6 @@ from pyspark.sql import functions as F
 
 from cellframe.sources.files import append_jsonl, now_text
 
-#: What each wrapper runs, in order.
-STAGE_1 = tuple("dq-src-marts build-dds-event build-dds-move-event dq-dds-event".split())
-STAGE_2 = tuple(f"{phase}-{t}" for t in "fct-bs stg-geo-all fct-msisdn-imei fct-msisdn-imsi fct-geo-intervals".split() for phase in ("build", "dq"))
-PERSON = (*(f"{phase}-dim-{t}" for t in ("tac", "oksm") for phase in ("build", "dq")), *(f"dq-src-{t}" for t in ("person", "excl")), *(f"{phase}-fct-person" for phase in ("build", "dq")))
-
-
 class Runner:
     """Runs named steps one after another; an exception stops the rest, a failed check doesn't. Timings are kept and may be appended to a file."""
 
@@ -55,15 +49,15 @@ def previous_month(day: date) -> date:
     return (day.replace(day=1) - timedelta(days=1)).replace(day=1)
 
 
-def number_runs(log: DataFrame, order: str = "ts", boundary: str = "summary", partition: tuple[str, ...] = ("logger",)) -> DataFrame:
-    """Adds the number of the run that a check line belongs to; a summary line ends a run."""
-    w = Window.partitionBy(*partition).orderBy(order, "check_name").rowsBetween(Window.unboundedPreceding, -1)
-    return log.withColumn("run", F.coalesce(F.sum((F.col("check_name") == boundary).cast("int")).over(w), F.lit(0)))
+def number_runs(log: DataFrame, boundaries: Sequence[str] = ("dataset_basic",), order: Sequence[str] = ("line",), partition: Sequence[str] = ("file",)) -> DataFrame:
+    """Adds the number of the run that a check's line belongs to: a line of one of ``boundaries`` begins a run, in the order of the file. Lines before the first are run 0."""
+    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return log.withColumn("run", F.sum(F.coalesce(F.col("check_name").isin(*boundaries), F.lit(False)).cast("int")).over(w))
 
 
-def latest_run(log: DataFrame, partition: tuple[str, ...] = ("logger",)) -> DataFrame:
+def latest_run(log: DataFrame, boundaries: Sequence[str] = ("dataset_basic",), order: Sequence[str] = ("line",), partition: Sequence[str] = ("file",)) -> DataFrame:
     w = Window.partitionBy(*partition)
-    return number_runs(log, partition=partition).withColumn("__last", F.max("run").over(w)).where("run = __last").drop("__last")
+    return number_runs(log, boundaries, order, partition).withColumn("__last", F.max("run").over(w)).where("run = __last").drop("__last")
 
 
 def wide_metrics(log: DataFrame, names: list[str]) -> DataFrame:
@@ -81,3 +75,26 @@ def failures(log: DataFrame) -> DataFrame:
 
 def null_ratios(log: DataFrame) -> DataFrame:
     return log.where(F.col("check_name").startswith("nulls.")).select("logger", F.expr("substring(check_name, 7)").alias("column_name"), F.col("metrics")["null_rate"].try_cast("double").alias("null_rate"))
+
+
+def check_history(log: DataFrame) -> DataFrame:
+    """``logger, check_name, run, status, was``: each check of each run and its status in the run before."""
+    w = Window.partitionBy("logger", "check_name").orderBy("run")
+    return log.select("logger", "check_name", "run", "status", F.lag("status").over(w).alias("was"))
+
+
+def distribution(log: DataFrame, prefix: str, metric: str = "n") -> DataFrame:
+    """``value, n, share`` of the checks whose names are ``prefix`` and a value: what a bar chart shows."""
+    rows = log.where(F.col("check_name").startswith(prefix)).select("logger", F.substring("check_name", len(prefix) + 1, 1000).alias("value"), F.col("metrics")[metric].try_cast("double").alias("n"))
+    return rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("logger")))
+
+
+def rates(log: DataFrame) -> DataFrame:
+    """``logger, check_name, status, rate``: the gates of a run, the lowest rate first."""
+    return log.where(F.col("metrics")["rate"].isNotNull()).select("logger", "check_name", "status", F.col("metrics")["rate"].try_cast("double").alias("rate")).orderBy("rate", "check_name")
+
+
+def time_share(timings: DataFrame) -> DataFrame:
+    """``run_id, command, seconds, share`` of each command in its run."""
+    t = timings.groupBy("run_id", "command").agg(F.sum("elapsed_total_sec").alias("seconds"))
+    return t.withColumn("share", F.col("seconds") / F.nullif(F.sum("seconds").over(Window.partitionBy("run_id")), F.lit(0.0)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from pathlib import Path
 
@@ -30,9 +31,12 @@ def build_session(app: str = "cellframe", master: str | None = None, **conf: str
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the session's shared checkpoint folder (``spark.checkpoint.dir``), its lineage cut.
 
-    A temporary folder serves only where none is set, as in tests on one machine.
+    A temporary folder serves only where none is set and there is but one machine; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or Path(tempfile.mkdtemp(prefix="ckpt")).as_uri())
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
+        sc.setCheckpointDir(shared or Path(tempfile.mkdtemp(prefix="ckpt")).as_uri())
     return df.checkpoint(eager=True)

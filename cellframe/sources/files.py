@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,8 +46,6 @@ def list_files(spark: SparkSession, root: str, suffix: str = ".parquet") -> list
 
 def near_day(spark: SparkSession, paths: Sequence[str], day: date, slack: int = 1) -> list[str]:
     """Paths of a day and ``slack`` days around it; paths without a date are always kept."""
-    import re
-
     out = []
     for p in paths:
         hit = next((m for m in (re.search(x, p) for x in _DAY_IN_PATH) if m), None)
@@ -76,8 +75,6 @@ def read_partitions(spark: SparkSession, root: str, day: date, slack: int = 1, c
 
 def latest_complete_snapshot(spark: SparkSession, root: str, year: int, month: int) -> str:
     """The newest ``load_day`` folder of a month that has a ``_SUCCESS`` marker; an error if there is none."""
-    import re
-
     best = None
     for p in list_files(spark, root, "_SUCCESS"):
         m = re.search(r"load_year=(\d+)/load_month=(\d+)/load_day=(\d+)/_SUCCESS$", p)
@@ -88,6 +85,41 @@ def latest_complete_snapshot(spark: SparkSession, root: str, year: int, month: i
     return best[1]
 
 
+def read_geo_all_day(spark: SparkSession, path: str) -> DataFrame:
+    """The four columns that bindings need of a day's geo events; an empty table if the file isn't there or can't be read."""
+    from cellframe import schemas
+
+    kept = T.StructType([schemas.GEO_EVENT[c] for c in ("msisdn", "imsi", "imei", "start_time_utc")])
+    return read_columns(spark, list_files(spark, path), kept)
+
+
+def source_of_path(path: Column, root: str = "") -> Column:
+    """The path segment that names a file's source, behind its day; ``_unknown`` if there is none."""
+    inside = F.regexp_replace(path, "^" + re.escape(root), "") if root else path
+    found = F.regexp_extract(inside, r"(?:\d{4}/\d{2}/\d{2}|\d{4}-\d{2}-\d{2}|load_day=\d{1,2})/([^/]+?)(?:\.parquet)?(?:/|$)", 1)
+    return F.when(found != "", found).otherwise("_unknown")
+
+
+#: Where each table lies below the root: daily ones by day, monthly ones by the first of the month.
+LAYOUTS = {
+    "dds/event": "dds/event/{day:%Y/%m/%d}/{source}/events.parquet", "dds/event_dds": "dds/event_dds/{day:%Y-%m-%d}/{source}.parquet", "stg/geo_all": "stg/geo_all/{day:%Y-%m-%d}.parquet",
+    "fct/msisdn_imei": "fct/msisdn_imei/{month:%Y-%m-%d}.parquet", "fct/msisdn_imsi": "fct/msisdn_imsi/{month:%Y-%m-%d}.parquet", "fct/geo_intervals": "fct/geo_intervals/{day:%Y-%m-%d}.parquet", "fct/person": "fct/person/{month:%Y-%m-%d}.parquet", "fct/bs": "fct/bs.parquet",
+}
+
+
+def layout_path(root: str, table: str, day: date | None = None, source: str = "") -> str:
+    return f"{root.rstrip('/')}/" + LAYOUTS[table].format(day=day or date.min, month=(day or date.min).replace(day=1), source=source)
+
+
+def daily_path(base: str, day: date) -> str:
+    """A day's file in a folder, or ``base`` itself where it names a file."""
+    return base if base.lower().endswith(".parquet") else f"{base.rstrip('/')}/{day.isoformat()}.parquet"
+
+
+def monthly_path(base: str, day: date) -> str:
+    return daily_path(base, day.replace(day=1))
+
+
 def read_dimension_csv(spark: SparkSession, path: str, mapping: dict[str, tuple[str, str]], sep: str = ";") -> DataFrame:
     """``mapping``: target column to (source column, type). All is read as text, so that codes keep leading zeros and ``NA`` stays a code;
     a byte-order mark before the first header is dropped; a missing source column is an error.
@@ -118,14 +150,28 @@ def write_period(df: DataFrame, root: str, by: Sequence[str]) -> None:
 
 
 def swap_write(spark: SparkSession, df: DataFrame, root: str) -> None:
-    """Overwrites a table that ``df`` itself may read: written beside it, then renamed into its place."""
-    fresh = f"{root.rstrip('/')}.__new"
-    df.write.mode("overwrite").parquet(fresh)
-    new, fs = _fs(spark, fresh)
-    old, _ = _fs(spark, root)
-    if fs.exists(old):
-        fs.delete(old, True)
-    fs.rename(new, old)
+    """Overwrites a table that ``df`` itself may read: written beside it, the old one renamed aside, the new one into its place.
+
+    Nothing is deleted before the new table is in place; where a rename fails, the old one is put back and an error raised. A crash between both
+    renames leaves the old table beside as ``.__old``, which the next call puts back before it begins.
+    """
+    root = root.rstrip("/")
+    (old, fs), (aside, _), (new, _) = (_fs(spark, f"{root}{x}") for x in ("", ".__old", ".__new"))
+    if fs.exists(aside):
+        if fs.exists(old):
+            fs.delete(aside, True)
+        elif not fs.rename(aside, old):
+            raise OSError(f"{root}: its last state can't be put back")
+    df.write.mode("overwrite").parquet(f"{root}.__new")
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"{root} can't be renamed")
+    if not fs.rename(new, old):
+        if had:
+            fs.rename(aside, old)
+        raise OSError(f"{root}.__new can't be renamed")
+    if had:
+        fs.delete(aside, True)
 
 
 def count_rows(spark: SparkSession, path: str) -> int:
@@ -145,6 +191,13 @@ def route_by_region(df: DataFrame, region: str, centres: dict[str, Sequence[str]
     return df.withColumn("source_id", out)
 
 
+def write_routed(df: DataFrame, root: str, report_date: date, region: str, centres: dict[str, Sequence[str]], default: str) -> None:
+    """A day's rows by data centre; each centre has a folder, a centre without rows an empty one, and a day written again replaces itself alone."""
+    routed = route_by_region(df, region, centres, default)
+    for centre in dict.fromkeys([default, *centres]):
+        routed.where(F.col("source_id") == centre).drop("source_id").write.mode("overwrite").parquet(f"{root.rstrip('/')}/report_date={report_date.isoformat()}/source_id={centre}")
+
+
 def move_event(spark: SparkSession, source: str, target: str, source_id: str, report_date: date) -> dict[str, str]:
     """One centre's day of events into the common layout; a missing source isn't an error."""
     if not list_files(spark, source):
@@ -171,11 +224,19 @@ def latest_timings(df: DataFrame) -> DataFrame:
     return df.groupBy("command").agg(F.max_by(F.struct("elapsed_total_sec", "status", "run_id", "ts_utc"), "ts_utc").alias("r")).select("command", "r.*")
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """``value, file, line`` of text files; the number of a line tells its place in its file, also where a file is read in parts."""
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    return lines.select("value", "file", F.row_number().over(Window.partitionBy("file").orderBy("place")).alias("line"))
+
+
 def parse_log(lines: DataFrame, tag: str) -> DataFrame:
-    """``ts, level, logger, check_name, status, metrics`` of log lines ``ts | level | logger | {json}`` with a tag; other lines go."""
+    """``ts, level, logger, check_name, status, metrics`` of log lines ``ts | level | logger | {json}`` with a tag; other lines go. Further columns stay."""
+    more = [c for c in lines.columns if c != "value"]
     parts = F.split("value", r"\s*\|\s*", 4)
-    rows = lines.select(F.get(parts, F.lit(0)).alias("ts"), F.get(parts, F.lit(1)).alias("level"), F.get(parts, F.lit(2)).alias("logger"), F.from_json(F.get(parts, F.lit(3)), "tag string, check string, status string, metrics map<string,string>").alias("p"))
-    return rows.where(F.col("p.tag") == tag).select("ts", "level", "logger", F.col("p.check").alias("check_name"), F.col("p.status").alias("status"), F.col("p.metrics").alias("metrics"))
+    rows = lines.select(*more, F.get(parts, F.lit(0)).alias("ts"), F.get(parts, F.lit(1)).alias("level"), F.get(parts, F.lit(2)).alias("logger"), F.from_json(F.get(parts, F.lit(3)), "tag string, check string, status string, metrics map<string,string>").alias("p"))
+    return rows.where(F.col("p.tag") == tag).select(*more, "ts", "level", "logger", F.col("p.check").alias("check_name"), F.col("p.status").alias("status"), F.col("p.metrics").alias("metrics"))
 
 
 def now_text() -> str:

@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -70,12 +71,40 @@ def test_version_join(spark):
     assert {r.id: r.ver for r in joins.version_join(e, v, ["c"], "t", "on", "off", nearest=False).collect()} == {1: 1, 2: 2}
 
 
+def test_version_join_against_loops(spark):
+    """Overlapping, nested, equal, open, inverted and touching versions, events at and between all their ends."""
+    r = random.Random(12)
+    versions = [(r.choice("ab"), at(s := r.randrange(60)), r.choice([None, at(s), at(s + r.randrange(-3, 25)), at(s + r.randrange(60))]), n) for n in range(60)]
+    events = [(n, r.choice("abz"), at(r.randrange(-10, 90) + r.choice([0, 0.5]))) for n in range(400)] + [(1000, None, at(3)), (1001, "a", None)]
+    v, e = spark.createDataFrame(versions, "c string, on timestamp_ntz, off timestamp_ntz, ver int"), spark.createDataFrame(events, "id int, c string, t timestamp_ntz")
+    want = {}
+    for nearest in (True, False):
+        for i, c, t in events:
+            own = [x for x in versions if x[0] == c and t is not None]
+            live = [x for x in own if x[1] <= t and (x[2] is None or t <= x[2])]
+            best = min(live, key=lambda x: (-(x[1] - T0).total_seconds(), x[3]), default=None)
+            if not best and nearest:
+                best = min(own, key=lambda x: (abs((x[1] - t).total_seconds()), -(x[1] - T0).total_seconds(), x[3]), default=None)
+            want[nearest, i] = best and best[3]
+        got = {x.id: x.ver for x in joins.version_join(e, v, ["c"], "t", "on", "off", nearest=nearest, tie=["ver"]).collect()}
+        assert got == {i: ver for (k, i), ver in want.items() if k == nearest and ver is not None}
+    twice = joins.version_join(e.union(e), v, ["c"], "t", "on", "off", tie=["ver"])
+    assert twice.count() == 2 * sum(ver is not None for (k, _), ver in want.items() if k)
+
+
+def test_version_join_of_one_hot_key(spark):
+    began = time.time()
+    v = spark.range(10_000).select(F.lit("k").alias("c"), (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") * 10)).alias("on"), (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") * 10 + F.col("id") % 97)).alias("off"), F.col("id").alias("ver"))
+    e = spark.range(100_000).select(F.col("id"), F.lit("k").alias("c"), (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id"))).alias("t"))
+    out = joins.version_join(e, v, ["c"], "t", "on", "off", tie=["ver"])
+    assert out.agg(F.count("*"), F.max(F.abs(F.col("ver") * 10 - F.col("id")))).first()[0] == 100_000 and time.time() - began < 60
+
+
 def test_fills(spark):
     b = spark.createDataFrame([("m", "i1", at(0), at(10)), ("m", "i2", at(5), at(20)), ("n", None, at(0), at(9))], "k string, v string, valid_from timestamp_ntz, valid_to timestamp_ntz")
     e = spark.createDataFrame([(1, "m", None, at(3)), (2, "m", None, at(7)), (3, "m", "own", at(7)), (4, "m", None, at(50)), (5, None, None, at(3)), (6, "n", None, at(3))], "id int, k string, v string, t timestamp_ntz")
     want = {1: "i1", 2: "i2", 3: "own", 4: None, 5: None, 6: None}
     assert {r.id: r.v for r in joins.fill_from_intervals(e, b, "k", "v", "t").collect()} == want
-    assert {r.id: r.v for r in joins.fill_from_intervals(e, b, "k", "v", "t", row_key=["id"]).collect()} == want
     assert {r.id: r.v for r in joins.fill_at_instant(e, b, "k", "v", F.lit(at(7)).cast("timestamp_ntz")).collect()} == {1: "i2", 2: "i2", 3: "own", 4: "i2", 5: None, 6: None}
 
 

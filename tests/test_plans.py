@@ -153,7 +153,7 @@ def test_dimensions(spark, tmp_path):
 
 def test_source_suites(world, spark):
     s = statuses(suites.src_marts(world["marts"]))
-    assert s["cdr.stg_contract.msisdn"] == "ok" and "mix.sms" in s
+    assert s["cdr.stg_contract.msisdn"] == "ok" and "mix" in s
     assert statuses(suites.src_person(world["people"], F.lit(date(2024, 1, 1))))["isdn_format"] == "ok"
     e = statuses(suites.src_exclusions({"imsi": spark.createDataFrame([("1",)], "value string"), "imei": None}, spark))
     assert e["imei.presence"] == "failed" and e["imsi.totals"] == "info"
@@ -199,11 +199,16 @@ def test_runner_and_logs(spark, tmp_path):
     (tmp_path / "timing" / "zz.txt").write_text("{broken\n")
     t = files.read_timings(spark, path)
     assert sorted((x.command, x.status) for x in t.collect()) == [("one", "ok"), ("two", "error")] and files.latest_timings(t).count() == 2
-    lines = ["2024 | INFO | dq | " + j for j in ('{"tag":"DQ","check":"a","status":"ok","metrics":{"n":"1"}}', '{"tag":"DQ","check":"summary","status":"ok"}', '{"tag":"OTHER","check":"b"}', '{"tag":"DQ","check":"nulls.x","status":"warning","metrics":{"null_rate":"0.5"}}')] + ["free text"]
-    log = files.parse_log(spark.createDataFrame([(x,) for x in lines], "value string"), "DQ").withColumn("ts", F.concat("ts", F.when(F.col("check_name") == "nulls.x", "5").otherwise("")))
-    assert log.count() == 3
+    j = lambda check, more="": f'2024 | INFO | dq | {{"tag":"DQ","check":"{check}","status":"ok"{more}}}'
+    lines = [j("early"), j("dataset_basic"), j("a", ',"metrics":{"n":"1"}'), '2024 | INFO | dq | {"tag":"OTHER","check":"dataset_basic"}', j("summary"), j("dataset_basic"), j("time_order"), '2024 | INFO | dq | {"tag":"DQ","check":"nulls.x","status":"warning","metrics":{"null_rate":"0.5"}}', "free text", j("summary")]
+    (tmp_path / "dq.log").write_text("\n".join(lines) + "\n")
+    log = files.parse_log(files.read_log(spark, str(tmp_path / "dq.log")), "DQ")
+    # all lines have one time: their order is that of the file, and a boundary begins its run
+    assert {(x.line, x.run) for x in runner.number_runs(log).collect()} == {(1, 0), (2, 1), (3, 1), (5, 1), (6, 2), (7, 2), (8, 2), (10, 2)}
+    assert {x.run for x in runner.number_runs(log, ("dataset_basic", "summary")).where("line = 10").collect()} == {4}
     last = runner.latest_run(log)
-    assert [x.check_name for x in last.collect()] == ["nulls.x"] and runner.failures(last).count() == 1 and runner.null_ratios(last).first().null_rate == 0.5
+    assert {x.check_name for x in last.collect()} == {"dataset_basic", "time_order", "nulls.x", "summary"} and runner.failures(last).count() == 1 and runner.null_ratios(last).first().null_rate == 0.5
+    assert {(x.check_name, x.run): x.was for x in runner.check_history(runner.number_runs(log)).collect()}["dataset_basic", 2] == "ok"
     assert {x.check_name: x.n for x in runner.wide_metrics(log, ["n"]).collect()}["a"] == 1.0 and runner.status_counts(log).count() == 2
     assert len(runner.days(date(2024, 12, 25), date(2025, 2, 5))) == 43 and runner.months(date(2024, 12, 25), date(2025, 2, 5))[0] == date(2024, 12, 1) and runner.previous_month(date(2024, 1, 5)) == date(2023, 12, 1)
 
