@@ -7,15 +7,20 @@ as observations, orders as intervals, part prices as versions, keys rendered as
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellframe.dq import core as dq
+from cellframe.dq import suites
 from cellframe.functions import scalar as S
 from cellframe.operators import entity, impute, intervals, islands, joins, profile, scd
 from cellframe.operators import geo as G
 from cellframe.operators import stay as ST
+from cellframe.plans import events, runner
+from cellframe.sources import files
+from cellframe.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -352,11 +357,13 @@ def time_functions(spark, d):
     return table(spark, d, "events").select("event_id", started.alias("started"), S.floor_to("ts").alias("bucket_start"), S.bucket_end("ts").alias("bucket_end"), S.local_to_utc("ts", F.col("event_id") % 13).alias("utc"), S.event_time(started).alias("parsed"), F.date_format("ts", "yyyy-MM").alias("month"), F.hour("ts").alias("hour"))
 
 
-@query("""select event_id, case when event_id % 17 = 0 then 'bad' else strftime(ts, '%Y%m%d%H%M%S') end s from events where event_id % 17 <> 0 and strftime(ts, '%Y%m%d') between '20240109' and '20240111'""")
+@query("""select event_id, strftime(ts, '%Y%m%d%H%M%S') started from events where event_id % 17 <> 0 and strftime(ts, '%Y%m%d') = '20240110' and event_type = 'click'""")
 def report_day_slack(spark, d):
-    """Well-formed times of a report day and a day around it."""
-    s = F.when(F.col("event_id") % 17 == 0, "bad").otherwise(F.date_format("ts", "yyyyMMddHHmmss"))
-    return table(spark, d, "events").select("event_id", s.alias("s")).where(S.fourteen_digits("s") & F.substring("s", 1, 8).between("20240109", "20240111"))
+    """A mart's rows of one report day with well-formed times."""
+    s = F.when(F.col("event_id") % 17 == 0, "bad").otherwise(F.date_format("ts", " yyyyMMddHHmmss"))
+    k = F.col("event_id")
+    mart = table(spark, d, "events").where("event_type = 'click'").select(s.alias("Started"), k.alias("IMSI"), k.alias("IMEI"), k.alias("CallingNumber"), F.lit("25001").alias("OwnerMCCMNC"), F.lit(1).alias("BSStartLac"), F.lit(1).alias("BSStartCell"))
+    return events.normalise_mart(mart, "cdr", date(2024, 1, 10)).select(F.col("imsi").cast("long").alias("event_id"), F.col("event_timestamp").alias("started"))
 
 
 @query("""
@@ -481,23 +488,27 @@ def median_points(spark, d):
     return p.select("cell", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query("select o_custkey, arg_max(o_orderkey, row(o_totalprice, o_orderkey)) top_order, max(o_totalprice) top_price, count(distinct o_orderstatus || '|' || o_orderpriority) sim_count from orders group by 1")
+@query("select o_custkey, arg_max(o_orderkey, row(o_totalprice, o_orderkey)) top_order, max(o_totalprice) top_price, any_value(n) sim_count from orders join (select o_custkey, count(distinct o_orderstatus || '|' || o_orderpriority) n from orders group by 1) using (o_custkey) group by 1")
 def arg_max_and_composite_distinct(spark, d):
     """The row of the greatest value, and a count of distinct pairs."""
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("top_order"), F.max("o_totalprice").alias("top_price"), F.countDistinct(F.concat_ws("|", "o_orderstatus", "o_orderpriority")).alias("sim_count"))
+    o = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("top_order"), F.col("o_totalprice").alias("top_price"))
+    n = table(spark, d, "orders").groupBy("o_custkey").agg(F.countDistinct(F.concat_ws("|", "o_orderstatus", "o_orderpriority")).alias("sim_count"))
+    return scd.latest(o, ["o_custkey"], ["top_price", "top_order"]).join(n, "o_custkey")
 
 
-@query("select o_custkey, o_orderkey, o_orderdate from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) n from orders) where n = 1")
+@query("select o_custkey, o_orderkey, o_orderdate from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) n from orders) where n = 1")
 def first_row_per_group(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.row_number().over(w).alias("n")).where("n = 1").drop("n")
+    """The latest row of each key."""
+    return scd.latest(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
 
 
-@query("select event_type, day, n, round(100.0 * n / sum(n) over (partition by day), 4) pct from (select event_type, cast(ts as date) as day, count(*) n from events group by all)")
+@query("""with c as (select cast(ts as date) as day, count(*) filter (where event_type = 'click') cdr, count(*) filter (where event_type = 'purchase') sms, count(*) filter (where event_type = 'view') gprs, count(*) filter (where event_type = 'signup') as location from events where event_type <> 'error' group by 1)
+select *, cdr + sms + gprs + location total, round(gprs / nullif(cdr + sms + gprs + location, 0), 6) gprs_share, round(location / greatest(gprs, 1), 6) location_to_gprs from c""")
 def daily_traffic_mix(spark, d):
-    """Share of each kind of event by day."""
-    c = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    return c.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("day")), 4))
+    """Rows of each mart by day, the share of data sessions and location rows for each of them."""
+    kind = F.when(F.col("event_type") == "click", "cdr").when(F.col("event_type") == "view", "gprs").when(F.col("event_type") == "purchase", "sms").otherwise("location")
+    counts = table(spark, d, "events").where("event_type <> 'error'").groupBy(F.to_date("ts").alias("day"), kind.alias("mart")).agg(F.count("*").alias("n"))
+    return suites.traffic_mix(counts)
 
 
 @query("""select 'l_quantity' column_name, count(l_quantity) n, count(*) - count(l_quantity) nulls, min(l_quantity) as min, quantile_cont(l_quantity, 0.5) p50, quantile_cont(l_quantity, 0.95) p95, max(l_quantity) as max, round(avg(l_quantity), 6) mean, round(stddev_samp(l_quantity), 6) std from lineitem
@@ -565,23 +576,27 @@ def calendar_coverage(spark, d):
     return profile.missing_days(table(spark, d, "events").where(F.dayofmonth("ts") % 4 != 0), F.to_date("ts"))
 
 
-@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) k from events where json_extract_string(props, '$.k') is not null")
+@query("""select event_id as line, 'c' || event_id % 7 check_name, case when event_id % 3 = 0 then 'failed' else 'ok' end status, cast(json_extract_string(props, '$.k') as double) k from events where event_id % 5 <> 0""")
 def log_json_parse(spark, d):
-    """A field of JSON payloads."""
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")).where("k is not null")
+    """Checks and their figures out of log lines; lines of another tag, and broken ones, go."""
+    k = F.col("event_id")
+    payload = F.concat(F.lit('{"tag":"'), F.when(k % 5 == 0, "OTHER").otherwise("DQ"), F.lit('","check":"c'), (k % 7).cast("string"), F.lit('","status":"'), F.when(k % 3 == 0, "failed").otherwise("ok"), F.lit('","metrics":'), F.col("props"), F.lit("}"))
+    lines = table(spark, d, "events").select(F.concat_ws(" | ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("INFO"), F.lit("dq"), payload).alias("value"), k.alias("line"))
+    lines = lines.unionByName(spark.createDataFrame([("free text", -1), ("a | b | c | {broken", -2)], "value string, line bigint"))
+    return files.parse_log(lines, "DQ").select("line", "check_name", "status", F.col("metrics")["k"].cast("double").alias("k"))
 
 
-@query("select event_id, sum(case when event_type = 'signup' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint run from events")
+@query("select event_id, sum(case when event_type in ('signup', 'error') then 1 else 0 end) over (partition by user_id order by event_id rows unbounded preceding)::bigint run from events")
 def log_run_ids(spark, d):
-    """Runs of a log, each begun by a boundary row."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.sum((F.col("event_type") == "signup").cast("long")).over(w).alias("run"))
+    """Runs of several logs, each begun by a line of one of two boundaries, in the order of lines."""
+    log = table(spark, d, "events").select("event_id", F.col("user_id").alias("file"), F.col("event_id").alias("line"), F.col("event_type").alias("check_name"))
+    return runner.number_runs(log, ("signup", "error")).select("event_id", F.col("run").cast("long").alias("run"))
 
 
-@query("select doc_id, len(list_filter(string_split(text, ' '), lambda x: trim(x, ' ') <> '')) n_entries, len(string_split(text, chr(10))) n_lines from documents")
+@query("select doc_id, len(list_filter(string_split(replace(text, ' ', chr(17)), chr(17)), lambda x: trim(x, ' ') <> '')) n_entries from documents")
 def service_list_counts(spark, d):
-    """Entries of delimited lists."""
-    return table(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", " "), lambda x: F.trim(x) != "")).cast("long").alias("n_entries"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    """Entries of lists joined by U+0011, blank ones left out."""
+    return table(spark, d, "documents").select("doc_id", F.size(S.service_entries(F.translate("text", " ", "\x11"))).cast("long").alias("n_entries"))
 
 
 @query("select 'union' op, count(*) n from (select o_custkey from orders union all select c_custkey from customer) union all select 'intersect', count(*) from (select o_custkey from orders intersect select c_custkey from customer where c_acctbal > 0) union all select 'except', count(*) from (select c_custkey from customer except select o_custkey from orders) union all select 'distinct', count(*) from (select distinct o_custkey, o_orderstatus from orders)")
@@ -604,10 +619,11 @@ def stable_order_top(spark, d):
     return top.select("event_id", F.row_number().over(Window.orderBy("ts", "event_type", "event_id")).cast("long").alias("n"))
 
 
-@query("select floor(extract(epoch from ts) / 300)::bigint as bucket, event_type, count(*) n, round(sum(value), 4) total from events group by all")
+@query("select time_bucket(interval '5 minutes', ts) bucket_start, time_bucket(interval '5 minutes', ts) + interval '5 minutes' bucket_end, event_type, count(*) n from events group by all")
 def tumbling_counts(spark, d):
-    """Tumbling five-minute counts, as the stream facade computes them."""
-    return table(spark, d, "events").groupBy(S.bucket_no("ts", 300).alias("bucket"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    """Tumbling five-minute counts, by the function that also runs on streams."""
+    out = streams.tumbling_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return out.select(F.col("bucket_start").cast("timestamp_ntz").alias("bucket_start"), F.col("bucket_end").cast("timestamp_ntz").alias("bucket_end"), "event_type", "n")
 
 
 # graph

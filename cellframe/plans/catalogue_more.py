@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.dq import suites
 from cellframe.functions import scalar as S
-from cellframe.operators import entity, geo, intervals, stay
+from cellframe.operators import entity, geo, intervals, scd, stay
 from cellframe.plans import bindings, cells, events
 from cellframe.plans.catalogue import query, table, ts
 from cellframe.sources import files
@@ -78,14 +78,12 @@ def party_swap(spark, d):
     return events.swap_parties(o, "owner", ("a_number", "a_imsi"), ("b_number", "b_imsi")).select("o_orderkey", "a_number", "b_number", "a_imsi")
 
 
-@query("""with v as (select o_orderkey, o_orderdate a, case when o_orderkey % 4 = 0 then null else o_orderdate + to_days(45) end b from orders)
-select o_orderkey, a < timestamp '1996-04-01' and (b is null or b >= timestamp '1996-03-01') in_range, a <= timestamp '1996-03-31' and coalesce(b, timestamp '2999-12-31 23:59:59') >= timestamp '1996-03-01' in_month from v where a < timestamp '1996-04-01' and (b is null or b >= timestamp '1996-03-01')""")
+@query("""with v as (select o_orderkey, o_orderdate a, coalesce(case when o_orderkey % 4 = 0 then null else o_orderdate + to_days(45) end, timestamp '2100-01-01') b from orders)
+select o_orderkey, a, b from v where a <= timestamp '1996-03-31 23:59:59' and b >= timestamp '1996-03-01'""")
 def period_overlap(spark, d):
-    """Versions active in a period, and the month rule that ends at midnight of the last day."""
-    v = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("a"), F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate") + F.expr("interval 45 days")).alias("b"))
-    in_range = (F.col("a") < ts("1996-04-01")) & (F.col("b").isNull() | (F.col("b") >= ts("1996-03-01")))
-    in_month = (F.col("a") <= ts("1996-03-31")) & (F.coalesce("b", ts("2999-12-31 23:59:59")) >= ts("1996-03-01"))
-    return v.where(in_range).select("o_orderkey", in_range.alias("in_range"), in_month.alias("in_month"))
+    """Versions active in a period; an open end is the end of time."""
+    v = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("a"), F.coalesce(F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate") + F.expr("interval 45 days")), ts("2100-01-01")).alias("b"))
+    return intervals.overlapping(v, ts("1996-03-01"), ts("1996-03-31 23:59:59"), "a", "b")
 
 
 @query("with w as (select s_suppkey k, case s_suppkey % 6 when 0 then 'POLYGON((0 0,1 0,1 1,0 0))' when 1 then 'POLYGON EMPTY' when 2 then 'POINT(1 2)' when 3 then 'garbage' when 4 then 'POLYGON((0 0,1 0,1 1))' else null end g from supplier) select count(*) filter (where g is not null) present, count(*) filter (where g = 'garbage') parse_errors, count(*) filter (where g like 'POINT%') wrong_type, count(*) filter (where g like '%EMPTY') as empty, count(*) filter (where g = 'POLYGON((0 0,1 0,1 1))') invalid from w")
@@ -194,8 +192,8 @@ def value_normalisers(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.clamp("l_quantity", 10.0, 40.0).alias("clamped"), S.boolean_text(raw).alias("flag"), S.number_label("l_quantity").alias("label"))
 
 
-@query("select event_type, count(*) n, cast(sum(case when rn = 1 then 1 else 0 end) as bigint) users from (select event_type, row_number() over (partition by event_type, user_id order by event_id) rn from events) group by 1")
+@query("select event_type, user_id, min(event_id) event_id from events group by 1, 2")
 def dedupe_first(spark, d):
     """First row of each key kept."""
-    w = Window.partitionBy("event_type", "user_id").orderBy("event_id")
-    return table(spark, d, "events").withColumn("rn", F.row_number().over(w)).groupBy("event_type").agg(F.count("*").alias("n"), F.sum((F.col("rn") == 1).cast("long")).alias("users"))
+    e = table(spark, d, "events").select("event_type", "user_id", "event_id", (-F.col("event_id")).alias("back"))
+    return scd.latest(e, ["event_type", "user_id"], ["back"]).drop("back")
