@@ -71,7 +71,7 @@ def build_stays(events: DataFrame, centroids: DataFrame | None, report_date: Col
     outdoor = F.col("bs_type") == "o"
     e = e.withColumn("start_time_utc", F.when(outdoor, F.col("bucket")).otherwise(F.col("start_time_utc"))).withColumn("end_time_utc", F.when(outdoor, F.col("bucket") + F.expr("interval 5 minutes")).otherwise(F.col("end_time_utc")))
     span = [*who, "start_time_utc", "end_time_utc", "bs_type"]
-    e = distance_filter(e, span, ["cgi"], "lat", "lon", among=outdoor).drop("mean_distance", "distinct_means")
+    e = distance_filter(e, span, ["cgi"], "lat", "lon", digits=6, among=outdoor).drop("mean_distance", "distinct_means")
     e = e.dropDuplicates([*span, "cgi", "lat", "lon", "n", "oktmo_code_1", "oktmo_code_2"])
     if centroids is not None:
         e = e.join(centroids.select("cgi", F.col("lat").alias("__lat"), F.col("lon").alias("__lon")), "cgi", "left")

@@ -22,6 +22,14 @@ def row_key() -> Column:
     return F.concat(F.lit("cgi="), F.concat_ws("_", *[part(c) for c in NUMERIC[:4]]), F.lit(" date_on="), part("date_on"), F.lit(" date_off="), part("date_off"))
 
 
+def processable() -> Column:
+    """Whether all four parts of a prepared cell's key are numbers."""
+    out = F.lit(True)
+    for c in NUMERIC[:4]:
+        out = out & F.col(c).isNotNull()
+    return out
+
+
 def prepare(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Normalised cells, and ``row_key, field, value, reason`` of everything that was wrong. Nothing fails; what can't be read is null."""
     for c in (*NUMERIC, *TEXT, *TIMES):
@@ -47,7 +55,7 @@ def prepare(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def build_snapshot(prepared: DataFrame, zones: DataFrame | None = None, territories: DataFrame | None = None) -> DataFrame:
     """One row for each cell with its time zone, territory, sector, reach and best-server area."""
-    w = prepared.dropna(subset=list(NUMERIC[:4]))
+    w = prepared.where(processable())
     w = w.withColumns({"mcc": F.col("mcc").cast("smallint"), "mnc": F.col("mnc").cast("smallint"), "lac": F.col("lac").cast("int"), "cell_id": F.col("cell").cast("bigint"), "lon": F.bround("coord_x", 5), "lat": F.bround("coord_y", 5)})
     w = w.withColumns({"telecomstandard": S.generation("generation"), "bs_type": S.site_type("bs_type", "location", "description"), "azimuth": S.azimuth("azimuth"), "sector_angle": S.sector_angle("sector_angle"), "frequency": F.col("frequency").cast("int")})
     w = scd.latest(w, list(schemas.BS_KEYS), ["date_on", "date_off", "lat", "lon"])

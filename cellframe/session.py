@@ -28,15 +28,18 @@ def build_session(app: str = "cellframe", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's shared checkpoint folder (``spark.checkpoint.dir``), its lineage cut.
-
-    A temporary folder serves only where none is set and there is but one machine; on a cluster that is an error.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared folder (``spark.checkpoint.dir``); where none is set a temporary one, on one machine alone: on a cluster it is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         sc.setCheckpointDir(shared or Path(tempfile.mkdtemp(prefix="ckpt")).as_uri())
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's shared folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

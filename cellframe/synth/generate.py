@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OPERATORS = ("01", "02", "20", "99")
@@ -80,3 +80,104 @@ def mart(spark: SparkSession, people: DataFrame, cell_table: DataFrame, kind: st
     if kind in ("cdr", "gprs"):
         return e.select(*common, F.col("isdn").alias("CallingNumber"), F.concat_ws("-", "mcc", "mnc").alias("OwnerMCCMNC"), F.col("lac").try_cast("int").alias("BSStartLac"), F.col("cell").try_cast("bigint").alias("BSStartCell"))
     return e.select(*common, F.col("isdn").alias("Calling" if kind == "sms" else "Served"), F.col("mcc").alias("MCC"), F.col("mnc").alias("MNC"), F.col("lac").alias("Lac"), F.col("cell").alias("Cell"))
+
+
+#: Fields that a source's rows have to have, and what a value has to look like if it isn't null; dirty rows are those that break it.
+CONTRACTS = {
+    "cells": {c: None for c in "mcc mnc lac cell date_on date_off coord_x coord_y bs_type generation azimuth sector_angle power height tilt frequency rad_class subject address".split()} | {"mcc": r"^\d{3}$", "cell": r"^\d+$", "date_on": r"^\d{4}-\d{2}-\d{2}"},
+    "people": {c: None for c in "identity_type operator_Id client_type actually_from actually_to birth_day first_name second_name last_name dul_department contract_number".split()} | {"isdn": r"^79\d{9}$", "imsi": r"^\d{15}$", "imei": r"^\d{15}$", "iccid": r"^\d{19}$", "document": r"^\d{4} \d{6}$"},
+}
+
+
+def contract_report(df: DataFrame, source: str) -> DataFrame:
+    """``field, filled, broken, ok``: of each field of a source's contract how many values there are and how many don't look like it. A column that isn't there isn't ok."""
+    rows = []
+    for field, pattern in CONTRACTS[source].items():
+        c = F.col(field).cast("string") if field in df.columns else F.lit(None).cast("string")
+        broken = F.sum((c.isNotNull() & ~c.rlike(pattern)).cast("long")) if pattern else F.lit(0).cast("long")
+        rows.append(F.struct(F.lit(field).alias("field"), F.count(c).alias("filled"), F.coalesce(broken, F.lit(0)).alias("broken"), F.lit(field in df.columns).alias("there")).alias(field))
+    return df.agg(*rows).select(F.explode(F.array(*[F.col(f) for f in CONTRACTS[source]])).alias("r")).select("r.field", "r.filled", "r.broken", (F.col("r.there") & (F.col("r.broken") == 0)).alias("ok"))
+
+
+def person_versions(people: DataFrame, share: float = 0.04, seed: int = 1) -> DataFrame:
+    """Subscriptions with versions: a share has an earlier version that ends days after the next begins, another was carried over from another operator."""
+    u = lambda k: unit(F.col("iccid"), seed, k)
+    early = people.where(u("overlap") < share).withColumn("actually_to", F.col("actually_from") + F.expr("interval 5 days")).withColumn("actually_from", F.col("actually_from") - F.expr("interval 200 days"))
+    moved = people.where((u("overlap") >= share) & (u("moved") < 0.02)).withColumn("operator_Id", (F.col("operator_Id") + 1) % 100).withColumn("actually_to", F.col("actually_from") - F.expr("interval 1 second")).withColumn("actually_from", F.col("actually_from") - F.expr("interval 400 days"))
+    return people.unionByName(early).unionByName(moved)
+
+
+def states(people: DataFrame, n_cells: int, day: date, seed: int = 1) -> DataFrame:
+    """A subscriber's day: profile (light, normal, heavy), how busy, how they move, home cell, when the day begins and how long it lasts."""
+    u = lambda k: unit(F.col("isdn"), str(day), seed, k)
+    level = pick(u("profile"), [("light", 28), ("normal", 54), ("heavy", 18)])
+    moves = pick(u("mobility"), [("stays", 30), ("local", 45), ("far", 25)])
+    base = F.when(level == "light", 3).when(level == "normal", 7).otherwise(14)
+    busy = F.when(u("hyper") < 0.018, 6 + F.floor(u("times") * 9)).otherwise(1)
+    return people.select(
+        "isdn", "imsi", "imei", level.alias("level"), moves.alias("moves"), (base * busy + F.when(moves == "far", 3).when(moves == "local", 1).otherwise(0)).cast("int").alias("events"), F.floor(unit(F.col("isdn"), seed, "home") * n_cells).cast("bigint").alias("home"),
+        pick(u("begin"), [(7, 4), (9, 6), (12, 5), (18, 4), (22, 1)]).alias("begins"), pick(u("long"), [(1, 3), (3, 4), (8, 2)]).alias("hours"),
+    )
+
+
+def journeys(people: DataFrame, cell_table: DataFrame, day: date, seed: int = 1) -> DataFrame:
+    """``isdn, imsi, imei, k, at, cell, step``: a subscriber's k-th point of a day, in the middle of its part of the day's span give or take some percent, at a cell
+    at most three steps from the one before along the line of cells.
+    """
+    n = cell_table.count()
+    s = states(people, n, day, seed).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("events") - 1)))
+    wide = F.when(F.col("moves") == "stays", 0).when(F.col("moves") == "local", 1).otherwise(3)
+    jitter = (unit(F.col("isdn"), F.col("k"), str(day), seed, "at") - 0.5) * 0.07
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("k") + 0.5) / F.col("events") + jitter))
+    at = F.lit(f"{day} 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("begins"), secs=F.round(part * F.col("hours") * 3600))
+    step = F.when(F.col("k") == 0, 0).otherwise(F.floor(unit(F.col("isdn"), F.col("k"), str(day), seed, "step") * (2 * wide + 1)) - wide).cast("int")
+    w = Window.partitionBy("isdn").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return s.select("isdn", "imsi", "imei", "k", at.alias("at"), "home", step.alias("step")).withColumn("cell", F.lit(10_000) + F.pmod(F.col("home") + F.sum("step").over(w), F.lit(n))).drop("home")
+
+
+def handovers(points: DataFrame, camped_minutes: int = 60) -> DataFrame:
+    """``isdn, at, cell, reason``: a location record where a subscriber's cell changes, and one every so often while it stays."""
+    w = Window.partitionBy("isdn").orderBy("at", "k")
+    seen = points.withColumn("was", F.lag("cell").over(w)).withColumn("next", F.coalesce(F.lead("at").over(w), F.col("at")))
+    changed = seen.where("was is null or was <> cell").select("isdn", "at", "cell", F.lit("handover").alias("reason"))
+    every = F.sequence(F.col("at") + F.make_dt_interval(mins=F.lit(camped_minutes)), F.col("next"), F.make_dt_interval(mins=F.lit(camped_minutes)))
+    stays = seen.where(F.col("next") >= F.col("at") + F.make_dt_interval(mins=F.lit(camped_minutes))).select("isdn", F.explode(every).alias("at"), "cell", F.lit("periodic").alias("reason"))
+    return changed.unionByName(stays)
+
+
+def local_time(df: DataFrame, at: str, offset: str) -> DataFrame:
+    """``Started``, the fourteen digits of a moment in UTC shifted by its cell's hours."""
+    return df.withColumn("Started", F.date_format(F.col(at) + F.make_dt_interval(hours=F.coalesce(F.col(offset).cast("int"), F.lit(0))), "yyyyMMddHHmmss"))
+
+
+def parties(df: DataFrame, seed: int = 1) -> DataFrame:
+    """The other party of each record, and records that it owns: numbers change places and the owner's SIM is blank, as marts have them."""
+    from cellframe.plans.events import swap_parties
+
+    u = lambda k: unit(F.col("isdn"), F.col("k"), seed, k)
+    peer = F.concat(F.lit("79"), F.lpad(F.floor(u("peer") * 1e9).cast("bigint").cast("string"), 9, "0"))
+    with_peer = df.withColumn("peer", F.when(u("abroad") < 0.18, F.concat(F.lit("49"), F.substring(peer, 3, 9))).otherwise(peer)).withColumn("peer_imsi", F.lit(None).cast("string")).withColumn("Owner", F.when(u("owner") < 0.9, 1).otherwise(2))
+    return swap_parties(with_peer, "Owner", ("isdn", "imsi"), ("peer", "peer_imsi"))
+
+
+def cross_mart_noise(marts: dict[str, DataFrame], share: float = 0.025, seed: int = 1) -> dict[str, DataFrame]:
+    """Each mart with a share of another's rows in its own columns, as misrouted records: those that it doesn't share are null."""
+    names, out = list(marts), {}
+    for i, name in enumerate(names):
+        own, other = marts[name], marts[names[(i + 1) % len(names)]]
+        stray = other.where(unit(*[F.col(c).cast("string") for c in other.columns], seed, "stray") < share)
+        out[name] = own.unionByName(stray.select(*[(F.col(c) if c in other.columns else F.lit(None)).try_cast(own.schema[c].dataType).alias(c) for c in own.columns]))
+    return out
+
+
+def row_of_mart(points: DataFrame, kind: str, cells_by_number: DataFrame) -> DataFrame:
+    """Points of journeys as typed rows of one mart. ``cells_by_number``: cell, mcc, mnc, lac, utc_offset."""
+    from cellframe.plans.events import CELL, PARTY
+
+    e = local_time(points.join(cells_by_number, "cell"), "at", "utc_offset")
+    u = lambda k: unit(F.col("isdn"), F.col("k"), kind, k)
+    lac, cell = CELL[kind]
+    common = [F.when(u("broken") < 0.002, F.substring("Started", 1, 10)).otherwise(F.col("Started")).alias("Started"), F.when(u("imsi") < _PRESENT[kind], F.col("imsi")).alias("IMSI"), F.when(u("imei") < 0.8, F.col("imei")).alias("IMEI"), F.col("isdn").alias(PARTY[kind]), (F.col("Owner") if "Owner" in points.columns else F.lit(1)).alias("Owner")]
+    place = [F.col("lac").cast("string").try_cast("int").alias(lac), F.col("cell").cast("bigint").alias(cell)] if kind in ("cdr", "gprs") else [F.col("lac").cast("string").alias(lac), F.col("cell").cast("string").alias(cell)]
+    code = [F.concat_ws("-", "mcc", "mnc").alias("OwnerMCCMNC")] if kind in ("cdr", "gprs") else [F.col("mcc").cast("string").alias("MCC"), F.col("mnc").cast("string").alias("MNC")]
+    return e.select(*common, *code, *place)

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from cellframe.plans import catalogue, catalogue_more  # noqa: F401  the second registers its queries with the first
+from cellframe.plans import catalogue, catalogue_checks, catalogue_files, catalogue_more, catalogue_tables  # noqa: F401  all register their queries with the first
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
