@@ -252,3 +252,47 @@ def test_streams(spark, tmp_path):
         finally:
             q.stop()
     assert sorted(r.user_id for r in spark.read.parquet(table).collect()) == [1, 2, 9]
+
+
+def test_commands_of_a_day_and_a_month(spark, tmp_path):
+    """All commands in order over generated sources, twice: a repeated day changes nothing."""
+    from cellframe.plans.jobs import Jobs
+
+    root = str(tmp_path)
+    (tmp_path / "src" / "dim").mkdir(parents=True)
+    write = lambda name, text: (tmp_path / "src" / "dim" / f"{name}.csv").write_text(text, encoding="utf-8")
+    write("oktmo", 'WKT;level;parent_code;code;name\n"POLYGON((30 50,45 50,45 60,30 60,30 50))";2;01;0101;Town\n"POLYGON((30 50,45 50,45 60,30 60,30 50))";1;;01;Region\n')
+    write("time-zones", 'code;name;timezone;geometry\n1;Region;3;"POLYGON((30 50,45 50,45 60,30 60,30 50))"\n')
+    write("tac", ";".join(f for f in schemas.DIM_TAC.fieldNames() if f != "is_m2m") + "\n35000001;Acme;M;M;Modem;LTE;x;05.03.2021;b;c;d\n")
+    write("oksm", "numeric_code;name_short;name_full;alpha2;alpha3;autokey\n643;Russia;Russian Federation;RU;RUS;1\n860;Uzbekistan;Republic;UZ;UZB;2\n")
+    jobs = Jobs(spark, root)
+    timings = jobs.run([*jobs.src(DAY, people=60, n_cells=40), *jobs.stage_1(DAY), *jobs.stage_2(DAY), *jobs.person(DAY.replace(day=1))])
+    assert len(timings) == 4 + 3 + 16 + 8 and {t["status"] for t in timings} == {"ok"} and set(jobs.commands(DAY)) == {t["command"] for t in timings}
+    tables = [jobs.path("fct/bs"), jobs.path("stg/geo_all", DAY), jobs.path("fct/msisdn_imsi", DAY), jobs.path("fct/geo_intervals", DAY), jobs.path("fct/person", DAY)]
+    before = [sorted(map(str, spark.read.parquet(t).collect())) for t in tables]
+    assert all(before)
+    checks = spark.read.parquet(f"{root}/qa/checks")
+    assert {r.suite.split(".")[0] for r in checks.select("suite").distinct().collect()} == {t["command"] for t in timings if t["command"].startswith("dq-")}
+    steps = dict(jobs.stage_2(DAY))
+    for name in ("build-stg-geo-all", "build-fct-msisdn-imsi-operator", "build-fct-geo-intervals"):
+        steps[name]()
+    assert [sorted(map(str, spark.read.parquet(t).collect())) for t in tables] == before
+    with pytest.raises(Exception, match="src/marts|no complete snapshot|PATH_NOT_FOUND|doesn't|not"):
+        jobs.run(jobs.person(date(2023, 1, 1)))
+
+
+def test_generated_rows_of_marts(spark):
+    people, raw = generate.subscribers(spark, 80), generate.cells(spark, 50)
+    points = generate.parties(generate.journeys(people, raw, DAY))
+    assert points.where("Owner = 2").count() > 0 and points.where("Owner = 2 and imsi is not null").count() == 0
+    at = raw.where("mnc >= 0 and lac <> 'ERR'").select(F.col("cell").cast("bigint").alias("cell"), "mcc", "mnc", "lac", F.lit(3).alias("utc_offset"))
+    marts = {k: generate.row_of_mart(points, k, at) for k in events.CODES}
+    ev = events.build_events(marts, DAY)
+    assert ev.count() > 0 and {r.event_name for r in ev.select("event_name").distinct().collect()} == set(events.CODES)
+    noisy = generate.cross_mart_noise(marts, share=0.2)
+    assert all(noisy[k].columns == marts[k].columns and noisy[k].count() > marts[k].count() for k in marts)
+    assert generate.local_time(spark.createDataFrame([(datetime(2024, 1, 9, 23, 0), 2)], "t timestamp_ntz, o int"), "t", "o").first().Started == "20240110010000"
+    s = {r.level for r in generate.states(people, 50, DAY).select("level").distinct().collect()}
+    assert s == {"light", "normal", "heavy"}
+    v = generate.person_versions(people, share=0.5)
+    assert v.count() > people.count() and v.where("actually_to < actually_from").count() == 0
