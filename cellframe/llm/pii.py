@@ -40,7 +40,20 @@ for _c in [*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800), *range(0x2460, 0x24
         _LOOKALIKE[chr(_c)] = "-"
 _TABLE = {ord(a): b for a, b in _LOOKALIKE.items()}
 _HIDDEN = re.compile("[​-‏⁠﻿­‪-‮]+")
-_FOREIGN = re.compile("[" + "".join(re.escape(c) for c in sorted(_LOOKALIKE)) + "​-‏⁠﻿­‪-‮]")
+_FOREIGN = frozenset(_LOOKALIKE) | {chr(c) for c in range(0x10000) if _HIDDEN.fullmatch(chr(c))}
+_FOREIGN_LATIN = tuple(c for c in _FOREIGN if ord(c) < 256)
+
+
+def _foreign(t: str) -> bool:
+    """Whether a text has a character that is rewritten. Most texts fit Latin-1, which has four of them."""
+    if t.isascii():
+        return False
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _FOREIGN.isdisjoint(t)
+    return any(c in t for c in _FOREIGN_LATIN)
+
 
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 for _words in ("null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve", "zéro un deux trois quatre cinq six sept huit neuf"):
@@ -208,7 +221,7 @@ def _may_spell(t: str) -> bool:
 
 def normalise(text: str) -> Rewriting:
     r = Rewriting(text)
-    if not text.isascii() and _FOREIGN.search(text):
+    if _foreign(text):
         r.text = _TOKEN.sub(_plain, text)  # character for character
         r.replace([(m.start(), m.end(), "") for m in _HIDDEN.finditer(r.text)])
     if not _may_spell(r.text):
