@@ -2,63 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-Best = Callable[[Column, Column], Column]
+def version_steps(versions: DataFrame, key: Sequence[str], start: str, end: str, ties: Sequence[Column | str] = ()) -> DataFrame:
+    """Which version of a key holds when: ``key, __time, __step``, a row for each instant from which on others hold, and one before all.
 
+    ``__step`` has the version that holds from that instant until the next one (``at``), the last that began by then (``before``) and the next to begin
+    (``next``). Of several that hold the one that began last does, of those that began at once the first by ``ties``. A null end is open, an end is
+    inclusive (time has microseconds), an end before its begin holds never.
 
-def first_by(*order: Column | str, descending: bool = False) -> Best:
-    """An aggregate: of the structs for which a condition holds, the first by expressions on their fields (``v.field``), or the last."""
-
-    def best(v: Column, among: Column) -> Column:
-        rank = F.struct(*[(v[o] if isinstance(o, str) else o(v)).alias(f"o{i}") for i, o in enumerate(order)])
-        return (F.max_by if descending else F.min_by)(v, F.when(among, rank))
-
-    return best
-
-
-def version_steps(versions: DataFrame, key: Sequence[str], start: str, end: str, best: Best) -> DataFrame:
-    """Which version of a key holds when: ``key, __time, __step``, a row for each instant at which a version begins or ends, and one before all.
-
-    ``__step`` has the best version at that instant (``at``), from there until the next instant (``open``), the last that began by then (``before``)
-    and the next to begin (``next``). A null end is open, an end is inclusive, an end before its begin holds never.
-
-    Versions may overlap in any way. A key's instants, and the gaps after them, are numbered; a version's range of numbers is cut into blocks of
-    powers of two, each block keeps its best version, and each number asks the blocks that it lies in. So n versions of a key cost n log n rows.
+    Versions may overlap in any way. They are numbered in that order of preference, a key's instants in that of time; a version's range of instants is
+    cut into blocks of powers of two, each block keeps its least version, and each instant asks the blocks that it lies in. So n versions of a key cost
+    n log n rows of small numbers; whole versions are fetched at the end.
     """
     key = list(key)
     rest = [c for c in versions.columns if c not in key]
-    true = F.lit(True)
-    v = versions.dropna(subset=[*key, start]).select(*key, F.struct(*rest).alias("__v"), F.col(start).alias("__s"), F.col(end).cast(versions.schema[start].dataType).alias("__e"))
-    marks = v.withColumn("__time", F.explode(F.array_compact(F.array("__s", "__e"))))
+    whole = F.struct(*rest)
+    # the hash makes the order total: a lost part that is computed again has to give the same numbers
+    by = Window.partitionBy(*key).orderBy(F.desc(start), *ties, F.xxhash64(whole))
+    kind = versions.schema[start].dataType
+    over = F.when(F.col(end) >= F.col(start), (F.col(end).cast(kind) + F.make_dt_interval(secs=F.lit(0.000001))).cast(kind))
+    v = versions.dropna(subset=[*key, start]).select(*key, F.row_number().over(by).alias("__r"), F.col(start).alias("__s"), over.alias("__e"), (F.col(end).isNull() | over.isNotNull()).alias("__ok"), whole.alias("__v"))
+    marks = v.select(*key, "__r", "__s", "__e", "__ok", F.explode(F.array_compact(F.array("__s", "__e"))).alias("__time"))
     marks = marks.withColumn("__i", F.dense_rank().over(Window.partitionBy(*key).orderBy("__time")) - 1).withColumn("__last", F.max("__i").over(Window.partitionBy(*key)))
-    levels = F.sequence(F.lit(0), F.ceil(F.log2(2 * F.col("__last") + 2)).cast("int"))
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.col("__last") + 1)).cast("int"))
     began, ended = F.col("__time") == F.col("__s"), F.col("__time") == F.col("__e")
-    spans = marks.groupBy(*key, "__v").agg(F.any_value("__e").alias("__e"), F.max("__last").alias("__last"), F.min(F.when(began, F.col("__i"))).alias("__a"), F.max(F.when(ended, F.col("__i"))).alias("__b"))
-    low, high = (2 * F.col("__a")).cast("long"), (2 * F.when(F.col("__e").isNull(), F.col("__last") + F.lit(0.5)).otherwise(F.col("__b")) + 1).cast("long")
+    spans = marks.where("__ok").groupBy(*key, "__r").agg(F.max("__last").alias("__last"), F.min(F.when(began, F.col("__i"))).alias("__lo"), F.max(F.when(ended, F.col("__i"))).alias("__b"))
+    spans = spans.withColumn("__hi", F.coalesce("__b", F.col("__last") + 1))
 
     def blocks(level: Column) -> Column:
         size = F.pow(F.lit(2.0), level)
-        lo, hi = F.ceil(F.col("__lo") / size), F.floor(F.col("__hi") / size)
+        lo, hi = F.ceil(F.col("__lo") / size).cast("int"), F.floor(F.col("__hi") / size).cast("int")
         return F.array(F.when((lo < hi) & (lo % 2 == 1), F.struct(level.alias("l"), lo.alias("b"))), F.when((lo < hi) & (hi % 2 == 1), F.struct(level.alias("l"), (hi - 1).alias("b"))))
 
-    cut = spans.withColumns({"__lo": low, "__hi": high}).where("__lo < __hi").select(*key, "__v", F.explode(F.array_compact(F.flatten(F.transform(levels, blocks)))).alias("__x"))
-    held = cut.groupBy(*key, F.col("__x.l").alias("__l"), F.col("__x.b").alias("__b")).agg(best(F.col("__v"), true).alias("__w"))
-    points = marks.groupBy(*key, "__i").agg(F.any_value("__time").alias("__time"), F.any_value("__last").alias("__last"), best(F.col("__v"), began).alias("__own"))
-    asks = points.select(*key, "__i", "__last", F.explode(F.array(2 * F.col("__i"), 2 * F.col("__i") + 1)).alias("__c")).withColumn("__l", F.explode(levels)).withColumn("__b", F.floor(F.col("__c") / F.pow(F.lit(2.0), F.col("__l"))))
-    won = asks.join(held, [*key, "__l", "__b"]).groupBy(*key, "__i").agg(best(F.col("__w"), F.col("__c") % 2 == 0).alias("__at"), best(F.col("__w"), F.col("__c") % 2 == 1).alias("__open"))
+    cut = spans.select(*key, "__r", F.explode(F.array_compact(F.flatten(F.transform(levels, blocks)))).alias("__x"))
+    held = cut.groupBy(*key, F.col("__x.l").alias("__l"), F.col("__x.b").alias("__b")).agg(F.min("__r").alias("__w"))
+    points = marks.groupBy(*key, "__i").agg(F.any_value("__time").alias("__time"), F.max("__last").alias("__last"), F.min(F.when(began, F.col("__r"))).alias("__own"))
+    asks = points.select(*key, "__i", F.explode(levels).alias("__l")).withColumn("__b", F.floor(F.col("__i") / F.pow(F.lit(2.0), F.col("__l"))).cast("int"))
+    won = asks.join(held, [*key, "__l", "__b"]).groupBy(*key, "__i").agg(F.min("__w").alias("__at"))
     forth, back = (Window.partitionBy(*key).orderBy(o) for o in (F.asc("__i"), F.desc("__i")))
-    points = points.withColumn("__before", F.last("__own", ignorenulls=True).over(forth.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__next", F.last("__own", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
-    none = F.lit(None).cast(v.schema["__v"].dataType)
-    step = lambda t, at, o, b, n: F.struct(t.alias("time"), at.alias("at"), o.alias("open"), b.alias("before"), n.alias("next"))
-    own = step(F.col("__time"), F.col("__at"), F.col("__open"), F.col("__before"), F.col("__next"))
-    ahead = step(F.lit(None).cast(v.schema["__s"].dataType), none, none, none, F.col("__own"))
-    rows = points.join(won, [*key, "__i"], "left").select(*key, F.explode(F.when(F.col("__i") == 0, F.array(ahead, own)).otherwise(F.array(own))).alias("__step"))
-    return rows.select(*key, F.col("__step.time").alias("__time"), "__step")
+    # of all that began by an instant the least number is that of the last
+    points = points.withColumn("__before", F.min("__own").over(forth.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__next", F.last("__own", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    slot = lambda i, t, n, r: F.when(r.isNotNull(), F.struct(i.alias("i"), t.alias("t"), F.lit(n).alias("n"), r.alias("r")))
+    i, t = F.col("__i"), F.col("__time")
+    slots = [slot(i, t, n, F.col(f"__{n}")) for n in ("at", "before", "next")]
+    ahead = F.when(i == 0, slot(i - 1, F.lit(None).cast(kind), "next", F.col("__own")))
+    filled = points.join(won, [*key, "__i"], "left").select(*key, F.explode(F.array_compact(F.array(*slots, ahead))).alias("__x")).select(*key, F.col("__x.r").alias("__r"), F.col("__x.i").alias("__i"), F.col("__x.t").alias("__time"), F.col("__x.n").alias("__n"))
+    named = filled.join(v.select(*key, "__r", "__v"), [*key, "__r"]).groupBy(*key, "__i").agg(F.any_value("__time").alias("time"), *[F.any_value(F.when(F.col("__n") == n, F.col("__v")), True).alias(n) for n in ("at", "before", "next")])
+    return named.select(*key, F.col("time").alias("__time"), F.struct("time", "at", "before", "next").alias("__step"))
 
 
 def with_step(events: DataFrame, steps: DataFrame, key: Sequence[str], ts: str) -> DataFrame:
@@ -71,21 +66,19 @@ def with_step(events: DataFrame, steps: DataFrame, key: Sequence[str], ts: str)
     return e.unionByName(s).withColumn("__step", F.last("__step", ignorenulls=True).over(w)).where("__kind = 1").select("__row.*", "__step")
 
 
-def _held(ts: str) -> Column:
-    return F.when(F.col("__step.time").eqNullSafe(F.col(ts)), F.col("__step.at")).otherwise(F.col("__step.open"))
-
-
-def version_join(events: DataFrame, versions: DataFrame, key: Sequence[str], ts: str, start: str, end: str, nearest: bool = True, tie: Sequence[str] = ()) -> DataFrame:
+def version_join(events: DataFrame, versions: DataFrame, key: Sequence[str], ts: str, start: str, end: str, nearest: bool = True, tie: Sequence[str] = (), prune: bool = False) -> DataFrame:
     """Each event with one version of its key: the active one that began last, else (``nearest``) the one that began at the least
     distance in time, the later of two; of versions that begin at once the least by ``tie``. Events without a key or a time, or whose key has no version,
     go; so do, without ``nearest``, those that none was active for.
 
     Versions are made steps first, which concerns them alone; events then meet the steps in one sorted pass, so that no event meets every version of its
-    key. A null end is open.
+    key. A null end is open. ``prune`` leaves out versions whose key no event has, at the price of reading the events' keys first: worth it where versions are
+    many and events few.
     """
-    steps = version_steps(versions, key, start, end, first_by(lambda v: -F.unix_micros(v[start].cast("timestamp")), *tie))
+    used = versions.join(events.select(*key).distinct(), list(key), "left_semi") if prune else versions
+    steps = version_steps(used, key, start, end, tie)
     got = with_step(events.dropna(subset=[*key, ts]), steps, key, ts)
-    chosen = _held(ts)
+    chosen = F.col("__step.at")
     if nearest:
         at = F.unix_micros(F.col(ts).cast("timestamp"))
         far = lambda side: F.abs(at - F.unix_micros(F.col(f"__step.{side}.{start}").cast("timestamp")))
@@ -103,8 +96,8 @@ def fill_from_intervals(df: DataFrame, bindings: DataFrame, key: str, value: str
     """
     lacking = F.col(value).isNull() & F.col(key).isNotNull() & F.col(ts).isNotNull()
     b = bindings.select(F.col(key), F.col(value).alias("__value"), F.col(start).alias("__start"), F.col(end).alias("__end")).where("__value is not null and __end is not null")
-    steps = version_steps(b, [key], "__start", "__end", first_by("__start", "__value", descending=True))
-    part = with_step(df.where(lacking), steps, [key], ts).withColumn(value, _held(ts)["__value"].cast(df.schema[value].dataType))
+    steps = version_steps(b, [key], "__start", "__end", [F.desc("__value")])
+    part = with_step(df.where(lacking), steps, [key], ts).withColumn(value, F.col("__step.at.__value").cast(df.schema[value].dataType))
     return df.where(~lacking).unionByName(part.select(*df.columns))
 
 

@@ -150,7 +150,7 @@ select o_orderkey, l_partkey, o_orderdate, date_on, l_orderkey, l_suppkey from j
 def asof_latest_version(spark, d):
     """Interval join to versions, the latest active one wins."""
     o, v = _versions(spark, d)
-    return joins.version_join(o, v, ["l_partkey"], "o_orderdate", "date_on", "date_off", nearest=False, tie=["l_orderkey", "l_linenumber"]).select("o_orderkey", "l_partkey", "o_orderdate", "date_on", "l_orderkey", "l_suppkey")
+    return joins.version_join(o, v, ["l_partkey"], "o_orderdate", "date_on", "date_off", nearest=False, tie=["l_orderkey", "l_linenumber"], prune=True).select("o_orderkey", "l_partkey", "o_orderdate", "date_on", "l_orderkey", "l_suppkey")
 
 
 @query(f"""with {_VERSIONS}, {_ORDERS}, j as (select o_orderkey, o_orderdate, v.*, date_on <= o_orderdate and (date_off is null or o_orderdate <= date_off) act from o join v using (l_partkey)),
@@ -159,7 +159,7 @@ select o_orderkey, l_partkey, o_orderdate, date_on, l_orderkey, l_suppkey from k
 def asof_nearest_fallback(spark, d):
     """The same, falling back to the nearest version where none is active."""
     o, v = _versions(spark, d)
-    return joins.version_join(o, v, ["l_partkey"], "o_orderdate", "date_on", "date_off", tie=["l_orderkey", "l_linenumber"]).select("o_orderkey", "l_partkey", "o_orderdate", "date_on", "l_orderkey", "l_suppkey")
+    return joins.version_join(o, v, ["l_partkey"], "o_orderdate", "date_on", "date_off", tie=["l_orderkey", "l_linenumber"], prune=True).select("o_orderkey", "l_partkey", "o_orderdate", "date_on", "l_orderkey", "l_suppkey")
 
 
 @query("""

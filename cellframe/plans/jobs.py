@@ -12,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellframe import schemas
 from cellframe.dq import suites
+from cellframe.operators import profile
 from cellframe.plans import bindings, cells, dims, events, persons, runner
 from cellframe.sources import files
 from cellframe.synth import generate
@@ -193,6 +194,20 @@ class Jobs:
             ("build-fct-person", build), ("dq-fct-person", lambda: self.check("dq-fct-person", self.present(target, lambda df: suites.fct_person(df, oksm())))),
         ]
 
+    def dashboard(self, suite: str) -> dict[str, DataFrame]:
+        """Frames of a suite's checks: of the last run its statuses, failures, null rates and gates, and how each check went run by run."""
+        log = self.read(f"{self.root}/qa/checks").where(F.col("suite") == suite).withColumn("logger", F.col("suite"))
+        when = files.read_timings(self.spark, self.runner.timing_path).groupBy("run_id").agg(F.max("ts_utc").alias("at")) if self.runner.timing_path else log.groupBy("run_id").agg(F.lit("").alias("at"))
+        runs = when.withColumn("run", F.dense_rank().over(Window.orderBy("at", "run_id")))
+        log = log.join(runs, "run_id")
+        last = log.join(log.agg(F.max("run").alias("run")), "run")
+        return {"status": runner.status_counts(last), "failures": runner.failures(last), "nulls": runner.null_ratios(last), "rates": runner.rates(last), "history": runner.check_history(log)}
+
+    def table_profile(self, path: str, numbers: list[str], words: list[str]) -> dict[str, DataFrame]:
+        """Frames of a table itself: null rates, summaries of numbers, most frequent values."""
+        df = self.read(path)
+        return {"nulls": profile.null_rates(df, df.columns), "numbers": profile.numeric_profile(df, numbers), **{c: profile.value_counts(df, c, 20) for c in words}}
+
     def commands(self, day: date) -> dict[str, Callable[[], object]]:
         """Every command of a day and its month by name."""
         return dict([*self.src(day), *self.stage_1(day), *self.stage_2(day), *self.person(day.replace(day=1))])

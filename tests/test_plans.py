@@ -273,6 +273,10 @@ def test_commands_of_a_day_and_a_month(spark, tmp_path):
     assert all(before)
     checks = spark.read.parquet(f"{root}/qa/checks")
     assert {r.suite.split(".")[0] for r in checks.select("suite").distinct().collect()} == {t["command"] for t in timings if t["command"].startswith("dq-")}
+    shown = jobs.dashboard("dq-stg-geo-all")
+    assert shown["failures"].where("status = 'failed'").count() == 0 and shown["status"].count() > 0 and shown["rates"].count() == 0 and jobs.dashboard("dq-fct-person")["rates"].count() > 0
+    seen = jobs.table_profile(tables[1], ["lat", "lon"], ["source_event_type"])
+    assert seen["numbers"].count() == 2 and seen["source_event_type"].count() > 1
     steps = dict(jobs.stage_2(DAY))
     for name in ("build-stg-geo-all", "build-fct-msisdn-imsi-operator", "build-fct-geo-intervals"):
         steps[name]()
