@@ -47,13 +47,13 @@ def version_steps(versions: DataFrame, key: Sequence[str], start: str, end: str,
     forth, back = (Window.partitionBy(*key).orderBy(o) for o in (F.asc("__i"), F.desc("__i")))
     # of all that began by an instant the least number is that of the last
     points = points.withColumn("__before", F.min("__own").over(forth.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__next", F.last("__own", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
-    slot = lambda i, t, n, r: F.when(r.isNotNull(), F.struct(i.alias("i"), t.alias("t"), F.lit(n).alias("n"), r.alias("r")))
-    i, t = F.col("__i"), F.col("__time")
-    slots = [slot(i, t, n, F.col(f"__{n}")) for n in ("at", "before", "next")]
-    ahead = F.when(i == 0, slot(i - 1, F.lit(None).cast(kind), "next", F.col("__own")))
-    filled = points.join(won, [*key, "__i"], "left").select(*key, F.explode(F.array_compact(F.array(*slots, ahead))).alias("__x")).select(*key, F.col("__x.r").alias("__r"), F.col("__x.i").alias("__i"), F.col("__x.t").alias("__time"), F.col("__x.n").alias("__n"))
-    named = filled.join(v.select(*key, "__r", "__v"), [*key, "__r"]).groupBy(*key, "__i").agg(F.any_value("__time").alias("time"), *[F.any_value(F.when(F.col("__n") == n, F.col("__v")), True).alias(n) for n in ("at", "before", "next")])
-    return named.select(*key, F.col("time").alias("__time"), F.struct("time", "at", "before", "next").alias("__step"))
+    numbers = ("at", "before", "next")
+    own = F.struct(F.col("__time").alias("time"), *[F.col(f"__{n}").alias(n) for n in numbers])
+    ahead = F.when(F.col("__i") == 0, F.struct(F.lit(None).cast(kind).alias("time"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("before"), F.col("__own").alias("next")))
+    out = points.join(won, [*key, "__i"], "left").select(*key, F.explode(F.array_compact(F.array(own, ahead))).alias("__x")).select(*key, F.col("__x.time").alias("time"), *[F.col(f"__x.{n}").alias(f"__{n}") for n in numbers])
+    for n in numbers:
+        out = out.join(v.select(*key, F.col("__r").alias(f"__{n}"), F.col("__v").alias(n)), [*key, f"__{n}"], "left")
+    return out.select(*key, F.col("time").alias("__time"), F.struct("time", *numbers).alias("__step"))
 
 
 def with_step(events: DataFrame, steps: DataFrame, key: Sequence[str], ts: str) -> DataFrame:

@@ -163,7 +163,7 @@ def days_and_months(spark, d):
     return spark.createDataFrame(rows, "what string, a string, b string, n bigint")
 
 
-@query("""select source, check_name, true holds from (values ('cells', 'rows'), ('cells', 'noise'), ('cells', 'contract'), ('people', 'rows'), ('people', 'types'), ('people', 'corporate'), ('people', 'foreign'), ('people', 'versions'), ('people', 'contract'), ('cdr', 'imsi'), ('gprs', 'imsi'), ('sms', 'imsi'), ('location', 'imsi'), ('cdr', 'times'), ('cdr', 'neighbours'), ('location', 'handover'), ('cdr', 'repeatable')) t(source, check_name)""")
+@query("""select source, check_name, true holds from (values ('cells', 'rows'), ('cells', 'noise'), ('cells', 'contract'), ('people', 'rows'), ('people', 'types'), ('people', 'corporate'), ('people', 'foreign'), ('people', 'versions'), ('people', 'contract'), ('cdr', 'imsi'), ('gprs', 'imsi'), ('sms', 'imsi'), ('location', 'imsi'), ('cdr', 'times'), ('cdr', 'neighbours'), ('location', 'handover'), ('cdr', 'repeatable'), ('regions', 'cells'), ('regions', 'profiles'), ('regions', 'places')) t(source, check_name)""")
 def generated_sources(spark, d):
     """What synthetic sources promise: sizes, shares of what is dirty, contracts, movement among neighbouring cells, the same rows at every run."""
     raw, people = generate.cells(spark, 2000, noise=0.2), generate.subscribers(spark, 3000)
@@ -196,6 +196,12 @@ def generated_sources(spark, d):
     holds("location", "handover", hand, (F.count("*") > 0) & F.min(F.col("reason").isin("handover", "periodic")))
     one, two = (generate.mart(spark, few.repartition(n), raw, "cdr", DAY) for n in (2, 5))
     holds("cdr", "repeatable", one.exceptAll(two), F.count("*") == 0)
+    wide = generate.region_cells(spark, {"City": (600, "metropolis", 65.0, 57.0, 1.0), "Far": (400, "wilds", 129.0, 62.0, 8.0)}, noise=0.0)
+    holds("regions", "cells", wide, (F.countDistinct("cell") == 1000) & (F.count("*") == 1000))
+    per = wide.groupBy("subject").agg(share(F.col("bs_type") == "outdoor").alias("o"), share(F.col("generation") == "2G").alias("g"))
+    holds("regions", "profiles", per, F.min(F.when(F.col("subject") == "City", F.col("o").between(0.42, 0.62) & F.col("g").between(0.06, 0.20)).otherwise((F.col("o") > 0.9) & F.col("g").between(0.35, 0.55))))
+    place = F.when(F.col("subject") == "City", F.abs(F.col("coord_x").cast("double") - 65) <= 0.5).otherwise(F.abs(F.col("coord_x").cast("double") - 129) <= 4)
+    holds("regions", "places", wide, F.min(place))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

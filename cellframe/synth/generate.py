@@ -82,6 +82,29 @@ def mart(spark: SparkSession, people: DataFrame, cell_table: DataFrame, kind: st
     return e.select(*common, F.col("isdn").alias("Calling" if kind == "sms" else "Served"), F.col("mcc").alias("MCC"), F.col("mnc").alias("MNC"), F.col("lac").alias("Lac"), F.col("cell").alias("Cell"))
 
 
+#: What is built in each kind of region: kinds of sites, generations, and watts of a site at most.
+PROFILES = {
+    "metropolis": {"bs_type": [("outdoor", 52), ("indoor", 27), ("metro", 14), ("pico", 7)], "generation": [("4G", 70), ("3G", 18), ("2G", 12)], "power": 40},
+    "town": {"bs_type": [("outdoor", 80), ("indoor", 16), ("pico", 4)], "generation": [("4G", 55), ("3G", 25), ("2G", 20)], "power": 60},
+    "wilds": {"bs_type": [("outdoor", 97), ("indoor", 3)], "generation": [("4G", 30), ("3G", 25), ("2G", 45)], "power": 120},
+}
+
+
+def region_cells(spark: SparkSession, regions: dict[str, tuple[int, str, float, float, float]], seed: int = 1, noise: float = 0.077) -> DataFrame:
+    """Raw cells of several regions: name to number of cells, profile, longitude, latitude and width in degrees. Cell numbers are a region's own."""
+    out = None
+    for k, (name, (n, profile, lon, lat, width)) in enumerate(regions.items()):
+        p, u = PROFILES[profile], lambda what, k=k: unit(F.col("cell"), seed, k, what)  # noqa: B023
+        x, y = F.col("coord_x").cast("double"), F.col("coord_y").cast("double")
+        one = cells(spark, n, seed * 1000 + k, noise)
+        one = one.withColumns({
+            "coord_x": F.when(x.between(37, 39), (lon + (x - 38) / 2 * width).cast("string")).otherwise(F.col("coord_x")), "coord_y": F.when(y.between(55, 57), (lat + (y - 56) / 2 * width).cast("string")).otherwise(F.col("coord_y")),
+            "bs_type": pick(u("type"), p["bs_type"]), "generation": pick(u("generation"), p["generation"]), "power": F.floor(u("power") * p["power"]).cast("string"), "subject": F.lit(name), "cell": (F.col("cell").cast("bigint") + k * 100_000).cast("string"),
+        })
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 #: Fields that a source's rows have to have, and what a value has to look like if it isn't null; dirty rows are those that break it.
 CONTRACTS = {
     "cells": {c: None for c in "mcc mnc lac cell date_on date_off coord_x coord_y bs_type generation azimuth sector_angle power height tilt frequency rad_class subject address".split()} | {"mcc": r"^\d{3}$", "cell": r"^\d+$", "date_on": r"^\d{4}-\d{2}-\d{2}"},
