@@ -263,30 +263,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return member.join(sizes, "group_id").select("doc_id", "group_id", "n_group")
 
 
-def one_of_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with one row for each id, that of the least text; of rows with a null id one for each text, and all without a text.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` less all but the first document of each group; documents in no group stay as they are.
 
-    Only rows whose id (or, without one, text) occurs again are brought together; the others stay where they are.
+    Of rows that share an id one stays, that of the least text; of rows with a null id one of each text. Rows without an id and a text, which can't be
+    likened to anything, all stay. Only rows whose id (or, without one, text) occurs again are brought together; the others stay where they are.
     """
     id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     # a text stands for an id that is null, by its digest
     own, name = F.when(id_.isNotNull(), id_.cast("string")).otherwise(F.sha2(text, 256)), unused(docs, "own")
     again = checkpointed(docs.select(own.alias(name)).dropna().groupBy(name).agg(F.count("*").alias("n")).where("n > 1").select(name))
+    gone = near_duplicates(docs, id_col, text_col, **how).where("doc_id <> group_id").select(F.col("doc_id").alias(unused(docs, "gone")))
+    left = docs.join(gone, id_ == F.col(gone.columns[0]), "left_anti")
     if again.isEmpty():
-        return docs
+        return left
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.withColumn(name, own)
+    marked = left.withColumn(name, own)
     order = F.struct(text, F.xxhash64(*[F.to_json(F.struct(c)) for c in columns]))
     several = marked.join(again, name, "left_semi").groupBy(name).agg(F.min_by(F.struct(*columns), order).alias("row")).select("row.*")
     return marked.join(again, name, "left_anti").select(*columns).unionByName(several)
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` less all but the first document of each group; documents in no group stay as they are.
-
-    Of rows that share an id one stays, that of the least text; of rows with a null id one of each text. Rows without an id and a text, which can't be
-    likened to anything, all stay.
-    """
-    gone = near_duplicates(docs, id_col, text_col, **how).where("doc_id <> group_id").select(F.col("doc_id").alias(unused(docs, "gone")))
-    left = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(gone.columns[0]), "left_anti")
-    return one_of_each(left, id_col, text_col)
