@@ -209,6 +209,13 @@ def test_profiles(spark):
     assert profile.null_rates(df.limit(0), ["a"]).first().null_rate == 1.0
 
 
+def test_weighted_summary_of_zero_weight(spark):
+    rows = [(1, 0.0, 4.0, "a", "x"), (2, 0.0, 4.0, "a", "x"), (2, 2.0, 6.0, "b", "y"), (3, 1.0, 5.0, "a", "x"), (3, -1.0, 3.0, "a", "x"), (4, None, 5.0, "a", "x")]
+    df = spark.createDataFrame(rows, "k int, w double, v double, kind string, c string")
+    got = {r.k: (r.m, r.kind) for r in stay.weighted_summary(df, ["k"], "w", {"m": "v"}, ["kind"], "c").collect()}
+    assert np.isnan(got[1][0]) and got[1][1] == "a" and got[2] == (6.0, "b") and got[3][0] == float("inf") and got[4][0] is None
+
+
 def test_nearest_and_tokens(spark):
     p = spark.createDataFrame([(i, float(i % 5), float(i // 5)) for i in range(25)], "id int, lon double, lat double")
     got = {(r.id, r.other) for r in joins.nearest_k(p, p, 2, 1.5).collect()}
