@@ -217,6 +217,24 @@ def test_weighted_summary_of_zero_weight(spark):
     assert np.isnan(got[1][0]) and got[1][1] == "a" and got[2] == (6.0, "b") and got[3][0] == float("inf") and got[4][0] is None
 
 
+def test_segments_and_parts_are_read_off_one_sort(spark):
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", None]), r.choice([at(r.randrange(3000)), None]) if r.random() < 0.1 else at(r.randrange(3000)), r.choice([at(r.randrange(3000)), None]) if r.random() < 0.1 else at(r.randrange(3000))) for _ in range(250)]
+    rows = [(k, s, t if s is None or t is None or r.random() < 0.1 else s + (t - T0) / 60) for k, s, t in rows]
+    parts = {}
+    for k, s, t in sorted(rows, key=lambda x: (repr(x[0]), x[1] is not None, x[1] or T0, x[2] is not None, x[2] or T0)):
+        mine = parts.setdefault(k, [])
+        reach = max((e for p in mine for _, e in p if e is not None), default=None)
+        mine[-1].append((s, t)) if mine and reach is not None and s is not None and (s - reach).total_seconds() <= 2 else mine.append([(s, t)])
+    some = lambda f, x: f((v for v in x if v is not None), default=None)
+    want = sorted(((k, some(min, [s for s, _ in p]), some(max, [t for _, t in p])) for k, mine in parts.items() for p in mine), key=repr)
+    got = intervals.coalesce_intervals(spark.createDataFrame(rows, IV), ["k"], 2)
+    assert sorted(map(tuple, got.collect()), key=repr) == want
+    seen = spark.createDataFrame([(x[0], x[1], r.choice(["x", "y", None])) for x in rows], "k string, ts timestamp_ntz, v string")
+    for out in (got, intervals.segment_by_value(seen, ["k"], "v", "ts")):
+        assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_range_join_takes_intervals_of_any_length(spark):
     r = random.Random(8)
     ends = [(s, s + timedelta(microseconds=r.choice([0, 1, 999, 10**6, 86_400 * 10**6 * 30, 86_400 * 10**6 * 365 * 900]))) for s in (at(r.randrange(86400 * 60)) for _ in range(400))]
