@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellframe import schemas
@@ -76,9 +76,10 @@ def build_persons(raw: DataFrame, month: date, imsi_bindings: DataFrame, imei_bi
     rows = rows.withColumn("__node", entity.node("msisdn", "msisdn")).join(comps.withColumnRenamed("node", "__node"), "__node").join(keyed, "root").drop("__node", "root")
     prev = None if previous is None else previous.select(F.col("person_cluster_key").alias("cluster_key"), "person_id")
     rows = entity.stable_ids(rows, prev)
-    w = Window.partitionBy("person_id").orderBy(F.desc("actually_from"), "msisdn", "imsi", "imei", "iccid")
-    sims = F.size(F.collect_set(F.concat_ws("|", "imsi", F.coalesce("iccid", F.lit("")))).over(Window.partitionBy("person_id"))).cast("bigint")
-    first = rows.withColumn("sim_count", sims).withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    # a person of many subscriptions is grouped in parts: no window holds them in one place, nor does each of their rows carry all numbers
+    last = F.struct(-F.unix_micros(F.col("actually_from").cast("timestamp")), "msisdn", "imsi", "imei", "iccid")
+    rest = F.struct(*[c for c in rows.columns if c != "person_id"])
+    first = rows.groupBy("person_id").agg(F.count_distinct(F.concat_ws("|", "imsi", F.coalesce("iccid", F.lit("")))).cast("bigint").alias("sim_count"), F.min_by(rest, last).alias("__first")).select("person_id", "__first.*", "sim_count")
     return schemas.contract(
         first.withColumns(
             {

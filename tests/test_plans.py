@@ -128,6 +128,17 @@ def test_shared_device_joins_people(spark):
     assert sorted((r.person_confidence, r.sim_count) for r in out) == [("high", 2), ("high", 2)]
 
 
+def test_person_of_many_subscriptions_is_grouped_in_parts(spark):
+    i = F.col("id").cast("string")
+    many = spark.range(4000).select(
+        F.lit(0).alias("client_type"), F.lit(1).alias("operator_Id"), F.concat(F.lit("7999"), F.lpad(i, 7, "0")).alias("isdn"), F.concat(F.lit("25001"), F.lpad((F.col("id") % 3999).cast("string"), 10, "0")).alias("imsi"), F.lit("35000000000001").alias("imei"), F.lit(None).cast("string").alias("iccid"),
+        (F.lit(datetime(2023, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("id") % 10).cast("int"))).alias("actually_from"), F.lit(None).cast("timestamp_ntz").alias("actually_to"), F.lit(None).cast("date").alias("birth_day"), *[F.lit(None).cast("string").alias(c) for c in "last_name first_name second_name dul_department document".split()],
+    )
+    out = persons.build_persons(many, date(2024, 1, 1), *[schemas.empty(spark, x) for x in (schemas.MSISDN_IMSI, schemas.MSISDN_IMEI)])
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r.sim_count, r.msisdn, r.actually_from) for r in out.collect()] == [(3999, "79990000009", datetime(2023, 1, 10))]
+
+
 def test_dimensions(spark, tmp_path):
     p = tmp_path / "c.csv"
     p.write_text("﻿code;a2;a3;short;full;key\n4;AF;AFG;Афганистан;Исламский;1\n516;NA;NAM;Намибия;Республика;2\n643;RU;RUS;Россия;РФ;3\n", encoding="utf-8")
