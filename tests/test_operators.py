@@ -248,6 +248,22 @@ def test_segments_and_parts_are_read_off_one_sort(spark):
         assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_components_with_hubs(spark):
+    r = random.Random(7)
+    edges = [(f"n{r.randrange(400)}", f"n{r.randrange(400)}") for _ in range(260)] + [("a", f"n{i}") for i in range(0, 400, 40)] + [("z", f"q{i}") for i in range(60)] + [("q7", "z"), ("l", "l")]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    for hub in (0, 5, 100_000):
+        assert {x.node: x.root for x in entity.connected_components(spark.createDataFrame(edges, "u string, v string"), hub=hub).collect()} == root
+    # a hub's edges meet its least node where they are
+    star = spark.createDataFrame([("a", f"b{i}") for i in range(3000)], "u string, v string")
+    met = entity._with_least(star, "u", star.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"), F.count("*").alias("n")), 1000)
+    assert met.count() == 3000 and "BroadcastHashJoin" in met._jdf.queryExecution().executedPlan().toString()
+    assert entity.connected_components(star, hub=1000).where("root = 'a'").count() == 3001
+
+
 def test_range_join_takes_intervals_of_any_length(spark):
     r = random.Random(8)
     ends = [(s, s + timedelta(microseconds=r.choice([0, 1, 999, 10**6, 86_400 * 10**6 * 30, 86_400 * 10**6 * 365 * 900]))) for s in (at(r.randrange(86400 * 60)) for _ in range(400))]
